@@ -9,8 +9,7 @@ points. The chance that two documents share a register's point is their weighted
 Exact copies are one text from the start. Texts that share a bucket of a band are linked to its hubs, of which each bucket has
 two, and verified on their whole bags. Pairs that are left (in one bucket, not linked so far by any path) are verified as well,
 unless the distances to a hub, by the triangle inequality, rule the pair out. So a group of copies costs links in proportion to
-its size. Before such a pair is verified, longer signatures of both, of 4 bits a register, must agree as often as those of
-similar texts do; they lose fewer links than the bands do. Groups are the connected components of the verified links.
+its size, and no link that the bands find is lost. Groups are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share no band with a chance of (1 - 0.8**6)**32 = 6e-5.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Registers of a sketch, 4 bits each. At similarity 0.8, 96 differ on average, with a deviation of 8.8; more than MOST_DIFFERENT do with a chance of 3e-5.
-SKETCH, MOST_DIFFERENT = 512, 131
 #: Keys of 16 bytes up to which a set of them is broadcast; a larger one is joined by a shuffle.
 BROADCAST_KEYS = 400_000
 CHUNK = 1 << 20
@@ -167,21 +164,12 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), flat], names=["key", "bands"])
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """4 bits of each register, 16 registers to an integer."""
-    bits = mix(np.ascontiguousarray(signature.astype(np.float32)).view(np.uint32).astype(np.uint64)) & _U(15)
-    return np.bitwise_or.reduce(bits.reshape(len(signature), -1, 16) << (np.arange(16, dtype=np.uint64) * _U(4)), axis=2).view(np.int64)
-
-
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, texts in _chunks(batches):
-        owner, h = shingles(texts)
-        sketch = sketches(signatures(owner, h, len(keys), SKETCH))
-        longs = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, SKETCH // 16), pa.int32()), pa.array(sketch.reshape(-1)))
-        owner, h, nth = bags(owner, h)
+        owner, h, nth = bags(*shingles(texts))
         h = mix(h ^ (nth.astype(np.uint64) * _GOLD)).view(np.int64)
         offsets = np.searchsorted(owner, np.arange(len(keys) + 1))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h)), longs], names=["key", "bag", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h))], names=["key", "bag"])
 
 
 def text_key(text: Column) -> Column:
@@ -208,25 +196,17 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _distance(a: str, b: str) -> Column:
+    """1 - similarity, as 2 - (|a| + |b|) / |a or b|: the common part stands in it once."""
+    together = F.size(a) + F.size(b)
+    return 2 - together / F.size(F.array_union(a, b))
+
+
 def _verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     """(a, b, d): the weighted Jaccard distance of each pair of keys."""
     left = bag.select(F.col("key").alias("a"), F.col("bag").alias("bag_a"))
     right = bag.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"))
-    common = F.size(F.array_intersect("bag_a", "bag_b"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    return joined.select("a", "b", (1 - F.col("common") / (F.size("bag_a") + F.size("bag_b") - F.col("common"))).alias("d"))
-
-
-def different(a: str, b: str) -> Column:
-    """How many registers of two sketches differ."""
-
-    def in_one(i: int) -> Column:
-        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-    return sum((in_one(i) for i in range(1, SKETCH // 16)), in_one(0))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", _distance("bag_a", "bag_b").alias("d"))
 
 
 def _held(df: DataFrame) -> DataFrame:
@@ -245,7 +225,7 @@ def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     starred = [members.where(f"key != {hub}").select(F.least("key", hub).alias("a"), F.greatest("key", hub).alias("b")) for hub in ("low", "high")]
     pairs = cut(starred[0].union(starred[1]).distinct())
     involved = _held(members.select("key").distinct())
-    bag = cut(keyed.join(involved, "key", "left_semi").mapInArrow(_bagged, "key binary, bag array<bigint>, sketch array<bigint>").dropDuplicates(["key"]))
+    bag = cut(keyed.join(involved, "key", "left_semi").mapInArrow(_bagged, "key binary, bag array<bigint>").dropDuplicates(["key"]))
     tested = cut(_verified(pairs, bag))
     near = F.col("d") <= 1 - similarity + 1e-12
     linked = components(tested.where(near))
@@ -265,15 +245,15 @@ def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sizes = known.groupBy("bucket", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
     shared = known.groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # at most BANDS
-    known = known.join(shared, "key").join(bag.select("key", "sketch"), "key").join(main, "bucket").withColumn("apart", F.col("root") != F.col("main"))
-    sides = ("key", "root", "d_low", "d_high", "buckets", "sketch")
+    known = known.join(shared, "key").join(bag, "key").join(main, "bucket").withColumn("apart", F.col("root") != F.col("main"))
+    sides = ("key", "root", "d_low", "d_high", "buckets", "bag")
     apart = known.where("apart").select(F.col("bucket").alias("x_bucket"), *[F.col(c).alias(f"x_{c}") for c in sides])
     once = (~F.col("apart") | (F.col("x_key") < F.col("key"))) & (F.get(F.array_intersect("buckets", "x_buckets"), F.lit(0)) == F.col("bucket"))
     bound = 1 - similarity + 1e-9
-    may_be_near = (F.abs(F.col("d_low") - F.col("x_d_low")) <= bound) & (F.abs(F.col("d_high") - F.col("x_d_high")) <= bound) & (different("sketch", "x_sketch") <= MOST_DIFFERENT)
-    rest = known.join(apart, (F.col("bucket") == F.col("x_bucket")) & (F.col("root") != F.col("x_root")) & may_be_near & once)
-    rest = rest.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).join(tested, ["a", "b"], "left_anti")
-    more = cut(_verified(rest, bag).where(near))
+    may_be_near = (F.abs(F.col("d_low") - F.col("x_d_low")) <= bound) & (F.abs(F.col("d_high") - F.col("x_d_high")) <= bound)
+    # The bags are compared within the join, so that only links leave it
+    links = known.join(apart, (F.col("bucket") == F.col("x_bucket")) & (F.col("root") != F.col("x_root")) & may_be_near & once & (_distance("bag", "x_bag") <= bound))
+    more = cut(links.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")))
     if more.isEmpty():
         return linked
     return components(tested.where(near).select("a", "b").union(more.select("a", "b")))
