@@ -4,7 +4,504 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import exprs
+from .operators import budget, classify, graph, incremental, resolve, rules, traverse
+from .operators.graph import Graph
+from .operators.search import search
+from .plans import driver_graph as dg
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+MONTH = "l_shipdate >= timestamp'1995-01-01' and l_shipdate < timestamp'1995-02-01'"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Graph lookups, degrees, hygiene
+
+
+@query(dg.sql("""
+select (select count(*) from nodes) nodes, (select count(*) from nodes where kind = 'feature') features, (select count(*) from nodes where kind = 'symbol') symbols,
+  (select count(*) from nodes where kind = 'route') routes, 0::bigint tests, (select count(distinct path) from nodes where path <> '') paths, (select count(*) from edges) edges"""))
+def graph_stats(spark, d):
+    return graph.stats(dg.graph(spark, d))
+
+
+@query(dg.sql("""
+select kind, path, count(*) n from nodes group by all"""))
+def active_by_kind(spark, d):
+    return dg.graph(spark, d).active().groupBy("kind", "path").agg(F.count("*").alias("n"))
+
+
+@query(dg.sql(""", alias as (select 'part:' || p_partkey old_urn, 'part:' || (p_partkey - 1) urn from part where p_partkey % 10 = 0)
+select coalesce(a.urn, source_urn) source_urn, coalesce(b.urn, target_urn) target_urn, relationship, count(*) n
+from edges left join alias a on source_urn = a.old_urn left join alias b on target_urn = b.old_urn group by all"""))
+def edge_endpoints_resolved(spark, d):
+    part = dg.table(spark, d, "part").where("p_partkey % 10 = 0")
+    aliases = part.select(F.concat(F.lit("part:"), F.col("p_partkey")).alias("old_urn"), F.concat(F.lit("part:"), F.col("p_partkey") - 1).alias("urn"))
+    g = Graph(dg.nodes(spark, d), dg.edges(spark, d), aliases)
+    return g.resolved_edges().groupBy("source_urn", "target_urn", "relationship").agg(F.count("*").alias("n"))
+
+
+@query(dg.sql("""
+select target_urn urn, count(*) n_in from edges group by 1 order by n_in desc, urn limit 20"""))
+def in_degree_top20(spark, d):
+    return graph.degrees(dg.edges(spark, d)).where("n_in > 0").select("urn", "n_in").orderBy(F.desc("n_in"), "urn").limit(20)
+
+
+HOT = """, use as (select * from edges where relationship <> 'implements'),
+i as (select target_urn urn, count(*) n_in, count(distinct source_urn) consumers from use group by 1), o as (select source_urn urn, count(*) n_out from use group by 1),
+f as (select source_urn urn, count(distinct target_urn) features from edges where relationship = 'implements' group by 1),
+hot as (select n.urn, coalesce(n_in, 0) n_in, coalesce(n_out, 0) n_out, coalesce(features, 0) features, coalesce(consumers, 0) consumers,
+  2 * coalesce(n_in, 0) + coalesce(n_out, 0) + 3 * coalesce(features, 0) + 2 * coalesce(consumers, 0) score
+  from nodes n left join i using (urn) left join o using (urn) left join f using (urn) where kind = 'symbol')"""
+RATING = "case when score >= 20 then 'HIGH' when score >= 8 then 'MEDIUM' else 'LOW' end"
+
+
+@query(dg.sql(HOT + f"""
+select *, {RATING} rating from hot order by score desc, urn limit 20"""))
+def hotspots_top20(spark, d):
+    hot = graph.hotspots(dg.graph(spark, d)).select("urn", "n_in", "n_out", "features", "consumers", "score")
+    return hot.withColumn("rating", exprs.coupling(F.col("score"))).orderBy(F.desc("score"), "urn").limit(20)
+
+
+@query(dg.sql(HOT + f"""
+select {RATING} rating, count(*) n, sum(score)::bigint total from hot group by 1"""))
+def hotspot_rating_counts(spark, d):
+    return graph.hotspots(dg.graph(spark, d)).groupBy(exprs.coupling(F.col("score")).alias("rating")).agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+
+
+@query(dg.sql(HOT + """
+select urn, score from hot where score > 60"""))
+def max_coupling(spark, d):
+    return graph.hotspots(dg.graph(spark, d)).where("score > 60").select("urn", "score")
+
+
+@query(dg.sql("""
+select urn, name, path from nodes n where kind = 'symbol' and not exists (select 1 from edges where target_urn = n.urn)""", MONTH))
+def dead_symbols_month(spark, d):
+    g = dg.graph(spark, d, MONTH)
+    return graph.unreferenced(g.active().where("kind = 'symbol'"), g.edges).select("urn", "name", "path")
+
+
+@query(dg.sql(""", p as (select urn, path from nodes where path <> ''), used as (select b.path from edges join p a on a.urn = source_urn join p b on b.urn = target_urn where a.path <> b.path)
+select distinct path from p where path not in (select path from used)""", MONTH))
+def unconsumed_paths(spark, d):
+    return graph.unconsumed_paths(dg.graph(spark, d, MONTH))
+
+
+DANGLING = ", known as (select urn, case when urn like 'order:%' and path = '5-LOW' then 'retired' else 'active' end status from nodes where urn not like 'part:%7')"
+
+
+@query(dg.sql(DANGLING + """, ends as (select source_urn, target_urn, 'source' side, source_urn urn from edges union all select source_urn, target_urn, 'target', target_urn from edges)
+select source_urn, target_urn, side, case when status is null then 'missing' else 'retired' end problem from ends left join known using (urn) where status is null or status = 'retired'"""))
+def dangling_edges(spark, d):
+    return graph.dangling(_damaged(spark, d))
+
+
+def _damaged(spark, d) -> Graph:
+    """Without every part whose key ends in 7; orders of the lowest priority are retired."""
+    n = dg.nodes(spark, d).where("urn not like 'part:%7'")
+    return Graph(n.withColumn("status", F.when(F.col("urn").like("order:%") & (F.col("path") == "5-LOW"), "retired").otherwise("active")), dg.edges(spark, d))
+
+
+@query(dg.sql(DANGLING + """
+select source_urn, target_urn, relationship from edges where source_urn not in (select urn from known where status = 'retired') and target_urn not in (select urn from known where status = 'retired')"""))
+def retire_edges(spark, d):
+    g = _damaged(spark, d)
+    return graph.retire(g, g.nodes.where("status = 'retired'")).edges.select("source_urn", "target_urn", "relationship")
+
+
+@query(dg.sql("""
+select urn from nodes where kind = 'feature' and urn not in (select target_urn from edges e where relationship = 'implements' and source_urn in (select target_urn from edges where relationship = 'calls'))""", MONTH))
+def orphan_features(spark, d):
+    g = dg.graph(spark, d, MONTH)
+    called = g.edges.where("relationship = 'calls'").select(F.col("target_urn").alias("source_urn"))
+    live = g.edges.where("relationship = 'implements'").join(called, "source_urn", "left_semi")
+    return graph.orphan_features(Graph(g.nodes, live)).select("urn")
+
+
+# Features
+
+
+@query(dg.sql("""
+, s as (select target_urn feature, source_urn urn, 1 - (hash_ % 5) / 10.0 score, hash_ from (select *, (substr(source_urn, 6)::bigint) hash_ from edges where relationship = 'implements'))
+select feature, max(score)::double score, arg_max(urn, score * 1000000000 - hash_) best, count(*) n from s group by 1"""))
+def explain_features(spark, d):
+    s = dg.edges(spark, d).where("relationship = 'implements'").withColumn("k", F.substring("source_urn", 6, 20).cast("bigint")).withColumn("score", 1 - (F.col("k") % 5) / 10.0)
+    return s.groupBy(F.col("target_urn").alias("feature")).agg(F.max("score").cast("double").alias("score"), F.max_by("source_urn", F.struct("score", -F.col("k"))).alias("best"), F.count("*").alias("n"))
+
+
+VIEW = """, m as (select target_urn feature, source_urn urn from edges where relationship = 'implements'),
+v as (select feature, 'member' category, urn from m
+  union all select distinct feature, case when e.source_urn like 'supplier:%' then 'api' else 'consumer' end, e.source_urn from m join edges e on e.target_urn = m.urn where relationship in ('calls', 'exposes')
+  union all select distinct feature, 'consumer2', c.source_urn from m join edges e on e.target_urn = m.urn join edges c on c.target_urn = e.source_urn)"""
+
+
+def _view(g: Graph) -> DataFrame:
+    m = g.edges.where("relationship = 'implements'").select(F.col("target_urn").alias("feature"), F.col("source_urn").alias("urn"))
+    e = g.edges.where("relationship in ('calls', 'exposes')").select(F.col("target_urn").alias("urn"), F.col("source_urn").alias("by"))
+    first = m.join(e, "urn").select("feature", F.col("by").alias("urn")).distinct()
+    second = first.join(e, "urn").select("feature", F.col("by").alias("urn")).distinct()
+    category = F.when(F.col("urn").startswith("supplier:"), "api").otherwise("consumer")
+    return m.select("feature", F.lit("member").alias("category"), "urn").union(first.select("feature", category, "urn")).union(second.select("feature", F.lit("consumer2"), "urn"))
+
+
+@query(dg.sql(VIEW + """
+select feature, category, count(*) n from v group by all"""))
+def feature_view_counts(spark, d):
+    return _view(dg.graph(spark, d)).groupBy("feature", "category").agg(F.count("*").alias("n"))
+
+
+@query(dg.sql(VIEW + """, c as (select feature, count(*) filter (category = 'member') members, count(*) filter (category = 'api') apis, count(*) filter (category = 'consumer') tests from v group by 1),
+l as (select feature, unnest([case when members > 300 then 100 when members > 0 then 50 else 0 end, case when apis > 0 then 100 else 0 end, case when tests >= 2 then 100 when tests = 1 then 50 else 0 end]) points from c)
+select feature, round(avg(points))::int percent from l group by 1"""))
+def feature_coverage(spark, d):
+    n = lambda c: F.count_if(F.col("category") == c)
+    c = _view(dg.graph(spark, d)).groupBy("feature").agg(n("member").alias("members"), n("api").alias("apis"), n("consumer").alias("tests"))
+    points = F.array(F.when(F.col("members") > 300, 100).when(F.col("members") > 0, 50).otherwise(0), F.when(F.col("apis") > 0, 100).otherwise(0), F.when(F.col("tests") >= 2, 100).when(F.col("tests") == 1, 50).otherwise(0))
+    return c.select("feature", F.explode(points).alias("points")).groupBy("feature").agg(F.round(F.avg("points")).cast("int").alias("percent"))
+
+
+@query(dg.sql(""", m as (select target_urn feature, source_urn urn from edges where relationship = 'implements'), c as (select * from edges where relationship = 'calls'),
+k as (select target_urn urn, count(*) callers, count(distinct path) caller_paths from c join nodes on urn = source_urn group by 1)
+select urn, feature, coalesce(callers, 0) callers, coalesce(caller_paths, 0) > 1 shared, true entry, 0::bigint inner_calls from m left join k using (urn)"""))
+def function_map(spark, d):
+    return graph.function_map(dg.graph(spark, d))
+
+
+@query("""select p_type feature, p_brand as path, string_agg(p_name, ', ' order by p_partkey) members, count(*) n from part where p_size <= 5 group by all""")
+def markdown_index(spark, d):
+    rows = dg.table(spark, d, "part").where("p_size <= 5")
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), ", ")
+    return rows.groupBy(F.col("p_type").alias("feature"), F.col("p_brand").alias("path")).agg(names.alias("members"), F.count("*").alias("n"))
+
+
+@query("""with hits as (select p_type feature, p_partkey urn, p_name from part where contains(p_name, 'a')), total as (select count(distinct urn) all_ from hits)
+select feature, count(*) n, sum(length(p_name))::bigint score, round(count(distinct urn) / all_, 4) share, count(distinct urn) / all_ >= 0.2 genuine from hits, total group by feature, all_""")
+def feature_share_gate(spark, d):
+    hits = dg.table(spark, d, "part").where(F.col("p_name").contains("a"))
+    total = hits.agg(F.count_distinct("p_partkey").alias("total"))
+    by = hits.groupBy(F.col("p_type").alias("feature")).agg(F.count("*").alias("n"), F.sum(F.length("p_name")).alias("score"), F.count_distinct("p_partkey").alias("members")).crossJoin(total)
+    return by.select("feature", "n", "score", F.round(F.col("members") / F.col("total"), 4).alias("share"), (F.col("members") / F.col("total") >= 0.2).alias("genuine"))
+
+
+# Traversal
+
+
+@query(dg.sql(""", reach(urn, depth) as (select 'part:42', 0 union select source_urn, depth + 1 from reach join edges on target_urn = urn where depth < 4)
+select urn, min(depth) depth from reach where urn <> 'part:42' group by 1""", recursive=True))
+def impact_single(spark, d):
+    root = spark.createDataFrame([("part:42",)], "urn string")
+    return traverse.consumers(dg.edges(spark, d), root).select("urn", "depth")
+
+
+IMPACT = """, roots as (select 'part:' || p_partkey root from part where p_partkey % 200 = 0), r(root, urn, depth) as (select root, root, 0 from roots union select root, source_urn, depth + 1 from r join edges on target_urn = urn where depth < 4),
+reach as (select root, urn, min(depth) depth from r group by 1, 2)"""
+
+
+def _roots(spark, d) -> DataFrame:
+    return dg.table(spark, d, "part").where("p_partkey % 200 = 0").select(F.concat(F.lit("part:"), "p_partkey").alias("urn"))
+
+
+@query(dg.sql(IMPACT + """
+select root, urn, depth from reach where depth > 0""", recursive=True))
+def impact_batch(spark, d):
+    return traverse.consumers(dg.edges(spark, d), _roots(spark, d))
+
+
+IMPACTED = IMPACT + """, k as (select root, reach.urn, kind, path, depth from reach join nodes using (urn)),
+imp as (select root, case when kind in ('feature', 'route', 'test') then kind when depth = 1 then 'direct' else 'indirect' end category, urn from k where depth > 0
+  union select root, 'feature', target_urn from reach join edges on source_urn = urn where relationship = 'implements'
+  union select k.root, 'route', n.urn from k join nodes n on n.path = k.path where k.path <> '' and n.kind = 'route')"""
+
+
+@query(dg.sql(IMPACTED + """
+select root, category, count(*) n from imp group by all""", recursive=True))
+def impact_categories(spark, d):
+    return traverse.impact(dg.graph(spark, d), _roots(spark, d)).groupBy("root", "category").agg(F.count("*").alias("n"))
+
+
+@query(dg.sql(IMPACTED + """, c as (select root, count(*) filter (category = 'feature') f, count(*) filter (category = 'route') a, count(*) filter (category in ('direct', 'indirect')) s from imp group by 1)
+select root, case when f >= 3 then 'HIGH' when f >= 1 or a > 0 or s >= 5 then 'MEDIUM' else 'LOW' end risk from c""", recursive=True))
+def risk_rating(spark, d):
+    n = lambda *k: F.count_if(F.col("category").isin(*k))
+    c = traverse.impact(dg.graph(spark, d), _roots(spark, d)).groupBy("root").agg(n("feature").alias("f"), n("route").alias("a"), n("test").alias("t"), n("direct", "indirect").alias("s"))
+    return c.select("root", exprs.risk(F.col("f"), F.lit(0), F.col("a"), F.col("t"), F.col("s")).alias("risk"))
+
+
+@query(dg.sql(IMPACTED + """
+select root from (select root from roots) where root not in (select root from imp where category = 'route' and urn like '%1')""", recursive=True))
+def requires_tests(spark, d):
+    covered = traverse.impact(dg.graph(spark, d), _roots(spark, d)).where("category = 'route' and urn like '%1'").select("root")
+    return _roots(spark, d).select(F.col("urn").alias("root")).join(covered, "root", "left_anti")
+
+
+@query(dg.NATION_SQL + """, reach(a, b) as (select s, t from step union select a, t from reach join step on b = s)
+select x.a urn, min(least(x.a, x.b)) component from reach x join reach y on x.a = y.b and x.b = y.a group by 1""")
+def cycle_nodes(spark, d):
+    return traverse.on_cycles(dg.nation_edges(spark, d))
+
+
+@query(dg.EVENT_SQL + """, trail(path) as (select [s, t] from step where s < t union all select list_append(path, t) from trail join step on s = path[-1] where t > path[1] and not list_contains(path, t) and len(path) < 4)
+select list_aggregate(path, 'string_agg', '>') as cycle, len(path)::int n from trail join step on s = path[-1] and t = path[1]""")
+def cycles_bounded(spark, d):
+    return traverse.cycles(dg.event_edges(spark, d), 4).select(F.array_join("cycle", ">").alias("cycle"), "n")
+
+
+@query(dg.EVENT_SQL + """, trail(path) as (select ['view'] union all select list_append(path, t) from trail join step on s = path[-1] where path[-1] <> 'purchase' and not list_contains(path, t) and len(path) < 4)
+select list_aggregate(path, 'string_agg', '>') as path, len(path)::int n from trail where path[-1] = 'purchase' order by n, path limit 5""")
+def call_paths_bounded(spark, d):
+    one = lambda u: spark.createDataFrame([(u,)], "urn string")
+    return traverse.paths(dg.event_edges(spark, d), one("view"), one("purchase"), 4).select(F.array_join("path", ">").alias("path"), "n").orderBy("n", "path").limit(5)
+
+
+SESSIONS = """with gaps as (select *, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 24 hours, true)::int new_ from events),
+marked as (select *, sum(new_) over (partition by user_id order by ts, event_id) k from gaps), sessions as (select user_id, k, min(ts) a, max(ts) b from marked group by 1, 2)"""
+
+
+@query(SESSIONS + """
+select s.user_id, s.k::bigint session, count(*) errors from sessions s join events e on e.user_id = s.user_id and e.ts between a and b where event_type = 'error' group by all""")
+def sites_in_ranges(spark, d):
+    e = dg.table(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    new = F.coalesce(F.col("ts") - F.lag("ts").over(w) > F.expr("interval '24' hour"), F.lit(True)).cast("int")
+    ranges = e.withColumn("new", new).withColumn("session", F.sum("new").over(w)).groupBy("user_id", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    sites = e.where("event_type = 'error'").select("user_id", F.col("ts").alias("at"))
+    return resolve.contained(sites, ranges, "user_id").groupBy("user_id", "session").agg(F.count("*").alias("errors"))
+
+
+# Search, classification and names
+
+WORDS = r"list_transform(list_filter(regexp_split_to_array(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: lower(w))"
+
+
+def _hit(x: str, t: str) -> str:
+    same = f"regexp_replace(w, 's$', '') = '{t.removesuffix('s')}'"
+    return f"len(list_filter({WORDS.format(x=x)}, lambda w: {same} or starts_with(w, '{t}'))) > 0"
+
+
+@query(f"""with s as (select p_partkey urn, p_name as name, case when lower(p_name) in ('small gear', 'small', 'gear') then 10 else
+  (case when {_hit('p_name', 'small')} then 5 else 0 end) + (case when {_hit('p_brand', 'small')} then 3 else 0 end) + (case when {_hit('p_name', 'gear')} then 5 else 0 end) + (case when {_hit('p_brand', 'gear')} then 3 else 0 end) end
+  + (case when {_hit('p_type', 'small')} then 4 else 0 end) + (case when {_hit('p_type', 'gear')} then 4 else 0 end) score from part)
+select urn, name, score::bigint score from s where score > 0 order by score desc, urn limit 20""")
+def search_top20(spark, d):
+    part = dg.table(spark, d, "part").select(F.col("p_partkey").alias("urn"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), "p_type")
+    return search(part, "small gear", 20, ("p_type",)).select("urn", "name", "score")
+
+
+VOCAB = [("small", "Sizes", []), ("anvils", "Metal", []), ("gear", "Metal", []), ("large", "Sizes", []), ("econ", "Economy", []), ("promo", "Promotions", [])]
+
+
+def _score_sql(k: str) -> str:
+    same = "len(list_filter({x}, lambda w: w = keyword or regexp_replace(w, 's$', '') = regexp_replace(keyword, 's$', ''))) > 0"
+    begins = "length(keyword) >= 4 and len(list_filter({x}, lambda w: starts_with(w, keyword))) > 0"
+    return f"case when {same.format(x='nw')} then 100 + length(keyword) when {same.format(x='pw')} then 80 + length(keyword) when {begins.format(x='nw')} then 40 + length(keyword) when {begins.format(x='pw')} then 30 + length(keyword) else 0 end"
+
+
+@query(f"""with vocab(ord, keyword, feature_name) as (values {', '.join(f"({k}, '{v[0]}', '{v[1]}')" for k, v in enumerate(VOCAB))}),
+p as (select p_partkey urn, {WORDS.format(x='p_name')} nw, {WORDS.format(x='p_type')} pw from part), s as (select urn, ord, keyword, feature_name, {_score_sql('')} score from p, vocab)
+select urn, keyword, feature_name, score::int score from (select *, row_number() over (partition by urn order by score desc, ord) k from s where score > 0) where k = 1""")
+def keyword_classify(spark, d):
+    part = dg.table(spark, d, "part").select(F.col("p_partkey").alias("urn"), exprs.words(F.col("p_name"), False).alias("symbol_words"), exprs.words(F.col("p_type"), False).alias("path_words"))
+    return classify.best_keyword(part, classify.vocabulary(spark, VOCAB)).select("urn", "keyword", "feature_name", "score")
+
+
+@query(r"""with p as (select page_id, regexp_replace(url, '^[a-z]+://[^/]*|[?#].*$', '', 'g') as route from pages),
+q as (select page_id, list_filter(string_split(route, '/'), lambda x: x <> '' and not regexp_matches(x, '^\(.*\)$') and x not in ('api', 'v1', 'v2', 'v3', 'app', 'routes') and not starts_with(x, '[')) parts from p)
+select page_id, list_filter(list_transform(parts, lambda x: regexp_replace(x, '\.[A-Za-z0-9]+$', '')), lambda x: lower(x) not in ('rss', 'sitemap', 'robots', 'favicon', 'og', 'manifest'))[1] as domain from q""")
+def route_domain(spark, d):
+    return dg.table(spark, d, "pages").select("page_id", exprs.route_domain(F.regexp_replace("url", r"^[a-z]+://[^/]*|[?#].*$", "")).alias("domain"))
+
+
+@query(r"""select page_id, regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') slug,
+list_aggregate(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: lower(w)), 'string_agg', ' ') words from pages""")
+def slug_and_words(spark, d):
+    return dg.table(spark, d, "pages").select("page_id", exprs.slug(F.col("url")).alias("slug"), F.array_join(exprs.words(F.col("url")), " ").alias("words"))
+
+
+@query("""select 'urn:loom:symbol:' || replace(p_brand, '#', '/') || '#' || p_name urn, 'symbol' kind, replace(p_brand, '#', '/') as path, p_name ident, count(*) n from part group by all""")
+def urn_parts(spark, d):
+    u = dg.table(spark, d, "part").select(exprs.symbol_urn(F.translate("p_brand", "#", "/"), F.col("p_name")).alias("urn"))
+    return u.groupBy("urn").agg(F.count("*").alias("n")).select("urn", *[exprs.urn_part(F.col("urn"), p).alias(p) for p in ("kind", "path", "ident")], "n")
+
+
+# Resolution
+
+
+@query("""with f as (select page_id, regexp_replace(url, '^[a-z]+://([^/]*).*$', '\\1') host, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) lang from pages)
+select page_id, target, tier from (select a.page_id, b.page_id target, case when a.host = b.host then 1 when a.lang = b.lang then 2 end tier,
+  row_number() over (partition by a.page_id order by case when a.host = b.host then 1 when a.lang = b.lang then 2 end, b.page_id) k from f a join f b on b.page_id % 50 = (a.page_id + 1) % 50 and a.page_id <> b.page_id where a.host = b.host or a.lang = b.lang) where k = 1""")
+def import_first_match(spark, d):
+    f = dg.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1).alias("lang"))
+    a = f.withColumn("slot", (F.col("page_id") + 1) % 50)
+    b = f.select(F.col("page_id").alias("target"), F.col("host").alias("host_b"), F.col("lang").alias("lang_b"), (F.col("page_id") % 50).alias("slot"))
+    conditions = [(F.col("host") == F.col("host_b")) & (F.col("page_id") != F.col("target")), (F.col("lang") == F.col("lang_b")) & (F.col("page_id") != F.col("target"))]
+    return resolve.first_of(a, b, conditions, ["page_id"], "slot", "target").select("page_id", "target", "tier")
+
+
+CALL_SQL = """with s as (select 'part:' || p_partkey urn, p_name as name, p_brand as path, p_type, count(*) over (partition by p_name) = 1 alone from part where p_partkey % 2 = 0),
+c as (select p_partkey call_id, p_name as name, p_brand as file, p_type from part where p_partkey % 2 = 1), imported as (select distinct 'Brand#' || (p_size % 5 + 1) || '1' file_type, p_brand as path from part where p_size <= 10),
+m as (select call_id, urn, case when file = s.path then 1 when exists (select 1 from imported i where i.file_type = c.file and i.path = s.path) then 2 when alone then 3 end tier from c join s using (name))
+select call_id, urn, tier from (select *, row_number() over (partition by call_id order by tier, urn) k from m where tier is not null) where k = 1"""
+
+
+@query(CALL_SQL)
+def call_resolution(spark, d):
+    part = dg.table(spark, d, "part")
+    symbols = part.where("p_partkey % 2 = 0").select(F.concat(F.lit("part:"), "p_partkey").alias("urn"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"))
+    calls = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("call_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"))
+    imported = part.where("p_size <= 10").select(F.concat(F.lit("Brand#"), (F.col("p_size") % 5 + 1).cast("string"), F.lit("1")).alias("file"), F.col("p_brand").alias("path"))
+    return resolve.resolve_calls(calls, symbols, imported)
+
+
+@query("""with l as (select p_brand, p_partkey a from part where p_size = 1), r as (select p_brand, p_partkey b from part where p_size = 2) select p_brand, a, b from l join r using (p_brand)""")
+def file_group_cross(spark, d):
+    part = dg.table(spark, d, "part")
+    side = lambda size, name: part.where(F.col("p_size") == size).select("p_brand", F.col("p_partkey").alias(name))
+    return resolve.within_group(side(1, "a"), side(2, "b"), "p_brand")
+
+
+@query("""with declared as (select p_type feature, list(distinct p_name) names from part where p_size = 3 group by 1)
+select distinct d.feature, p_partkey urn from (select feature, unnest(names) as name from declared) d join part on p_name = d.name""")
+def explicit_mapping(spark, d):
+    part = dg.table(spark, d, "part")
+    declared = part.where("p_size = 3").groupBy(F.col("p_type").alias("feature")).agg(F.collect_set("p_name").alias("components")).withColumn("services", F.array().cast("array<string>"))
+    return classify.explicit(part.select(F.col("p_partkey").alias("urn"), F.col("p_name").alias("name")), declared)
+
+
+# Rules
+
+RULES = [{"name": "urgent", "from": "1-*", "cannot_import": "Brand#1*"}, {"name": "nations", "from": "*A*", "cannot_import": "2-**"}]
+FORBIDDEN = dg.sql(""", r as (select source_urn, target_urn, a.path f, b.path t from edges join nodes a on a.urn = source_urn join nodes b on b.urn = target_urn),
+v as (select 'urgent' as rule, source_urn, target_urn from r where regexp_matches(f, '^1-[^/]*$') and regexp_matches(t, '^Brand#1[^/]*$') union all select 'nations', source_urn, target_urn from r where regexp_matches(f, '^[^/]*A[^/]*$') and regexp_matches(t, '^2-.*$'))""")
+
+
+@query(FORBIDDEN + "\nselect rule, source_urn, target_urn from v")
+def forbidden_edges(spark, d):
+    g = dg.graph(spark, d)
+    return rules.forbidden(g.nodes, g.edges, rules.rule_rows(spark, RULES))
+
+
+@query(FORBIDDEN + ", s as (select *, case when rule = 'urgent' then 'ERROR' else 'WARNING' end severity from v)\nselect count(*) violations, count(*) filter (severity = 'ERROR') failed, greatest(0, 2 - count(*) filter (severity = 'ERROR')) passed from s")
+def rule_report(spark, d):
+    v = forbidden_edges(spark, d).withColumn("severity", F.when(F.col("rule") == "urgent", "ERROR").otherwise("WARNING"))
+    return rules.report(v, len(RULES))
+
+
+# Snapshots
+
+SNAP = """with old as (select doc_id as path, sha256(text) hash from documents where doc_id % 7 <> 0), new as (select doc_id as path, sha256(case when doc_id % 11 = 0 then text || '!' else text end) hash from documents where doc_id % 13 <> 0),
+c as (select coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'deleted' when o.hash <> n.hash then 'modified' else 'same' end as change from old o full join new n on o.path = n.path)"""
+
+
+def _snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = dg.table(spark, d, "documents")
+    new_text = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return docs.where("doc_id % 7 != 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash")), docs.where("doc_id % 13 != 0").select(F.col("doc_id").alias("path"), F.sha2(new_text, 256).alias("hash"))
+
+
+@query(SNAP + "\nselect path, change from c")
+def snapshot_diff(spark, d):
+    return incremental.changes(*_snapshots(spark, d))
+
+
+@query(SNAP + """
+select count(*) filter (change = 'added') added, count(*) filter (change = 'modified') modified, count(*) filter (change = 'deleted') deleted,
+  round(least(1.0, count(*) filter (change <> 'same') / greatest(1, count(*) filter (change <> 'deleted'))), 4) score, count(*) filter (change <> 'same') > 0 stale, count(*) filter (change <> 'same') / count(*) filter (change <> 'deleted') > 0.4 rebuild from c""")
+def drift_score(spark, d):
+    return incremental.drift(incremental.changes(*_snapshots(spark, d)))
+
+
+@query("""with o as (select sha256(text) hash, doc_id from_key, row_number() over (partition by sha256(text) order by doc_id) nth from documents where doc_id % 2 = 0), n as (select sha256(text) hash, doc_id to_key, row_number() over (partition by sha256(text) order by doc_id) nth from documents where doc_id % 2 = 1)
+select from_key, to_key from o join n using (hash, nth)""")
+def hash_renames(spark, d):
+    docs = dg.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
+    return incremental.renames(docs.where("path % 2 = 0"), docs.where("path % 2 = 1"))
+
+
+@query("""with o as (select 'o' || o_orderkey urn, case when o_orderkey % 50 = 0 then 'file' else 'symbol' end kind, o_orderdate created_at from orders where o_orderkey % 3 <> 0), n as (select 'o' || o_orderkey urn, 'symbol' kind, timestamp '2000-01-01' created_at from orders where o_orderkey % 4 <> 0)
+select urn, coalesce(n.kind, o.kind) kind, case when o.urn is null then 'added' when n.urn is not null then 'updated' when o.kind = 'file' then 'kept' else 'retired' end as action,
+  case when n.urn is not null or o.kind = 'file' then 'active' else 'retired' end status, coalesce(o.created_at, n.created_at) created_at from o full join n using (urn)""")
+def reconcile_upsert(spark, d):
+    o = dg.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("urn"), "o_orderdate")
+    old = o.where("o_orderkey % 3 != 0").select("urn", F.when(F.col("o_orderkey") % 50 == 0, "file").otherwise("symbol").alias("kind"), F.lit("active").alias("status"), F.col("o_orderdate").alias("created_at"))
+    new = o.where("o_orderkey % 4 != 0").select("urn", F.lit("symbol").alias("kind"), F.lit("active").alias("status"), F.expr("cast('2000-01-01' as " + dict(o.dtypes)["o_orderdate"] + ")").alias("created_at"))
+    return incremental.reconcile(old, new)
+
+
+# Budgets, hashes, ledger
+
+PUNCT_SQL = r"(length({x}) - length(regexp_replace({x}, '[{{}}()\[\];:,.<>=+\-*/&|!?]', '', 'g')))"
+
+
+@query(f"""select lang, count(*) n, sum(ceil(length(text) / 3.3::double + 0.25 * {PUNCT_SQL.format(x='text')})::bigint)::bigint tokens, sum(ceil(length(text) / 3.8::double)::bigint)::bigint ledger_tokens from documents group by 1""")
+def token_estimates(spark, d):
+    return dg.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(exprs.token_estimate(F.col("text"))).alias("tokens"), F.sum(exprs.ledger_estimate(F.col("text"))).alias("ledger_tokens"))
+
+
+@query("""with recursive i as (select conv_id, turn, ceil(length(text) / 3.8::double)::bigint c, row_number() over (partition by conv_id order by case role when 'system' then 10 when 'user' then 5 else 1 end desc, turn) k from conversations),
+f(conv_id, k, total, ids, dropped) as (select distinct conv_id, 0::bigint, 0::bigint, '', 0::bigint from i union all select f.conv_id, i.k, case when total + c <= 400 then total + c else total end, case when total + c <= 400 then ids || ',' || turn else ids end, case when total + c <= 400 then dropped else dropped + 1 end from f join i on i.conv_id = f.conv_id and i.k = f.k + 1)
+select conv_id, substr(ids, 2) packed, total, dropped from (select *, row_number() over (partition by conv_id order by k desc) r from f) where r = 1""")
+def budget_pack(spark, d):
+    c = dg.table(spark, d, "conversations")
+    priority = F.when(F.col("role") == "system", 10).when(F.col("role") == "user", 5).otherwise(1)
+    return budget.pack(c, "conv_id", priority, F.col("turn"), exprs.ledger_estimate(F.col("text")), F.col("turn"), 400)
+
+
+@query()
+def truncate_to_budget(spark, d):
+    return dg.table(spark, d, "documents").select("doc_id", budget.truncate(F.col("text"), 200).alias("text"))
+
+
+@query("""select doc_id, substr(sha256(array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10))), 1, 16) hash from documents""")
+def slice_hash(spark, d):
+    return dg.table(spark, d, "documents").select("doc_id", exprs.slice_hash(F.col("text"), F.lit(2), F.lit(4)).alias("hash"))
+
+
+@query("""with t as (select doc_id, len(string_split(text, chr(10))) n from documents) select doc_id, n::int as lines, case when doc_id % 20 + 3 > n then 'warning' else 'ok' end severity from t""")
+def validate_ranges(spark, d):
+    n = F.size(F.split("text", "\n"))
+    return dg.table(spark, d, "documents").select("doc_id", n.alias("lines"), F.when(F.col("doc_id") % 20 + 3 > n, "warning").otherwise("ok").alias("severity"))
+
+
+@query("""with e as (select user_id, list(distinct case event_type when 'purchase' then 'explicit_declaration' when 'signup' then 'route_match' when 'error' then 'semantic_similarity' else 'other' end) s from events group by 1)
+select user_id, case when list_contains(s, 'explicit_declaration') then 'EXPLICIT' when list_contains(s, 'route_match') then 'DETECTED' when list_contains(s, 'semantic_similarity') then 'INFERRED' else 'AMBIGUOUS' end confidence from e""")
+def confidence_from_evidence(spark, d):
+    kind = F.when(F.col("event_type") == "purchase", "explicit_declaration").when(F.col("event_type") == "signup", "route_match").when(F.col("event_type") == "error", "semantic_similarity").otherwise("other")
+    return dg.table(spark, d, "events").groupBy("user_id").agg(F.collect_set(kind).alias("s")).select("user_id", exprs.confidence(F.col("s")).alias("confidence"))
+
+
+@query("""select strftime(ts, '%Y-%m-%d') as day, event_type command, count(*) n, round(sum(value), 2) tokens, count(distinct user_id) sessions from events group by grouping sets ((), (day), (event_type))""")
+def usage_summary(spark, d):
+    """Totals, by day and by command, in one pass."""
+    e = dg.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("command"), "value", "user_id")
+    return e.groupingSets([[], ["day"], ["command"]], "day", "command").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("tokens"), F.count_distinct("user_id").alias("sessions"))
+
+
+@query("""with f as (select distinct lower(p_name) as name from part where p_size = 1) select name, exists (select 1 from documents where contains(lower(text), name)) documented from f""")
+def doc_term_hits(spark, d):
+    names = dg.table(spark, d, "part").where("p_size = 1").select(F.lower("p_name").alias("name")).distinct()
+    docs = dg.table(spark, d, "documents").select(F.lower("text").alias("t"))
+    hit = names.join(docs, F.col("t").contains(F.col("name")), "left_semi").withColumn("documented", F.lit(True))
+    return names.join(hit, "name", "left").select("name", F.coalesce("documented", F.lit(False)).alias("documented"))
+
+
+@query("""with r as (select p_brand as path, case when p_type like '%' || 'STEEL' or lower(p_type) like 'e%' then 1 when p_size > 25 then 2 else 3 end role, p_partkey from part where p_size % 10 = 0)
+select path, case role when 1 then 'API' when 2 then 'Service' else 'Model' end role, p_partkey urn from (select *, row_number() over (partition by path order by role, p_partkey) k from r) where k = 1""")
+def task_files_by_role(spark, d):
+    part = dg.table(spark, d, "part").where("p_size % 10 = 0")
+    role = F.when(F.col("p_type").endswith("STEEL") | F.lower("p_type").startswith("e"), 1).when(F.col("p_size") > 25, 2).otherwise(3)
+    first = graph.first_match(part.select(F.col("p_brand").alias("path"), role.alias("rank"), F.col("p_partkey").alias("urn")), ["path"], [F.col("rank"), F.col("urn")])
+    return first.select("path", F.get(F.array(*map(F.lit, ("API", "Service", "Model"))), F.col("rank") - 1).alias("role"), "urn")
