@@ -86,4 +86,54 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL_OP8 = f"""
+with d as (select doc_id, coalesce({_WORDS.format("text")}, []) ws from documents), b as (select item_id, {_WORDS.format("text")} ws from benchmark where text is not null),
+win as (select distinct item_id, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') w from (select item_id, ws, n, unnest(range(1, len(ws) - n + 2)) i from (select *, least(10, len(ws)) n from b where len(ws) > 0))),
+sizes as (select distinct n from win), dw as (select doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') w from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) i from d, sizes where len(ws) >= n)),
+hits as (select distinct doc_id, item_id, i, dw.n from dw join win using (n, w)), places as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) group by 1),
+names as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item_id::varchar item from hits) group by 1)
+select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join places using (doc_id) left join names using (doc_id)"""
+
+_LEVEL = """
+{name}_m as (select g.*, {above} mean from {groups} g {join}),
+{name}_w as (select greatest(2.0, least(200.0, coalesce(case when spread > noise then (size - spread) / (spread - noise) else 200.0 end, 200.0))) weight
+  from (select sum(n * (bad / n::double - mean) * (bad / n::double - mean)) / sum(n) spread, sum(mean * (1 - mean)) / sum(n) noise, sum(mean * (1 - mean) * n) / sum(n) size from {name}_m)),
+{name}_p as (select {key}, weight * mean + bad a, weight * (1 - mean) + n - bad b from {name}_m, {name}_w)"""
+_BOUND = "{t}a / ({t}a + {t}b) - 1.64 * sqrt({t}a * {t}b / (({t}a + {t}b) * ({t}a + {t}b) * ({t}a + {t}b + 1)))"
+
+SQL_OP5 = (
+    r"""
+with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+o as (select p.host, case when quality = 0 or toxic = 1 then 1 else 0 end bad from p join labels on doc_id = page_id),
+parts as (select distinct host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') domain, string_split(host, '.')[-1] suffix from p),
+h as (select host, any_value(domain) domain, any_value(suffix) suffix, count(*) n, sum(bad) bad from o join parts using (host) group by 1),
+d as (select domain, suffix, sum(n) n, sum(bad) bad from h group by all), s as (select suffix, sum(n) n, sum(bad) bad from h group by 1),
+whole as (select coalesce(sum(bad), 0) + 0.5::double a, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + 0.5::double b from h),"""
+    + _LEVEL.format(name="s", above="whole.a / (whole.a + whole.b)", groups="s", join=", whole", key="suffix")
+    + ","
+    + _LEVEL.format(name="d", above="s_p.a / (s_p.a + s_p.b)", groups="d", join="join s_p using (suffix)", key="domain, suffix")
+    + ","
+    + _LEVEL.format(name="h", above="d_p.a / (d_p.a + d_p.b)", groups="h", join="join d_p using (domain)", key="host")
+    + f""",
+bounds as (select parts.host, coalesce({_BOUND.format(t="h_p.")}, {_BOUND.format(t="d_p.")}, {_BOUND.format(t="s_p.")}, {_BOUND.format(t="whole.")}) bound
+  from parts left join h_p using (host) left join d_p on d_p.domain = parts.domain left join s_p on s_p.suffix = parts.suffix, whole),
+r(verdict, h, x) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+ruled as (select page_id, host, path, h || x as rule, verdict, row_number() over (partition by page_id order by length(h || x) desc nulls last) k from p left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, x))
+select page_id, host, path, rule, coalesce(verdict, case when bound > 0.2 then 'block' else 'allow' end) verdict, round(bound, 9) bad_bound from ruled join bounds using (host) where k = 1"""
+)
+
+_ESC = r"replace(replace({}, '\', '\b'), '|', '\p')"
+SQL_OP9 = f"""
+with recursive c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (select *, row_number() over (partition by conv_id order by turn, role, text) i, length({_ESC.format("role")}) + length({_ESC.format("text")}) + 11 written, ceil(length({_ESC.format("text")}) / 4.0)::bigint + 4 n from c),
+u as (select *, sum(n) over (partition by conv_id order by i) s, first_value(role) over (partition by conv_id order by i) = 'system' sys, first_value(n) over (partition by conv_id order by i) n1 from t),
+w(conv_id, start, before) as (select conv_id, 1::bigint, 0::hugeint from u where i = 1 union all
+  select conv_id, i, s - n from (select u.*, row_number() over (partition by u.conv_id, start order by i) k from w join u on u.conv_id = w.conv_id and i > start and s - before > greatest(1, 384 - case when sys then n1 else 0 end)) where k = 1),
+rep as (select w.conv_id, sum(written) extra from w join u on u.conv_id = w.conv_id and i < start and ((sys and i = 1) or (before - (s - n) <= 128)) group by 1)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) loss_sha256, (sum(written) + coalesce(any_value(extra), 0))::bigint formatted_chars from u left join rep using (conv_id) group by conv_id"""
+
+#: op2 and op7 need a checksum or tokenizer that SQL lacks; op1, op3, op4, op6 and op10 models, transducers or signatures. Tests hold these against plain versions.
+SQL: dict[str, str] = {"op5_url_reputation": SQL_OP5, "op8_decontamination": SQL_OP8, "op9_chat_windows": SQL_OP9}
