@@ -58,3 +58,21 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared checkpoint folder: a lost executor costs a read, not a recomputation."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def held(df: DataFrame, rows: int) -> DataFrame:
+    """The checkpointed rows, marked for a broadcast if there are so many at most; else joined as Spark sees fit."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Rows of a batch between Spark and Python. Spark's own default is meant for narrower rows than documents.
+BATCH_ROWS, BATCH_SETTING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; batches to Python become smaller, unless the session sets their size itself."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == "10000":
+        conf.set(BATCH_SETTING, BATCH_ROWS)
+    return df

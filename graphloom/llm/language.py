@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, held, small_batches
 
 #: The model is fitted on at most so many labelled rows, those of the smallest id hashes.
 TRAINING_ROWS = 4000
@@ -25,13 +25,15 @@ HASH_BITS, EFFECTIVE_TRIGRAMS = 16, 60.0
 DECLARED_RELIABILITY, SUFFIX_RELIABILITY, UND_PRIOR = 0.85, 0.7, 0.02
 #: Rows worth of its parent's prior that a host's, domain's or suffix's counts are mixed with.
 PRIOR_WEIGHT = 20.0
+#: Hosts up to which their priors are broadcast (some 150 bytes each); more are joined by a shuffle.
+BROADCAST_HOSTS = 200_000
 # Address suffixes of one main language.
 SUFFIX_LANGUAGES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 UND = "und"
 
 #: Bytes of ASCII letters in lower case and of longer UTF-8 sequences stay, all others become spaces.
 _LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint32)
-_SLICE = 1 << 22
+_SLICE = 1 << 19
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -83,7 +85,7 @@ class Model:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = TRAINING_ROWS) -> Model:
     """From labelled rows: at most ``rows`` of them, whole texts, in order of the hash of their key."""
     c = lambda name: F.col(f"`{name}`")
-    labelled = docs.where(c(label).isNotNull() & c(text).isNotNull() & c(key).isNotNull())
+    labelled = small_batches(docs).where(c(label).isNotNull() & c(text).isNotNull() & c(key).isNotNull())
     chosen = [r[0] for r in labelled.select(c(key)).orderBy(F.xxhash64(c(key)), c(key)).limit(rows).collect()]
     sample = labelled.where(c(key).isin(chosen)).select(c(label).cast("string").alias("language"), c(text).cast("string").alias("text"))
 
@@ -161,6 +163,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None
     scored = docs.withColumn(ll, likelihoods(col(text).cast("string"))).withColumn(key, host_col)
     decided = scored.select(F.col(key).alias("host"), F.when(lettered, top(F.col(ll))).alias("best")).where("best is not null")
     priors = host_priors(decided, len(names)).select(F.col("host").alias(key), F.col("prior").alias(prior))
+    priors = held(priors, BROADCAST_HOSTS)
 
     def told(value: Column, reliability: float) -> Column:
         """Log odds of each class, given one that is told: its own share is the reliability, the others' is even."""

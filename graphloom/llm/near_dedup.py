@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, fresh
+from .common import WORD_BYTES, cut, fresh, held, small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share no band with a chance of (1 - 0.8**6)**32 = 6e-5.
@@ -29,7 +29,7 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Keys of 16 bytes up to which a set of them is broadcast; a larger one is joined by a shuffle.
 BROADCAST_KEYS = 400_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -209,22 +209,16 @@ def _verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", _distance("bag_a", "bag_b").alias("d"))
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """A checkpointed set of keys, to be broadcast if it is small enough."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
-
-
 def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, root) of every text that has a near copy of other words or letters: root is one key of its group."""
     text = F.col("text").cast("string")
-    keyed = docs.where(text.isNotNull()).select(text_key(text).alias("key"), text.alias("text"))
+    keyed = small_batches(docs).where(text.isNotNull()).select(text_key(text).alias("key"), text.alias("text"))
     members = cut(keyed.mapInArrow(_banded, "key binary, bands array<bigint>").select("key", F.explode("bands").alias("bucket")).distinct())
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("n > 1")
     members = cut(members.join(buckets, "bucket"))
     starred = [members.where(f"key != {hub}").select(F.least("key", hub).alias("a"), F.greatest("key", hub).alias("b")) for hub in ("low", "high")]
     pairs = cut(starred[0].union(starred[1]).distinct())
-    involved = _held(members.select("key").distinct())
+    involved = held(members.select("key").distinct(), BROADCAST_KEYS)
     bag = cut(keyed.join(involved, "key", "left_semi").mapInArrow(_bagged, "key binary, bag array<bigint>").dropDuplicates(["key"]))
     tested = cut(_verified(pairs, bag))
     near = F.col("d") <= 1 - similarity + 1e-12

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_series, fresh
+from .common import by_series, fresh, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns of the identifiers.
@@ -195,7 +195,7 @@ def detect(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFram
     Defined results: a null or empty text has none; texts of any length are read whole; repeated rows and null ids stay as
     they are; an empty table stays empty; a column of that name already there is replaced, all others stay.
     """
-    return docs.withColumn(name, spans(F.col(f"`{text}`")))
+    return small_batches(docs).withColumn(name, spans(F.col(f"`{text}`")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -216,5 +216,5 @@ def digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with their spans masked; n_chars, if there is such a column, follows the text; all else stays."""
     (new,) = fresh(docs.columns, "masked")
-    out = docs.withColumn(new, F.pandas_udf(by_series(masked), "string")(F.col("text").cast("string")))
+    out = small_batches(docs).withColumn(new, F.pandas_udf(by_series(masked), "string")(F.col("text").cast("string")))
     return out.select(*(F.col(new).alias(c) if c == "text" else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import PieceCounts, frequent_pieces, tokenizer_path
 
 KEEP, FREQUENT, LIMIT = 2048, 16384, 4096
@@ -45,5 +46,5 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([counts.count(t) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))
     return rows.mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
