@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_series, fresh, small_batches, words_of
+from .common import by_series, fresh, small_batches, tidy, words_of
 
 WINDOW = 10
 #: Item words up to which the automaton is broadcast (some 400 bytes each); a larger benchmark is to be dealt with in parts.
@@ -154,7 +154,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
     rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held, small_batches
+from .common import fresh, give_back, held, small_batches, tidy
 
 #: The model is fitted on at most so many labelled rows, those of the smallest id hashes.
 TRAINING_ROWS = 4000
@@ -33,7 +33,7 @@ UND = "und"
 
 #: Bytes of ASCII letters in lower case and of longer UTF-8 sequences stay, all others become spaces.
 _LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint32)
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
             h = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"language": pa.array([name] * len(h), pa.string()), "hash": pa.array(h, pa.int32()), "n": pa.array(n[h], pa.int64())})
 
-    got = sample.mapInArrow(counted, "language string, hash int, n bigint").groupBy("language", "hash").agg(F.sum("n").alias("n")).toPandas()
+    got = sample.mapInArrow(tidy(counted), "language string, hash int, n bigint").groupBy("language", "hash").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got["language"].unique())
     counts = np.full((1 << HASH_BITS, len(languages) + 1), 0.25)
     for j, name in enumerate(languages):
@@ -153,7 +153,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None
 
     @F.pandas_udf("array<double>")
     def likelihoods(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(shared.value.log_likelihoods([t or None for t in texts])))
+        out = pd.Series(list(shared.value.log_likelihoods([t or None for t in texts])))
+        give_back()
+        return out
 
     ll, best, prior, post, key = fresh(docs.columns, "log_likelihoods", "best", "prior", "posterior", "host_key")
     col = lambda name: F.col(f"`{name}`")

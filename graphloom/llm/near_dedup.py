@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, fresh, held, small_batches
+from .common import WORD_BYTES, cut, fresh, held, small_batches, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share no band with a chance of (1 - 0.8**6)**32 = 6e-5.
@@ -29,7 +29,7 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Keys of 16 bytes up to which a set of them is broadcast; a larger one is joined by a shuffle.
 BROADCAST_KEYS = 400_000
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -213,13 +213,13 @@ def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, root) of every text that has a near copy of other words or letters: root is one key of its group."""
     text = F.col("text").cast("string")
     keyed = small_batches(docs).where(text.isNotNull()).select(text_key(text).alias("key"), text.alias("text"))
-    members = cut(keyed.mapInArrow(_banded, "key binary, bands array<bigint>").select("key", F.explode("bands").alias("bucket")).distinct())
+    members = cut(keyed.mapInArrow(tidy(_banded), "key binary, bands array<bigint>").select("key", F.explode("bands").alias("bucket")).distinct())
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("n > 1")
     members = cut(members.join(buckets, "bucket"))
     starred = [members.where(f"key != {hub}").select(F.least("key", hub).alias("a"), F.greatest("key", hub).alias("b")) for hub in ("low", "high")]
     pairs = cut(starred[0].union(starred[1]).distinct())
     involved = held(members.select("key").distinct(), BROADCAST_KEYS)
-    bag = cut(keyed.join(involved, "key", "left_semi").mapInArrow(_bagged, "key binary, bag array<bigint>").dropDuplicates(["key"]))
+    bag = cut(keyed.join(involved, "key", "left_semi").mapInArrow(tidy(_bagged), "key binary, bag array<bigint>").dropDuplicates(["key"]))
     tested = cut(_verified(pairs, bag))
     near = F.col("d") <= 1 - similarity + 1e-12
     linked = components(tested.where(near))
@@ -277,5 +277,12 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(mark).alias(mark))
     first = first.join(roots(docs, similarity).withColumnsRenamed({"key": key, "root": root}), key, "left").withColumn(root, F.coalesce(root, key))
     best = first.groupBy(root).agg(F.min(F.struct(mark, key)).alias("best")).select(F.col(f"best.{mark}").alias(mark), F.col(f"best.{key}").alias(key))
-    kept = keyed.join(best, [key, mark], "left_semi").dropDuplicates([key, mark])
+    best = cut(best)
+    rows = keyed.where(F.col(key).isNotNull()).groupBy(key, mark).agg(F.count("*").alias("n"))
+    gone = cut(rows.join(best.withColumn("stays", F.lit(True)), [key, mark], "left").where("stays is null or n > 1"))
+    few = gone.count() <= BROADCAST_KEYS
+    if few and gone.where("stays").isEmpty():  # no text needs to be shuffled
+        kept = keyed.where(F.col(key).isNotNull()).join(F.broadcast(gone.select(key, mark)), [key, mark], "left_anti")
+    else:
+        kept = keyed.join(best, [key, mark], "left_semi").dropDuplicates([key, mark])
     return kept.select(*[F.col(f"`{c}`") for c in columns]).unionByName(docs.where(F.col("text").isNull()))

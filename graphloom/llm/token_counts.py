@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 from .tokens import PieceCounts, frequent_pieces, tokenizer_path
 
 KEEP, FREQUENT, LIMIT = 2048, 16384, 4096
@@ -26,7 +26,7 @@ def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
         found = frequent_pieces((t for b in batches for t in b.column(0).to_pylist()), KEEP)
         yield pa.RecordBatch.from_pydict({"piece": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
 
-    top = docs.select(F.col("text").cast("string")).mapInArrow(local, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
+    top = docs.select(F.col("text").cast("string")).mapInArrow(tidy(local), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
     counts = PieceCounts(path)
     return {r.piece: counts[r.piece] for r in top.select("piece").collect()}
 
@@ -47,4 +47,4 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
 
     text = F.col("text").cast("string")
     rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))
-    return rows.mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(tidy(count), "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)

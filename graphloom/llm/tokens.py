@@ -15,7 +15,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries that a worker's cache holds before it starts anew, and the longest piece it keeps: together they bound its memory.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
 #: For ``bytes.translate``: A-Z become lower case.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words whose letters every Unicode version knows and that stay as long in lower case, and such words with marks after them.
