@@ -239,15 +239,17 @@ def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sizes = known.groupBy("bucket", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
     shared = known.groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # at most BANDS
-    known = known.join(shared, "key").join(bag, "key").join(main, "bucket").withColumn("apart", F.col("root") != F.col("main"))
+    known = known.join(shared, "key").join(bag.select("key", F.transform("bag", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int")).alias("bag")), "key").join(main, "bucket").withColumn("apart", F.col("root") != F.col("main"))
     sides = ("key", "root", "d_low", "d_high", "buckets", "bag")
     apart = known.where("apart").select(F.col("bucket").alias("x_bucket"), *[F.col(c).alias(f"x_{c}") for c in sides])
     once = (~F.col("apart") | (F.col("x_key") < F.col("key"))) & (F.get(F.array_intersect("buckets", "x_buckets"), F.lit(0)) == F.col("bucket"))
     bound = 1 - similarity + 1e-9
     may_be_near = (F.abs(F.col("d_low") - F.col("x_d_low")) <= bound) & (F.abs(F.col("d_high") - F.col("x_d_high")) <= bound)
-    # The bags are compared within the join, so that only links leave it
+    # The bags are compared within the join, so that only links leave it. 32 bits of each hash are enough here: where two meet
+    # by chance, the distance only seems smaller, and what leaves the join is verified in full
     links = known.join(apart, (F.col("bucket") == F.col("x_bucket")) & (F.col("root") != F.col("x_root")) & may_be_near & once & (_distance("bag", "x_bag") <= bound))
-    more = cut(links.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")))
+    links = cut(links.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")))
+    more = cut(_verified(links, bag).where(near))
     if more.isEmpty():
         return linked
     return components(tested.where(near).select("a", "b").union(more.select("a", "b")))
