@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import exprs
-from .operators import budget, classify, graph, incremental, resolve, rules, traverse
+from .operators import budget, classify, extract, graph, incremental, resolve, rules, traverse
 from .operators.graph import Graph
 from .operators.search import search
 from .plans import driver_graph as dg
+from .plans import source_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -505,3 +506,36 @@ def task_files_by_role(spark, d):
     role = F.when(F.col("p_type").endswith("STEEL") | F.lower("p_type").startswith("e"), 1).when(F.col("p_size") > 25, 2).otherwise(3)
     first = graph.first_match(part.select(F.col("p_brand").alias("path"), role.alias("rank"), F.col("p_partkey").alias("urn")), ["path"], [F.col("rank"), F.col("urn")])
     return first.select("path", F.get(F.array(*map(F.lit, ("API", "Service", "Model"))), F.col("rank") - 1).alias("role"), "urn")
+
+
+# Facts from source files
+
+
+@query(source_tree.SQL + """
+select path, 'class' kind, 'Order' || o as name, null as scope, 2 start_line, case l when 0 then b when 1 then b + 1 when 2 then 3 else b + 5 end::int end_line, true is_exported from f
+union all select path, 'method', 'line_' || p, 'Order' || o, (h + 1 + e * k)::int, (h + e * (k + 1))::int, l in (0, 3) from p
+union all select path, case l when 3 then 'method' else 'function' end, 'show_' || o, case l when 3 then 'Order' || o end, (b + case l when 1 then 3 when 2 then 1 else 2 end)::int, (b + case l when 0 then 3 when 1 then 5 when 2 then 3 else 4 end)::int, l <> 2 from f""")
+def extract_symbols(spark, d):
+    return extract.symbols(source_tree.files(spark, d)).select("path", "kind", "name", "scope", "start_line", "end_line", "is_exported")
+
+
+@query(source_tree.SQL + """
+select path source_file, case l when 0 then 'shop.customers' when 1 then './customers' when 2 then 'shop/customers' else 'shop.customers.Customer' || c end module_specifier,
+  case l when 2 then 'customers' else 'Customer' || c end symbol, l = 2 is_namespace, 1 line from f""")
+def extract_imports(spark, d):
+    found = extract.imports(source_tree.files(spark, d))
+    return found.select("source_file", "module_specifier", F.explode("imported_symbols").alias("symbol"), "is_namespace", "line")
+
+
+@query(source_tree.SQL + """
+select path, 'GET' http_method, '/orders/' || o route_path, (b + case l when 0 then 1 when 1 then 2 when 2 then 4 else 1 end)::int line from f""")
+def extract_routes(spark, d):
+    return extract.routes(source_tree.files(spark, d)).select("path", "http_method", "route_path", "line")
+
+
+@query(source_tree.SQL + """
+select path file, 'line_' || p caller, 'price_' || p callee_name, (h + 2 + e * k)::int line from p
+union all select path, 'show_' || o, 'Order' || o, (b + case l when 0 then 3 when 1 then 4 when 2 then 2 else 3 end)::int from f
+union all select path, null, case l when 1 then 'app.get' else 'r.Get' end, (b + case l when 1 then 2 else 4 end)::int from f where l in (1, 2)""")
+def extract_calls(spark, d):
+    return extract.calls(source_tree.files(spark, d))
