@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import exprs
-from .operators import budget, classify, extract, graph, incremental, resolve, rules, traverse
+from .operators import budget, classify, context, extract, graph, incremental, resolve, rules, traverse
 from .operators.graph import Graph
 from .operators.search import search
 from .plans import driver_graph as dg
@@ -539,3 +539,19 @@ union all select path, 'show_' || o, 'Order' || o, (b + case l when 0 then 3 whe
 union all select path, null, case l when 1 then 'app.get' else 'r.Get' end, (b + case l when 1 then 2 else 4 end)::int from f where l in (1, 2)""")
 def extract_calls(spark, d):
     return extract.calls(source_tree.files(spark, d))
+
+
+CONTEXT = """with s as (select p_type f, p_partkey % 3 c, '## ' || case p_partkey % 3 when 0 then 'API Endpoints' when 1 then 'Core Services & Functions' else 'Related Tests' end || chr(10) || string_agg('- ' || p_name, chr(10) order by p_partkey, p_name) || chr(10) x from part where p_size = 1 group by p_type, p_partkey % 3),
+k as (select *, ceil(length(x) / 3.3::double + 0.25 * {punct_x})::bigint n from s), h as (select distinct p_type f, '# Feature Context: ' || p_type || chr(10) x from part),
+p as (select f, h.x h, ceil(length(h.x) / 3.3::double + 0.25 * {punct_h})::bigint hn, a.x a, coalesce(a.n, 1000) an, v.x v, coalesce(v.n, 1000) vn, t.x t, coalesce(t.n, 1000) tn
+  from h left join (from k where c = 0) a using (f) left join (from k where c = 1) v using (f) left join (from k where c = 2) t using (f)),
+p1 as (select *, hn + an <= 60 ta, hn + case when hn + an <= 60 then an else 0 end s1 from p), p2 as (select *, s1 + vn <= 60 tv, s1 + case when s1 + vn <= 60 then vn else 0 end s2 from p1)
+select f feature, concat_ws(chr(10), h, case when ta then a end, case when tv then v end, case when s2 + tn <= 60 then t end) context, 1 + ta::int + tv::int + (s2 + tn <= 60)::int sections from p2"""
+
+
+@query(CONTEXT.format(punct_x=PUNCT_SQL.format(x="x"), punct_h=PUNCT_SQL.format(x="h.x")))
+def feature_contexts(spark, d):
+    part = dg.table(spark, d, "part")
+    category = F.get(F.array(*map(F.lit, ("api", "services", "tests"))), (F.col("p_partkey") % 3).cast("int"))
+    members = part.where("p_size = 1").select(F.col("p_type").alias("feature"), category.alias("category"), F.col("p_name").alias("line"), F.col("p_partkey").alias("sort"))
+    return context.contexts(part.select(F.col("p_type").alias("feature"), F.col("p_type").alias("title")).distinct(), members, 60).select("feature", "context", "sections")
