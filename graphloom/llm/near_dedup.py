@@ -213,11 +213,13 @@ def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, root) of every text that has a near copy of other words or letters: root is one key of its group."""
     text = F.col("text").cast("string")
     keyed = small_batches(docs).where(text.isNotNull()).select(text_key(text).alias("key"), text.alias("text"))
-    members = cut(keyed.mapInArrow(tidy(_banded), "key binary, bands array<bigint>").select("key", F.explode("bands").alias("bucket")).distinct())
+    # One row a text is kept and shuffled here; its BANDS rows are made where they are used
+    signed = cut(keyed.mapInArrow(tidy(_banded), "key binary, bands array<bigint>").dropDuplicates(["key"]))
+    members = signed.select("key", F.explode(F.array_distinct("bands")).alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("n > 1")
     members = cut(members.join(buckets, "bucket"))
     starred = [members.where(f"key != {hub}").select(F.least("key", hub).alias("a"), F.greatest("key", hub).alias("b")) for hub in ("low", "high")]
-    pairs = cut(starred[0].union(starred[1]).distinct())
+    pairs = starred[0].union(starred[1]).distinct()
     involved = held(members.select("key").distinct(), BROADCAST_KEYS)
     bag = cut(keyed.join(involved, "key", "left_semi").mapInArrow(tidy(_bagged), "key binary, bag array<bigint>").dropDuplicates(["key"]))
     tested = cut(_verified(pairs, bag))
