@@ -88,6 +88,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a task where a table of known size is narrow.
+TASK_ROWS = 50_000
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows in no more partitions than about so many rows need, or the cluster has cores: a small table stays in few files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS))
+
+
 def held(df: DataFrame, rows: int) -> DataFrame:
     """The checkpointed rows, marked for a broadcast if there are so many at most; else joined as Spark sees fit."""
     df = cut(df)

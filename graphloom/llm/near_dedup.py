@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, fresh, held, small_batches, tidy
+from .common import WORD_BYTES, cut, fitted, fresh, held, small_batches, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share no band with a chance of (1 - 0.8**6)**32 = 6e-5.
@@ -179,21 +179,33 @@ def text_key(text: Column) -> Column:
 
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key in links (a, b): the least key of its connected component, by stars that grow and shrink."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
-    edges = cut(edges)
-    while True:
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    before, now = None, _state(edges)
+    while now != before:
+        edges = fitted(edges, now[0])
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.where("m < u").select("u", "m")).distinct()
+        large = fitted(large.union(least.where("m < u").select("u", "m")), now[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        edges = cut(small.distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = now
+        edges = cut(fitted(small, now[0]).distinct())
+        before, now = now, _state(edges)
+    return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+
+
+def _state(edges: DataFrame) -> tuple[int, int | None]:
+    """Number and checksum: equal once a round has changed nothing."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def _merged(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``linked`` (key, root) after further links (a, b): only roots that these touch are looked at again."""
+    of = [linked.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    ends = more.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = cut(components(ends))
+    old = linked.join(moved.select(F.col("key").alias("root"), F.col("root").alias("now")), "root", "left").select("key", F.coalesce("now", "root").alias("root"))
+    return old.union(moved.join(linked, "key", "left_anti"))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -224,7 +236,7 @@ def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     bag = cut(keyed.join(involved, "key", "left_semi").mapInArrow(tidy(_bagged), "key binary, bag array<bigint>").dropDuplicates(["key"]))
     tested = cut(_verified(pairs, bag))
     near = F.col("d") <= 1 - similarity + 1e-12
-    linked = components(tested.where(near))
+    linked = cut(components(tested.where(near)))
 
     def to_hub(hub: str) -> DataFrame:
         """What the test of each member against a hub gave, by bucket."""
@@ -254,7 +266,7 @@ def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more = cut(_verified(links, bag).where(near))
     if more.isEmpty():
         return linked
-    return components(tested.where(near).select("a", "b").union(more.select("a", "b")))
+    return _merged(linked, more)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

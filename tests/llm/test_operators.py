@@ -213,3 +213,34 @@ def test_packing_cells():
 
 def test_words():
     assert words_of("A-b É1\tx") == [b"a", b"b", "É1".encode(), b"x"]
+
+
+def test_components_and_later_links_against_union_find(spark):
+    rng = random.Random(5)
+    keys = [bytes([i // 256, i % 256]) for i in range(400)]
+    links = [(keys[rng.randrange(300)], keys[rng.randrange(300)]) for _ in range(160)] + [(keys[0], k) for k in keys[5:40]] + list(zip(keys[100:130], keys[101:131], strict=True))
+    later = [(keys[3], keys[399]), (keys[120], keys[7]), (keys[350], keys[351]), (keys[351], keys[352])]
+
+    def least(pairs):
+        parent = {}
+
+        def find(k):
+            while parent.setdefault(k, k) != k:
+                k = parent[k]
+            return k
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        return {k: find(k) for k in parent}
+
+    def rows(df):
+        got = [(bytes(r.key), bytes(r.root)) for r in df.collect()]
+        assert len(got) == len(set(got))
+        return dict(got)
+
+    first = spark.createDataFrame([p for p in links if p[0] != p[1]], "a binary, b binary")
+    linked = near_dedup.components(first)
+    assert rows(linked) == least([p for p in links if p[0] != p[1]])
+    merged = near_dedup._merged(linked, spark.createDataFrame(later, "a binary, b binary"))
+    assert rows(merged) == least([p for p in links if p[0] != p[1]] + later)
