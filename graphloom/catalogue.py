@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import exprs
-from .operators import budget, classify, context, extract, graph, incremental, resolve, rules, traverse
+from .operators import brief, budget, classify, context, extract, graph, incremental, resolve, rules, traverse
 from .operators.graph import Graph
 from .operators.search import search
 from .plans import driver_graph as dg
@@ -508,6 +508,41 @@ def task_files_by_role(spark, d):
     return first.select("path", F.get(F.array(*map(F.lit, ("API", "Service", "Model"))), F.col("rank") - 1).alias("role"), "urn")
 
 
+@query(dg.sql(""", m as (select target_urn feature, source_urn urn from edges where relationship = 'implements'), c as (select * from edges where relationship = 'calls'),
+k as (select target_urn urn, count(*) callers, count(distinct path) > 1 shared from c join nodes on urn = source_urn group by 1),
+f as (select feature, n.*, coalesce(callers, 0) callers, coalesce(shared, false) shared from m join nodes n using (urn) left join k using (urn)),
+a as (select distinct feature, n.* from m join edges e on e.target_urn = m.urn and e.relationship = 'exposes' join nodes n on n.urn = e.source_urn),
+b as (select *, row_number() over (partition by feature order by callers desc, urn) k from f where shared)
+select urn feature, 'FEATURE' section, '' sort, 'FEATURE ' || name line from nodes where kind = 'feature'
+union all select feature, 'ENTRY', urn, path || ':' || start_line || '-' || end_line || ' ' || name || case when shared then ' !shared(' || callers || ')' else '' end from f
+union all select feature, 'API', urn, name || ' @ ' || path || ':' || start_line from a
+union all select feature, 'BLAST RADIUS', printf('%04d', k), name || ' ' || path || ':' || start_line || ': ' || callers || ' callers' from b where k <= 8"""))
+def brief_lines(spark, d):
+    g = dg.graph(spark, d)
+    return brief.brief_lines(g, g.active().where("kind = 'feature'").select(F.col("urn").alias("feature"), F.col("name").alias("title")))
+
+
+@query(dg.sql(""", m as (select e.target_urn subject, n.urn, n.kind, n.name, n.path from edges e join nodes n on n.urn = e.source_urn where e.relationship = 'implements'
+  union select i.target_urn, n.urn, n.kind, n.name, n.path from edges i join edges x on x.target_urn = i.source_urn and x.relationship = 'exposes' join nodes n on n.urn = x.source_urn where i.relationship = 'implements'),
+s as (select *, row_number() over (partition by subject order by path, name, urn) k from m where kind = 'symbol'), r as (select * from m where kind = 'route'), any_route as (select distinct subject from r)
+select subject, 1 phase, 'Services' title, urn, name, path from s where k <= 5
+union all select subject, 2, 'Endpoints', urn, name, path from r
+union all select subject, case when subject in (from any_route) then 3 else 2 end, 'Verification', null, null, null from (select distinct subject from m)"""))
+def plan_phases(spark, d):
+    g = dg.graph(spark, d)
+    m = g.edges.where("relationship = 'implements'").select(F.col("target_urn").alias("subject"), F.col("source_urn").alias("urn"))
+    x = g.edges.where("relationship = 'exposes'").select(F.col("target_urn").alias("urn"), F.col("source_urn").alias("by"))
+    both = m.union(m.join(x, "urn").select("subject", "by")).distinct()
+    return brief.phases(both.join(g.active().select("urn", "kind", "name", "path"), "urn").select("subject", "urn", "kind", "name", "path"))
+
+
+@query(dg.sql("""
+select 'node' part, to_json({'urn': urn, 'kind': kind, 'name': name, 'path': path})::varchar json from nodes
+union all select 'edge', to_json({'source_urn': source_urn, 'target_urn': target_urn, 'relationship': relationship})::varchar from edges"""))
+def graph_payload(spark, d):
+    return brief.payload(dg.graph(spark, d))
+
+
 # Facts from source files
 
 
