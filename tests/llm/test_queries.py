@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,37 @@ def test_op4_edges(spark):
     assert not ann.search(df.limit(0), F.col("vec_id") == 0).collect()
 
 
+def test_op4_all_candidates(spark):
+    """With fewer than k candidates all are found, whatever their place; repeated rows take no other's place."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (4, [0.0, 0.0]), (7, [2.0, 0.0]), (9, [1000.0, -5.0])]
+    df = spark.createDataFrame(rows + [(1, [1.0, 0.0])] * 12, "vec_id bigint, embedding array<float>")
+    got = ann.search(df, F.col("vec_id").isin(0, 9), k=10).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 7), (0, 3, 9), (9, 1, 7), (9, 2, 0), (9, 3, 1)]
+
+
+def test_op4_mixed_norms(spark):
+    """Long vectors, a hot cluster and a hot vector: every query has 10 rows, and most of its true neighbours."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64)) / 8
+    for first, times in ((0, 3), (10, 5), (20, 10)):
+        x[first:4000:130] *= times
+    x[5:4000:4] = x[5] + 0.01 * rng.normal(size=x[5:4000:4].shape)
+    x[7:4000:40] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    asked = [*range(0, 390, 130), *range(10, 400, 130), *range(20, 410, 130), *range(9, 109, 4), 7, 47, *range(3, 203, 20)]
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id").isin(asked)).orderBy("query_id", "rank").collect():
+        assert r.score == pytest.approx(math.dist(x[r.query_id], x[r.vec_id]), abs=1e-12)
+        got[r.query_id].append((r.score, r.vec_id))
+    share = {}
+    for q in asked:
+        want = sorted((s, i) for i, s in enumerate(np.sqrt(((x - x[q]) ** 2).sum(axis=1))) if i != q)[:10]
+        assert got[q] == sorted(got[q]) and len(got[q]) == 10
+        share[q] = len({i for _, i in want} & {i for _, i in got[q]}) / 10
+    assert sum(share.values()) >= 0.95 * len(asked)
+    assert sum(share[q] for q in asked[:12]) >= 0.9 * 12
+
+
 def test_op6_pieces(spark, small, docs):
     from tokenizers import Tokenizer
 
