@@ -4,6 +4,9 @@ Base identifiers are found by the fixed patterns below. For disguised ones a cha
 to ASCII, spelled digits to digits, bracketed or spelled "at" and "dot" to @ and .) and keeps, for each rewritten piece, where
 in its input it stood. The same patterns run over the rewritten text, and their spans are mapped back through the chain to
 source characters. Every pattern is applied in time linear in the text.
+
+Spelled words are those of English, French, German and Spanish. "at" before an unmarked "point" counts only where the domain ends
+in a "point" and a label of ``POINT_ENDS`` ("at this point in" is no address); French "chez" and German "bei" for "at" aren't taken.
 """
 
 from __future__ import annotations
@@ -35,20 +38,37 @@ HOMOGLYPHS = str.maketrans(
     | dict(zip("αονρικ", "aovpik", strict=True))
     | dict(zip("․。｡‐‑‒–−   ﹫", "...-----   @", strict=True))
 )
-DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Of English, French, German and Spanish, in this order.
+_DIGITS = "zero one two three four five six seven eight nine", "zéro un deux trois quatre cinq six sept huit neuf", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve"
+_FORMS = {"ze\u0301ro": "0", "une": "1", "zwo": "2", "fu\u0308nf": "5", "fuenf": "5"}
+DIGIT_WORDS = {w: str(i) for words in _DIGITS for i, w in enumerate(words.split())} | _FORMS
+_AT, _DOT, _PLUS = "arroba|arobase|arrobase|klammeraffe", "dot|punto|punkt|point", "plus|más|ma\u0301s|mas"
+POINT_ENDS = "fr|com|org|net|eu|be|ch|ca|lu|info"
 ODD = re.compile("[" + "".join(map(re.escape, map(chr, HOMOGLYPHS))) + "]")
+WORDS = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f][^\W\d_]*)*")
 INVISIBLE = re.compile("[​-‍⁠﻿­]")
-_DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
-#: At least three spelled digits in a row (with spaces or hyphens between them), or one between two dots.
-SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9]){_DIGIT}(?:[ -]{_DIGIT})*(?![A-Za-z0-9])")
-PLUS_WORD = re.compile(r"(?i)(?<![A-Za-z0-9])plus (?=[0-9])")
-DOT_BETWEEN_DIGITS = re.compile(r"(?i)(?<=[0-9]) (?:dot|point) (?=[0-9])")
-AT_MARK = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])\s{0,2}(?:\[\s?(?:at|@)\s?\]|\(\s?(?:at|@)\s?\)|\{\s?(?:at|@)\s?\}|<\s?(?:at|@)\s?>)\s{0,2}(?=[A-Za-z0-9])")
-DOT_MARK = re.compile(r"(?i)(?<=[A-Za-z0-9-])\s{0,2}(?:\[\s?(?:dot|\.)\s?\]|\(\s?(?:dot|\.)\s?\)|\{\s?(?:dot|\.)\s?\}|<\s?(?:dot|\.)\s?>)\s{0,2}(?=[A-Za-z0-9])")
-#: "name at host dot org": the spelled at counts only with a spelled or marked dot after its next word.
-AT_WORD = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-]) at (?=[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-]))")
-DOT_WORD = re.compile(r"(?i)(?<=[A-Za-z0-9-]) dot (?=[A-Za-z0-9-])")
-AFTER_AT = re.compile(r"@[A-Za-z0-9.-]*[A-Za-z0-9]\Z")
+_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + ")"
+#: Spelled digits in a row, with spaces or hyphens between them.
+SPELLED = re.compile(rf"(?i)\b(?<![^\W_]){_DIGIT}(?:[ -]{_DIGIT})*(?![^\W_\u0300-\u036f]|[\u0300-\u036f])")
+PLUS_WORD = re.compile(rf"(?i)(?<![^\W_])(?:{_PLUS}) (?=[0-9])")
+DOT_BETWEEN_DIGITS = re.compile(rf"(?i)(?<=[0-9]) (?:{_DOT}) (?=[0-9])")
+
+
+def _marked(words: str) -> str:
+    return r"\s{0,2}(?:" + "|".join(rf"{a}\s?(?:{words})\s?{b}" for a, b in ((r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"), ("<", ">"))) + r")\s{0,2}"
+
+
+_LABEL, _DOT_MARK = "[A-Za-z0-9-]{1,63}", _marked(rf"{_DOT}|\.")
+AT_MARK = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-]){_marked(f'at|@|{_AT}')}(?=[A-Za-z0-9])")
+DOT_MARK = re.compile(rf"(?i)(?<=[A-Za-z0-9-]){_DOT_MARK}(?=[A-Za-z0-9])")
+#: "name at host dot org": the spelled at counts only with a spelled or marked dot in the domain; its other names, with any dot.
+AT_WORD = re.compile(
+    rf"(?i)(?<=[A-Za-z0-9_%+-])(?: at (?={_LABEL}(?:(?:\.| point ){_LABEL})*(?:(?: (?:dot|punto|punkt) |{_DOT_MARK})[A-Za-z0-9-]| point (?:{POINT_ENDS})(?![A-Za-z0-9-])))"
+    rf"| (?:{_AT}) (?={_LABEL}(?:\.| (?:{_DOT}) |{_DOT_MARK})[A-Za-z0-9-]))"
+)
+DOT_WORD = re.compile(rf"(?i) (?:{_DOT}) ")
+#: A domain with spelled dots, any number of them.
+DOTTED = re.compile(rf"(?i)@[A-Za-z0-9-]+(?:(?:\.| (?:{_DOT}) )[A-Za-z0-9-]+)+")
 
 Span = tuple[str, int, int]
 
@@ -118,7 +138,7 @@ def _spelled(m: re.Match) -> str:
 
 
 def rewrite(text: str) -> list[Transducer]:
-    """The chain of rewritings that change this text. Spelled digits count three in a row or more, or in a dotted or plus form."""
+    """The chain of rewritings that change this text. Marked dots become dots after spelled ats, which look for them."""
     chain: list[Transducer] = []
 
     def add(edits: list[tuple[int, int, str]]) -> None:
@@ -133,23 +153,22 @@ def rewrite(text: str) -> list[Transducer]:
         if ODD.search(text):
             add([(*m.span(), m[0].translate(HOMOGLYPHS)) for m in ODD.finditer(text)])
     low = text.lower()
-    if any(w in low for w in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")):
+    if not DIGIT_WORDS.keys().isdisjoint(WORDS.findall(low)):
         add([(*m.span(), _spelled(m)) for m in SPELLED.finditer(text)])
-    if "plus " in low:
+    if any(f"{w} " in low for w in _PLUS.split("|")):
         add([(*m.span(), "+") for m in PLUS_WORD.finditer(text)])
-    if " dot " in low or " point " in low:
+    spelled_dots = any(f" {w} " in low for w in _DOT.split("|"))
+    if spelled_dots:
         add([(*m.span(), ".") for m in DOT_BETWEEN_DIGITS.finditer(text)])
-    if any(c in text for c in "[({<"):
+    marks = any(c in text for c in "[({<")
+    if marks:
         add([(*m.span(), "@") for m in AT_MARK.finditer(text)])
-        add([(*m.span(), ".") for m in DOT_MARK.finditer(text)])
-    if " at " in text.lower():
+    if " at " in low or any(f" {w} " in low for w in _AT.split("|")):
         add([(*m.span(), "@") for m in AT_WORD.finditer(text)])
-    if " dot " in text.lower():
-        for _ in range(4):  # each turn brings the next spelled dot of a domain next to its @
-            edits = [(*m.span(), ".") for m in DOT_WORD.finditer(text) if AFTER_AT.search(text, max(0, m.start() - 260), m.start())]
-            add(edits)
-            if not edits:
-                break
+    if marks:
+        add([(*m.span(), ".") for m in DOT_MARK.finditer(text)])
+    if spelled_dots and "@" in text:
+        add([(*d.span(), ".") for m in DOTTED.finditer(text) for d in DOT_WORD.finditer(text, *m.span())])
     return chain
 
 

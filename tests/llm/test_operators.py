@@ -165,6 +165,42 @@ def test_disguises(text, want):
     assert [text[s:e] for _, s, e, _ in pii.find(text)] == want
 
 
+AT = [" at ", " [at] ", "(at)", "@", " arroba ", " arobase ", " {arroba} ", " <Klammeraffe> ", " Klammeraffe "]
+DOT = [" dot ", " [dot] ", "(dot)", ".", "[.]", " punto ", " Punkt ", "(punkt)", " point ", "[point]"]
+
+
+@pytest.mark.parametrize("at", AT)
+@pytest.mark.parametrize("dot", DOT)
+def test_disguised_emails_of_mixed_forms(at, dot):
+    """One dot, and two of them that differ. A spelled "at" needs more than literal dots, and a "point" before the last label; a base address keeps its own end."""
+    rests = [(f"example{dot}com", {dot}), *((f"mail{dot}example{other}com", {dot, other}) for other in DOT)]
+    for rest, dots in rests:
+        if (at == " at " and (dots == {"."} or rest == "mail point example.com")) or (at == "@" and dot == "."):
+            continue
+        text = f"so: john{at}{rest}, yes"
+        assert [text[s:e] for k, s, e, _ in pii.find(text) if k == "email"] == [f"john{at}{rest}"], text
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "want"),
+    [
+        ("john at a dot b [dot] c dot d dot e dot f (dot) g dot org now", "email", "john at a dot b [dot] c dot d dot e dot f (dot) g dot org"),
+        ("appelez plus trois trois un deux trois quatre cinq six sept huit neuf", "phone", "plus trois trois un deux trois quatre cinq six sept huit neuf"),
+        ("Anruf: plus vier neun null eins zwei drei vier FÜNF sechs sieben acht", "phone", "plus vier neun null eins zwei drei vier FÜNF sechs sieben acht"),
+        ("llame más tres cuatro cero uno dos tres cuatro cinco seis siete ocho", "phone", "más tres cuatro cero uno dos tres cuatro cinco seis siete ocho"),
+        ("ip zéro punto dos Punkt neuf point acht ok", "ip", "zéro punto dos Punkt neuf point acht"),
+        ("carte quatre " + "un " * 14 + "une", "card", "quatre " + "un " * 14 + "une"),
+    ],
+)
+def test_disguises_of_all_languages(text, kind, want):
+    assert [(k, text[s:e]) for k, s, e, _ in pii.find(text)] == [(kind, want)]
+
+
+@pytest.mark.parametrize("text", ["look at this point in time", "at that point the dot is at home", "un point, deux points", "arroba de trigo", "Punkt eins am Punkt zwei"])
+def test_no_disguise(text):
+    assert pii.find(text) == []
+
+
 def test_piecewise_tokens_equal_the_library():
     rng = random.Random(1)
     parts = ["a", "The", "é", "é", " ", "  ", "\n", "\t", ".", ",", "...", "'s", "'", "İ", "Σ", "▁", "<|endoftext|>", "<|ENDOFTEXT|>", "</s>", "1", "😀", "́", "K", "<0x0A>", "\x00", "中", "-", "x.'s", "$$$"]
