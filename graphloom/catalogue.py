@@ -133,6 +133,31 @@ def orphan_features(spark, d):
     return graph.orphan_features(Graph(g.nodes, live)).select("urn")
 
 
+# The same over all line items
+
+
+@query(dg.sql("""
+select urn, name, path from nodes n where kind = 'symbol' and not exists (select 1 from edges where target_urn = n.urn)"""))
+def dead_symbols(spark, d):
+    g = dg.graph(spark, d)
+    return graph.unreferenced(g.active().where("kind = 'symbol'"), g.edges).select("urn", "name", "path")
+
+
+@query(dg.sql(""", p as (select urn, path from nodes where path <> ''), used as (select b.path from edges join p a on a.urn = source_urn join p b on b.urn = target_urn where a.path <> b.path)
+select distinct path from p where path not in (select path from used)"""))
+def unconsumed_paths_whole(spark, d):
+    return graph.unconsumed_paths(dg.graph(spark, d))
+
+
+@query(dg.sql("""
+select urn from nodes where kind = 'feature' and urn not in (select target_urn from edges e where relationship = 'implements' and source_urn in (select target_urn from edges where relationship = 'calls'))"""))
+def orphan_features_whole(spark, d):
+    g = dg.graph(spark, d)
+    called = g.edges.where("relationship = 'calls'").select(F.col("target_urn").alias("source_urn"))
+    live = g.edges.where("relationship = 'implements'").join(called, "source_urn", "left_semi")
+    return graph.orphan_features(Graph(g.nodes, live)).select("urn")
+
+
 # Features
 
 
