@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, tidy
-from .tokens import WordIds, tokenizer_path
+from .tokens import tokenizer_path, word_ids
 
 SEQUENCE, END_ID, CELL_TOKENS = 4096, 2, 1 << 20
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n. Their ratio is that of 12 * width to 2 for a width of 1024.
 LINEAR, QUADRATIC = 6144.0, 1.0
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-#: doc_id, start, end of the piece in its document, and the document's ids as bytes.
+#: doc_id, start in its document, ids, and the document's number of tokens.
 Piece = tuple
 
 
@@ -41,32 +41,32 @@ def pack_cell(pieces: list[Piece], sequences: int, size: int = SEQUENCE) -> tupl
     costs, room = np.zeros(sequences), np.full(sequences, size)
     placed: list[tuple[int, int, Piece]] = []
     left: list[Piece] = []
-    for doc, start, end, ids in sorted(pieces, key=lambda p: (p[1] - p[2], p[0] is None, p[0] or 0, p[1])):
-        while start < end:
-            fits = room >= end - start
+    for doc, start, ids, whole in sorted(pieces, key=lambda p: (-len(p[2]), p[0] is None, p[0] or 0, p[1])):
+        while len(ids):
+            fits = room >= len(ids)
             open_ = fits if fits.any() else room > 0
             if not open_.any():
-                left.append((doc, start, end, ids))
+                left.append((doc, start, ids, whole))
                 break
             k = int(np.where(open_, costs, np.inf).argmin())
-            n = int(min(room[k], end - start))
-            placed.append((k, size - int(room[k]), (doc, start, start + n, ids)))
+            n = int(min(room[k], len(ids)))
+            placed.append((k, size - int(room[k]), (doc, start, ids[:n], whole)))
             costs[k] += cost(n)
             room[k] -= n
-            start += n
+            start, ids = start + n, ids[n:]
     return placed, left
 
 
 def pack_rest(pieces: list[Piece], size: int = SEQUENCE) -> list[tuple[int, int, Piece]]:
     """The pieces one after another in sequences whose lengths are powers of two."""
-    total = sum(p[2] - p[1] for p in pieces)
+    total = sum(len(p[2]) for p in pieces)
     lengths = [size] * (total // size) + [1 << b for b in reversed(range(size.bit_length())) if (total % size) >> b & 1]
     placed, k, used = [], 0, 0
-    for doc, start, end, ids in pieces:
-        while start < end:
-            n = min(end - start, lengths[k] - used)
-            placed.append((k, used, (doc, start, start + n, ids)))
-            start, used = start + n, used + n
+    for doc, start, ids, whole in pieces:
+        while len(ids):
+            n = min(len(ids), lengths[k] - used)
+            placed.append((k, used, (doc, start, ids[:n], whole)))
+            start, ids, used = start + n, ids[n:], used + n
             if used == lengths[k]:
                 k, used = k + 1, 0
     return placed
@@ -74,7 +74,7 @@ def pack_rest(pieces: list[Piece], size: int = SEQUENCE) -> list[tuple[int, int,
 
 def _tasks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = WordIds(path), np.array([END_ID], dtype="<u4").tobytes()
+        tokenizer, end = word_ids(path), np.array([END_ID], dtype="<u4")
         first = TaskContext.get().partitionId() << 32
         sequences, held, tokens = 0, [], 0
 
@@ -86,9 +86,9 @@ def _tasks(path: str):
                     [
                         pa.array([p[0] for _, _, p in some], pa.int64()),
                         pa.array([p[1] for _, _, p in some], pa.int64()),
-                        pa.array([p[2] - p[1] for _, _, p in some], pa.int64()),
-                        pa.array([zlib.crc32(memoryview(p[3])[4 * p[1] : 4 * p[2]]) for _, _, p in some], pa.int64()),
-                        pa.array([len(p[3]) // 4 for _, _, p in some], pa.int64()),
+                        pa.array([len(p[2]) for _, _, p in some], pa.int64()),
+                        pa.array([zlib.crc32(p[2]) for _, _, p in some], pa.int64()),
+                        pa.array([p[3] for _, _, p in some], pa.int64()),
                         pa.array([first + sequences + k for k, _, _ in some], pa.int64()),
                         pa.array([o for _, o, _ in some], pa.int64()),
                     ],
@@ -97,18 +97,19 @@ def _tasks(path: str):
             sequences += 1 + max((k for k, _, _ in placed), default=-1)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.many(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.many(batch.column(1)), strict=True):
+                ids = np.append(ids, end)
+                n = len(ids)
                 whole = n - n % SEQUENCE  # full sequences of their own
-                yield from out([(i // SEQUENCE, 0, (doc, i, i + SEQUENCE, ids)) for i in range(0, whole, SEQUENCE)])
+                if whole:
+                    yield from out([(i // SEQUENCE, 0, (doc, i, ids[i : i + SEQUENCE], n)) for i in range(0, whole, SEQUENCE)])
                 if whole < n:
-                    held.append((doc, whole, n, ids))
+                    held.append((doc, whole, ids[whole:].copy() if whole else ids, n))
                     tokens += n - whole
                 if tokens >= CELL_TOKENS:
                     placed, held = pack_cell(held, tokens // SEQUENCE)
                     yield from out(placed)
-                    tokens = sum(p[2] - p[1] for p in held)
+                    tokens = sum(len(p[2]) for p in held)
         placed, held = pack_cell(held, tokens // SEQUENCE)
         yield from out(placed)
         yield from out(pack_rest(held))

@@ -2,7 +2,8 @@
 
 A first pass counts pre-tokens within each partition by a bounded counter; only each partition's ``KEEP`` commonest leave it,
 as one row each with a count, and the ``FREQUENT`` commonest of all, with their lengths in tokens, are broadcast. The counting
-pass looks pre-tokens up there, then in its worker's cache, then in the library. The table decides speed alone, never a result.
+pass looks pre-tokens up there, then in its worker's cache, which stays from task to task, then in the library. The table
+decides speed alone, never a result.
 """
 
 from __future__ import annotations
@@ -14,21 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, tidy
-from .tokens import PieceCounts, frequent_pieces, tokenizer_path
+from .tokens import Frequent, frequent_pieces, piece_counts, tokenizer_path
 
 KEEP, FREQUENT, LIMIT = 2048, 16384, 4096
 
 
-def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, path: str) -> Frequent:
     """At most ``FREQUENT`` pre-tokens of at most 48 characters: the broadcast is below 2 MB whatever the input."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = frequent_pieces((t for b in batches for t in b.column(0).to_pylist()), KEEP)
+        found = frequent_pieces((b.column(0) for b in batches), KEEP)
         yield pa.RecordBatch.from_pydict({"piece": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
 
     top = docs.select(F.col("text").cast("string")).mapInArrow(tidy(local), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
-    counts = PieceCounts(path)
-    return {r.piece: counts[r.piece] for r in top.select("piece").collect()}
+    pieces = [r.piece for r in top.select("piece").collect()]
+    return Frequent(dict(zip(pieces, piece_counts(path).lengths(pa.array(pieces, pa.string())).tolist(), strict=True)))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit: int = LIMIT) -> DataFrame:
@@ -41,9 +42,9 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PieceCounts(path, shared.value)
+        counts = piece_counts(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([counts.count(t) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts.counts(b.column(1), shared.value), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.col("text").cast("string")
     rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))

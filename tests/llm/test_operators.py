@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,8 +207,17 @@ def test_piecewise_tokens_equal_the_library():
     parts = ["a", "The", "é", "é", " ", "  ", "\n", "\t", ".", ",", "...", "'s", "'", "İ", "Σ", "▁", "<|endoftext|>", "<|ENDOFTEXT|>", "</s>", "1", "😀", "́", "K", "<0x0A>", "\x00", "中", "-", "x.'s", "$$$"]
     words, pieces = WordIds(tokenizer_path("word_bpe_49k.json")), PieceCounts(tokenizer_path("piece_bpe_32k.model"))
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    assert list(words.many(texts)) == [words.encode(t) for t in texts]
-    assert [pieces.count(t) for t in texts] == [len(pieces.model.encode(t)) for t in texts]
+    # Tokens come out the same with caches that are new, full and overfull
+    for cache in (words.cache, pieces.cache):
+        cache.entries = 40
+    texts += [None, "", " ", "   ", "\n", " \n\n", "   a   \n  b  ", "x" * 5000]
+    for n in (len(texts), 7, 1):
+        some = [texts[i : i + n] for i in range(0, 400 * n if n < 8 else len(texts), n)]
+        got = [x.tobytes() for part in some for x in words.many(pa.array(part, pa.string()))]
+        assert got == [words.encode(t or "") for part in some for t in part]
+        got = [x for part in some for x in pieces.counts(pa.array(part, pa.string())).tolist()]
+        assert got == [len(pieces.model.encode(t or "")) for part in some for t in part]
+        assert len(words.cache.pieces) <= 40 and max(map(len, words.cache.pieces.to_pylist()), default=0) <= 48
 
 
 def test_chat_round_trip(spark):
@@ -235,16 +245,16 @@ def test_reputation_shrinks(spark):
 
 def test_packing_cells():
     rng = random.Random(2)
-    pieces = [(k, 0, n, b"") for k in range(200) if (n := rng.randint(1, 400))]
-    total = sum(p[2] for p in pieces)
+    pieces = [(k, 0, np.full(n, k, "<u4"), n) for k in range(200) if (n := rng.randint(1, 400))]
+    total = sum(len(p[2]) for p in pieces)
     placed, left = packing.pack_cell(pieces, total // 512, 512)
     fill = [0] * (total // 512)
     for k, offset, p in placed:
-        fill[k] += p[2] - p[1]
-        assert offset + p[2] - p[1] <= 512
-    assert set(fill) == {512} and sum(p[2] - p[1] for p in left) == total % 512
+        fill[k] += len(p[2])
+        assert offset + len(p[2]) <= 512
+    assert set(fill) == {512} and sum(len(p[2]) for p in left) == total % 512
     rest = packing.pack_rest(left, 512)
-    assert sum(p[2] - p[1] for _, _, p in rest) == total % 512
+    assert sum(len(p[2]) for _, _, p in rest) == total % 512
 
 
 def test_words():
