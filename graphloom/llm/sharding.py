@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SHARDS, SEED = 8, "mix"
 #: Buckets of a source by its hash, 16 to the power of hex digits, and of the whole by fractional rank.
 HEX_DIGITS, SLICES = 3, 4096
+#: A source's first place lies at one of so many steps between 0 and 1 / its rows.
+OFFSETS = 4096
 
 
 def _numbered(rows: DataFrame, group: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
@@ -30,7 +32,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame
 
     The law is ``rows``: shards' counts are at most one apart (shard k holds the positions from ceil(k * n / shards) on), and
     slots number a shard's rows in the order of fractional ranks. Defined results: a null text has size 1 and the hash of an
-    empty one; null sources are a source; a null doc_id shuffles as "null"; rows with the same id, size and hash are ordered
+    empty one; null sources are a source; a null doc_id shuffles as "null", with its text's hash; rows with the same id, size and hash are ordered
     by nothing else, which no result column shows; an empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -40,10 +42,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("stratum"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("shuffled"),
-    ).withColumn("bucket", F.substring("shuffled", 1, HEX_DIGITS))
+    )
+    # The text's hash spreads rows of one id, nulls among them; a source's offset, in [0, 1), spreads sources of few rows
+    rows = rows.withColumn("shuffled", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32").cast("binary"))).withColumn("bucket", F.substring("shuffled", 1, HEX_DIGITS))
+    offset = F.pmod(F.crc32(F.concat(F.lit(seed), "stratum").cast("binary")), F.lit(OFFSETS)) / OFFSETS
     ties = [F.col(c) for c in ("shuffled", "doc_id", "text_crc32", "size")]
-    ranked = _numbered(rows, ["stratum"], "bucket", ties, "rank").withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("rank_of")))
+    ranked = _numbered(rows, ["stratum"], "bucket", ties, "rank").withColumn("fraction", (F.col("rank") + offset) / F.col("rank_of"))
     ranked = ranked.withColumn("slice", F.floor(F.col("fraction") * SLICES)).withColumn("whole", F.lit(0))
     placed = _numbered(ranked, ["whole"], "slice", [F.col("fraction"), F.col("stratum"), *ties], "place")
     n, k = F.col("place_of"), F.col("place")

@@ -59,11 +59,12 @@ def test_op2_shards(spark, small, docs):
         mine = Counter(r["source"] for r in v)
         assert all(abs(mine[s] - n / 8) <= 1.5 for s, n in total.items())
     # Plain version: fractional ranks of the seeded order within each source
-    key = lambda d: (hashlib.md5(f"mix:{d['doc_id']}".encode()).hexdigest(), d["doc_id"])
+    key = lambda d: (hashlib.md5(f"mix:{d['doc_id']}:{zlib.crc32((d['text'] or '').encode())}".encode()).hexdigest(), d["doc_id"])
     order = []
     for s in total:
         mine = sorted((d for d in docs if d["source"] == s), key=key)
-        order += [((2 * k + 1) / (2 * len(mine)), "=" + s, *key(d)) for k, d in enumerate(mine)]
+        offset = zlib.crc32(f"mix={s}".encode()) % 4096 / 4096
+        order += [((k + offset) / len(mine), "=" + s, *key(d)) for k, d in enumerate(mine)]
     n = len(order)
     want = {x[3]: (k * 8 // n, k - -(-(k * 8 // n) * n // 8)) for k, x in enumerate(sorted(order))}
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == want
