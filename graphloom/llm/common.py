@@ -42,6 +42,11 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text; null for a null one."""
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
+
+
 def give_back() -> None:
     """A worker lives on after its task; what it has freed goes back to the system now, where the C library can do that."""
     pa.default_memory_pool().release_unused()
@@ -76,15 +81,20 @@ def by_series(f: Callable[[str | None], object]) -> Callable[[pd.Series], pd.Ser
     return run
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; only where that is unset, as in tests, to a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors see; where that is unset, a temporary one, if all run on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared checkpoint folder: a lost executor costs a read, not a recomputation."""
-    shared_checkpoints(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -107,9 +117,7 @@ def held(df: DataFrame, rows: int) -> DataFrame:
 BATCH_ROWS, BATCH_SETTING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows; batches to Python become smaller, unless the session sets their size itself."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_SETTING) == "10000":
-        conf.set(BATCH_SETTING, BATCH_ROWS)
-    return df
+def for_documents(spark: SparkSession) -> None:
+    """For an application, before its queries: batches to Python become smaller, unless the session sets their size itself."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_series, fresh, small_batches, tidy, words_of
+from .common import by_series, fresh, tidy, words_of
 
 WINDOW = 10
 #: Item words up to which the automaton is broadcast (some 400 bytes each); a larger benchmark is to be dealt with in parts.
@@ -153,7 +153,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(tidy(run), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -184,6 +184,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
 
     cleaned = F.pandas_udf(by_series(clean), "string")
     (new,) = fresh(docs.columns, "cleaned")
-    out = small_batches(docs).withColumn(new, cleaned(F.col("text").cast("string"))).where(F.col(new).isNotNull() | F.col("text").isNull())
+    out = docs.withColumn(new, cleaned(F.col("text").cast("string"))).where(F.col(new).isNotNull() | F.col("text").isNull())
     return out.select(*(F.col(new).alias(c) if c == "text" else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 

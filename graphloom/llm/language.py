@@ -3,6 +3,8 @@
 Text likelihoods (a naive Bayes model over hashed byte trigrams, with a uniform model for "und"), the declared markup language,
 the address suffix and a prior by host are added up. The host's prior is its count of text-only decisions, shrunk towards its
 registered domain's, that towards its suffix's and that towards the corpus's; grouped aggregations over all rows give the counts.
+Each level leaves out the rows of the one below, so that a row counts once in its host's prior; names without dots, whose host,
+domain and suffix are one, are thus shrunk towards the other names alone.
 """
 
 from __future__ import annotations
@@ -13,13 +15,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, give_back, held, small_batches, tidy
+from .common import cut, fresh, give_back, held, tidy
 
-#: The model is fitted on at most so many labelled rows, those of the smallest id hashes.
-TRAINING_ROWS = 4000
+#: The model is fitted on at most so many different labelled rows of each language, those of the smallest hashes, and on at most
+#: so many languages, the commonest ones.
+TRAINING_ROWS, MAX_LANGUAGES = 1000, 256
 #: log2 of the number of trigram hashes; trigrams that a text's likelihood counts for at most, as if the rest only confirmed them.
 HASH_BITS, EFFECTIVE_TRIGRAMS = 16, 60.0
 DECLARED_RELIABILITY, SUFFIX_RELIABILITY, UND_PRIOR = 0.85, 0.7, 0.02
@@ -83,11 +86,18 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = TRAINING_ROWS) -> Model:
-    """From labelled rows: at most ``rows`` of them, whole texts, in order of the hash of their key."""
+    """From labelled rows: at most ``rows`` of each language, whole texts, in order of the hash of their key and text.
+
+    Defined results: rows without a label or a text teach nothing; equal rows count once; without labelled rows, as in an empty
+    table, the model knows no language and all is "und"; other columns are ignored.
+    """
     c = lambda name: F.col(f"`{name}`")
-    labelled = small_batches(docs).where(c(label).isNotNull() & c(text).isNotNull() & c(key).isNotNull())
-    chosen = [r[0] for r in labelled.select(c(key)).orderBy(F.xxhash64(c(key)), c(key)).limit(rows).collect()]
-    sample = labelled.where(c(key).isin(chosen)).select(c(label).cast("string").alias("language"), c(text).cast("string").alias("text"))
+    labelled = docs.select(c(label).cast("string").alias("language"), c(text).cast("string").alias("text"), F.xxhash64(c(key), c(text)).alias("h")).where("language is not null and text is not null")
+    known = [r[0] for r in labelled.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect()]
+    # Dense ranks: rows that repeat don't take each other's places
+    ranked = labelled.select("language", "h").where(F.col("language").isin(known)).withColumn("k", F.dense_rank().over(Window.partitionBy("language").orderBy("h")))
+    chosen = ranked.where(F.col("k") <= rows).select("language", "h").distinct()  # at most rows * MAX_LANGUAGES
+    sample = labelled.join(F.broadcast(chosen), ["language", "h"], "left_semi").dropDuplicates(["language", "h"]).select("language", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -119,7 +129,14 @@ def host_parts(host: Column) -> tuple[Column, Column]:
     return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
 
 
-def _smoothed(counts: Column, prior: Column) -> Column:
+def _even(classes: int) -> list[float]:
+    """A prior without any rows: UND_PRIOR for "und", the same for each language."""
+    return [(1 - UND_PRIOR) / (classes - 1)] * (classes - 1) + [UND_PRIOR] if classes > 1 else [1.0]
+
+
+def _smoothed(counts: Column, less: Column | None, prior: Column) -> Column:
+    """The prior after the rows in ``counts`` that aren't in ``less``."""
+    counts = counts if less is None else F.zip_with(counts, less, lambda a, b: a - b)
     n = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     return F.zip_with(counts, prior, lambda c, p: (c + PRIOR_WEIGHT * p) / (n + PRIOR_WEIGHT))
 
@@ -129,24 +146,27 @@ def host_priors(decided: DataFrame, classes: int) -> DataFrame:
     tallies = [F.sum(F.when(F.col("best") == j, 1.0).otherwise(0.0)) for j in range(classes)]
     domain, suffix = host_parts(F.col("host"))
     hosts = decided.groupBy("host").agg(F.array(*tallies).alias("counts")).withColumn("domain", domain).withColumn("suffix", suffix)
-    add = [F.sum(F.col("counts")[j]) for j in range(classes)]
-    every = hosts.agg(F.array(*[F.coalesce(a, F.lit(0.0)) for a in add]).alias("all_counts"))
-    suffixes = hosts.groupBy("suffix").agg(F.array(*add).alias("suffix_counts"))
-    domains = hosts.groupBy("domain").agg(F.array(*add).alias("domain_counts"), F.min("suffix").alias("suffix"))
-    start = F.array(*[F.lit((1 - UND_PRIOR) / (classes - 1))] * (classes - 1), F.lit(UND_PRIOR))
-    suffixes = suffixes.crossJoin(F.broadcast(every)).select("suffix", _smoothed(F.col("suffix_counts"), _smoothed(F.col("all_counts"), start)).alias("prior"))  # ``every`` is one row
-    domains = domains.join(suffixes, "suffix").select("domain", _smoothed(F.col("domain_counts"), F.col("prior")).alias("prior"))
-    return hosts.join(domains, "domain").select("host", _smoothed(F.col("counts"), F.col("prior")).alias("prior"))
-
-
-def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None = "source", declared: str | None = "lang", suffix: str | None = None) -> DataFrame:
+    add = lambda c: F.array(*[F.coalesce(F.sum(F.col(c)[j]), F.lit(0.0)) for j in range(classes)])
+    domains = hosts.groupBy("domain", "suffix").agg(add("counts").alias("domain_counts"))
+    suffixes = domains.groupBy("suffix").agg(add("domain_counts").alias("suffix_counts"))
+    every = suffixes.agg(add("suffix_counts").alias("all_counts"))  # one row
+    start = F.array(*map(F.lit, _even(classes)))
+    suffixes = suffixes.crossJoin(F.broadcast(every)).select("suffix", "suffix_counts", _smoothed(F.col("all_counts"), F.col("suffix_counts"), start).alias("prior"))
+    domains = domains.join(suffixes, "suffix").select("domain", "domain_counts", _smoothed(F.col("suffix_counts"), F.col("domain_counts"), F.col("prior")).alias("prior"))
+    hosts = hosts.join(domains, "domain").select("host", "counts", _smoothed(F.col("domain_counts"), F.col("counts"), F.col("prior")).alias("prior"))
+    return hosts.select("host", _smoothed(F.col("counts"), None, F.col("prior")).alias("prior"))
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None = "source", declared: str | None = "lang", suffix: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """The rows with language, confidence and accepted, which replace columns of those names.
 
-    ``host``, ``declared`` and ``suffix`` name the columns of these kinds of evidence; None: there is none. ``accepted`` is false
+    ``host``, ``declared`` and ``suffix`` name the columns of these kinds of evidence; None: there is none. ``columns`` are those
+    that stay, by default all; where the text isn't among them, rows are kept without it once it is scored, else each text is
+    scored twice (for the priors and for the result), which costs less than to keep or shuffle it. ``accepted`` is false
     for rows that are most likely "und": no letters at all, or letters that no language explains better than chance does.
     Defined results: a null or empty text counts by its other evidence for the posterior, but is "und" and not accepted; a null
     host has the host '' of its own; nulls and unknown values elsewhere are no evidence; ties go to the first language by name;
-    repeated rows stay; empty tables stay empty; other columns stay as they are.
+    repeated rows stay; empty tables stay empty; a model without languages makes all "und"; other columns stay as they are.
     """
     spark, names = docs.sparkSession, [*model.languages, UND]
     shared = spark.sparkContext.broadcast(model)
@@ -163,6 +183,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None
     top = lambda c: F.array_position(c, F.array_max(c)).cast("int") - 1
     host_col = F.coalesce(col(host).cast("string"), F.lit("")) if host else F.lit("")
     scored = docs.withColumn(ll, likelihoods(col(text).cast("string"))).withColumn(key, host_col)
+    columns = docs.columns if columns is None else columns
+    if text not in columns:
+        used = dict.fromkeys([*columns, *(c for c in (declared, suffix) if c)])
+        scored = cut(scored.select(*map(col, used), ll, key))
     decided = scored.select(F.col(key).alias("host"), F.when(lettered, top(F.col(ll))).alias("best")).where("best is not null")
     priors = host_priors(decided, len(names)).select(F.col("host").alias(key), F.col("prior").alias(prior))
     priors = held(priors, BROADCAST_HOSTS)
@@ -172,7 +196,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None
         even = (1 - reliability) / max(len(names) - 2, 1)
         return F.when(value.isin(model.languages), F.array(*[F.log(F.when(value == n, reliability).otherwise(even)) for n in names])).otherwise(F.array(*[F.lit(0.0)] * len(names)))
 
-    terms = [F.col(ll), F.transform(F.coalesce(prior, F.array(*[F.lit((1 - UND_PRIOR) / max(len(names) - 1, 1))] * (len(names) - 1), F.lit(UND_PRIOR))), lambda p: F.log(p))]
+    terms = [F.col(ll), F.transform(F.coalesce(prior, F.array(*map(F.lit, _even(len(names))))), lambda p: F.log(p))]
     if declared:
         terms.append(told(F.substring(F.lower(F.trim(col(declared).cast("string"))), 1, 2), DECLARED_RELIABILITY))
     if suffix:
@@ -185,7 +209,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None
     peak = F.array_max(post)
     out = out.withColumn(best, F.when(lettered, F.element_at(F.array(*map(F.lit, names)), top(F.col(post)) + 1)).otherwise(UND))
     confidence = F.when(lettered, 1.0 / F.aggregate(F.transform(post, lambda x: F.exp(x - peak)), F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
-    kept = [c for c in docs.columns if c not in ("language", "confidence", "accepted")]
+    kept = [c for c in columns if c not in ("language", "confidence", "accepted")]
     return out.select(*map(col, kept), F.col(best).alias("language"), confidence.alias("confidence"), (F.col(best) != UND).alias("accepted"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, fitted, fresh, held, small_batches, tidy
+from .common import WORD_BYTES, cut, fitted, fresh, held, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share no band with a chance of (1 - 0.8**6)**32 = 6e-5.
@@ -224,7 +224,7 @@ def _verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
 def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, root) of every text that has a near copy of other words or letters: root is one key of its group."""
     text = F.col("text").cast("string")
-    keyed = small_batches(docs).where(text.isNotNull()).select(text_key(text).alias("key"), text.alias("text"))
+    keyed = docs.where(text.isNotNull()).select(text_key(text).alias("key"), text.alias("text"))
     # One row a text is kept and shuffled here; its BANDS rows are made where they are used
     signed = cut(keyed.mapInArrow(tidy(_banded), "key binary, bands array<bigint>").dropDuplicates(["key"]))
     members = signed.select("key", F.explode(F.array_distinct("bands")).alias("bucket"))

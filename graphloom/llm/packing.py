@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import tidy
 from .tokens import tokenizer_path, word_ids
 
 SEQUENCE, END_ID, CELL_TOKENS = 4096, 2, 1 << 20
@@ -124,4 +124,4 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     equal lengths go by doc_id, nulls last; a text of more than 4096 tokens first gives whole sequences of its own; an empty
     table gives no rows; other columns are ignored. sequence_id is the partition's number times 2**32 plus a count within it.
     """
-    return small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(_tasks(tokenizer_path(tokenizer))), OUT)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(_tasks(tokenizer_path(tokenizer))), OUT)

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontamination, language, near_dedup, packing, pii, sharding, token_counts, url_filter
-from .common import table
+from .common import for_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The declared language is ``lang``; the source stands for the host."""
+    """The declared language is ``lang``. Documents have no address, so no suffix; their source, a name without dots, stands for the host."""
     docs = table(spark, sf_dir, "documents")
-    return language.identify(docs, language.fit(docs)).select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "accepted")
+    return language.identify(docs, language.fit(docs), columns=["doc_id"]).select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "accepted")
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fusion over raw pages: markup's language, address suffix and host."""
     pages = language.page_evidence(table(spark, sf_dir, "pages"))
     model = language.fit(table(spark, sf_dir, "documents"))
-    return language.identify(pages, model, host="host", suffix="suffix").select("page_id", "language", F.round("confidence", 6).alias("confidence"), "accepted")
+    return language.identify(pages, model, host="host", suffix="suffix", columns=["page_id"]).select("page_id", "language", F.round("confidence", 6).alias("confidence"), "accepted")
 
 
 def op2_proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +70,17 @@ def op10_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def _tuned(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for_documents(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f
+    f.__name__: _tuned(f)
     for f in (
         op1_language_id,
         op2_proportional_shards,

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import tidy
 from .tokens import Frequent, frequent_pieces, piece_counts, tokenizer_path
 
 KEEP, FREQUENT, LIMIT = 2048, 16384, 4096
@@ -47,5 +47,5 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts.counts(b.column(1), shared.value), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.col("text").cast("string")
-    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))
     return rows.mapInArrow(tidy(count), "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries that a cache holds at most, and the longest piece it keeps: together they bound its memory.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 #: Texts are cut in groups of about so many bytes.
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 21
 #: Marks that are never joined to a letter before them, and letters that every Unicode version knows.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
@@ -92,8 +92,8 @@ def _ends(lists: pa.Array) -> np.ndarray:
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of runs that begin and are long as given, one after another."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(size, dtype=np.int32)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
 
 
 class WordIds:
@@ -113,7 +113,7 @@ class WordIds:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache = Recent()
         #: By number of a piece in the cache: whether it is a word of letters, and its ids' place among all.
-        self.letters, self.begin, self.size = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.letters, self.begin, self.size = np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, "<u4")
 
     def encode(self, text: str) -> bytes:
@@ -138,8 +138,8 @@ class WordIds:
             pieces = pieces.take(pa.array(new))
             ids, letters = self.learn(pieces.to_pylist())
             at[new] = len(self.size) + np.arange(len(new))
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
+            size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size, dtype=np.int32) - size))
             self.size, self.letters = np.concatenate((self.size, size)), np.concatenate((self.letters, letters))
             self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), "<u4")))
             self.cache.add(pieces)
@@ -150,7 +150,7 @@ class WordIds:
         if stay is not None:
             size, begin = self.size[stay], self.begin[stay]
             self.ids = self.ids[_spread(begin, size)]
-            self.letters, self.size, self.begin = self.letters[stay], size, np.cumsum(size) - size
+            self.letters, self.size, self.begin = self.letters[stay], size, np.cumsum(size, dtype=np.int32) - size
 
     def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -168,7 +168,7 @@ class WordIds:
             marked &= ~odd
             code, marks = _different(pc.utf8_ltrim(words.filter(pa.array(marked)), LETTERS))
             marks = self._numbers(marks)[code]
-            begin, size = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+            begin, size = np.zeros((len(words), 2), np.int32), np.zeros((len(words), 2), np.int32)
             begin[:, 0], size[:, 0] = self.begin[first], self.size[first]
             begin[marked, 1], size[marked, 1] = self.begin[marks], self.size[marks]
             every = self.ids[_spread(begin.ravel(), size.ravel())]
