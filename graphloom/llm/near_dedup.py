@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, fitted, fresh, held, tidy
+from .common import WORD_BYTES, cut, fitted, fresh, held, text_key, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 share no band with a chance of (1 - 0.8**6)**32 = 6e-5.
@@ -30,6 +30,8 @@ REGISTERS = BANDS * ROWS
 #: Keys of 16 bytes up to which a set of them is broadcast; a larger one is joined by a shuffle.
 BROADCAST_KEYS = 400_000
 CHUNK = 1 << 18
+#: Members of a bucket in a block of those that are compared in one task.
+BLOCK = 512
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -172,11 +174,6 @@ def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h))], names=["key", "bag"])
 
 
-def text_key(text: Column) -> Column:
-    """16 bytes that stand for a text; null for a null one."""
-    return F.unhex(F.md5(text.cast("string").cast("binary")))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key in links (a, b): the least key of its connected component, by stars that grow and shrink."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
@@ -249,19 +246,22 @@ def roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         table, a, b = to_hub(hub)
         known = known.withColumn("a", a).withColumn("b", b).join(table, ["a", "b"], "left").withColumn(f"d_{hub}", F.coalesce(f"d_{hub}", F.lit(0.0))).drop("a", "b")
     known = cut(known.where("key != low and key != high"))
-    # Whatever lies in another group than its bucket's largest one meets all members; two of that one are linked already
+    # Whatever lies in another group than its bucket's largest one meets all members; two of that one are linked already;
     sizes = known.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+    # a bucket of many members is dealt into blocks, each of which all that lies apart reaches
+    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
     shared = known.groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # at most BANDS
     known = known.join(shared, "key").join(bag.select("key", F.transform("bag", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int")).alias("bag")), "key").join(main, "bucket").withColumn("apart", F.col("root") != F.col("main"))
+    apart = known.where("apart").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    known = known.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     sides = ("key", "root", "d_low", "d_high", "buckets", "bag")
-    apart = known.where("apart").select(F.col("bucket").alias("x_bucket"), *[F.col(c).alias(f"x_{c}") for c in sides])
+    apart = apart.select(F.col("bucket").alias("x_bucket"), F.col("block").alias("x_block"), *[F.col(c).alias(f"x_{c}") for c in sides])
     once = (~F.col("apart") | (F.col("x_key") < F.col("key"))) & (F.get(F.array_intersect("buckets", "x_buckets"), F.lit(0)) == F.col("bucket"))
     bound = 1 - similarity + 1e-9
     may_be_near = (F.abs(F.col("d_low") - F.col("x_d_low")) <= bound) & (F.abs(F.col("d_high") - F.col("x_d_high")) <= bound)
     # The bags are compared within the join, so that only links leave it. 32 bits of each hash are enough here: where two meet
     # by chance, the distance only seems smaller, and what leaves the join is verified in full
-    links = known.join(apart, (F.col("bucket") == F.col("x_bucket")) & (F.col("root") != F.col("x_root")) & may_be_near & once & (_distance("bag", "x_bag") <= bound))
+    links = known.join(apart, (F.col("bucket") == F.col("x_bucket")) & (F.col("block") == F.col("x_block")) & (F.col("root") != F.col("x_root")) & may_be_near & once & (_distance("bag", "x_bag") <= bound))
     links = cut(links.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")))
     more = cut(_verified(links, bag).where(near))
     if more.isEmpty():
