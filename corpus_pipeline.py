@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontamination, language, near_dedup, packing, pii
-from graphloom.llm.common import table
+from graphloom.llm.common import for_documents, shared_folder, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents in no language that the corpus's labelled rows teach go."""
+    for_documents(spark)
     return language.accept(docs, language.fit(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BagMinHash: one document of each group of copies stays."""
+    for_documents(spark)
     return near_dedup.deduplicate(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix automaton: benchmark spans go, and documents that are mostly such."""
+    for_documents(spark)
     return decontamination.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Identifiers, disguised or not, become marks of their kind."""
+    for_documents(spark)
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of balanced attention cost."""
+    for_documents(spark)
     return packing.pack(docs)
 
 
@@ -50,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written as Parquet in the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}.parquet"

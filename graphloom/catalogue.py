@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import exprs
-from .operators import brief, budget, classify, context, extract, graph, incremental, resolve, rules, traverse
+from .operators import brief, budget, classify, context, extract, graph, impact, incremental, resolve, review, rules, traverse, views
 from .operators.graph import Graph
 from .operators.search import search
 from .plans import driver_graph as dg
@@ -16,7 +16,6 @@ from .plans import source_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MONTH = "l_shipdate >= timestamp'1995-01-01' and l_shipdate < timestamp'1995-02-01'"
 
 
 def query(sql: str | None = None):
@@ -61,45 +60,61 @@ def in_degree_top20(spark, d):
     return graph.degrees(dg.edges(spark, d)).where("n_in > 0").select("urn", "n_in").orderBy(F.desc("n_in"), "urn").limit(20)
 
 
-HOT = """, use as (select * from edges where relationship <> 'implements'),
-i as (select target_urn urn, count(*) n_in, count(distinct source_urn) consumers from use group by 1), o as (select source_urn urn, count(*) n_out from use group by 1),
-f as (select source_urn urn, count(distinct target_urn) features from edges where relationship = 'implements' group by 1),
-hot as (select n.urn, coalesce(n_in, 0) n_in, coalesce(n_out, 0) n_out, coalesce(features, 0) features, coalesce(consumers, 0) consumers,
-  2 * coalesce(n_in, 0) + coalesce(n_out, 0) + 3 * coalesce(features, 0) + 2 * coalesce(consumers, 0) score
-  from nodes n left join i using (urn) left join o using (urn) left join f using (urn) where kind = 'symbol')"""
+#: What every root in ``roots`` reaches, as ``impact.impact`` gives it.
+IMPACT = """, e as (select edges.*, a.path site_path from edges join act a on a.urn = source_urn),
+roots as (select urn root from act where kind in ('symbol', 'file', 'model')),
+r(root, urn, depth) as (select root, root, 0 from roots union select root, e.source_urn, depth + 1 from r join e on e.target_urn = r.urn),
+reach as (select root, urn, min(depth) depth from r group by 1, 2),
+own as (select root, case when kind in ('feature', 'route', 'test') then kind when depth = 1 then 'direct' else 'indirect' end category, a.urn, kind, path, start_line from reach join act a on a.urn = reach.urn where depth > 0),
+other as (select distinct root, category, path from own where kind <> 'file' and path <> ''),
+around as (select root, urn, kind, path, start_line from roots join nodes on urn = root union all select root, urn, kind, path, start_line from own where category in ('direct', 'indirect')),
+paths as (select distinct root, path from around where path <> ''),
+sites as (select distinct root, site_path as path, line spot from reach join e on e.target_urn = reach.urn where line > 0 and site_path <> ''),
+starts as (select distinct root, path, start_line spot from around where kind = 'symbol' and path <> '' and start_line > 0),
+near as (select root, n.urn, n.path, n.start_line, n.end_line, s.path is not null has_site, t.path is not null has_start from paths p join act n using (path) left join (select distinct root, path from sites) s using (root, path) left join (select distinct root, path from starts) t using (root, path) where n.kind = 'test'),
+imp as (select root, category, urn from own left join other using (root, category, path) where kind <> 'file' or other.path is null
+  union select root, 'feature', m.feature from around a join member m on m.urn = a.urn join act f on f.urn = m.feature where f.kind = 'feature'
+  union select root, 'route', n.urn from paths join act n using (path) where n.kind = 'route'
+  union select n.root, 'test', n.urn from near n join sites s on s.root = n.root and s.path = n.path and spot between start_line and end_line where has_site
+  union select n.root, 'test', n.urn from near n join starts s on s.root = n.root and s.path = n.path and spot between start_line and end_line where not has_site and has_start
+  union select root, 'test', urn from near where not has_site and not has_start),
+c as (select root, count(*) filter (category = 'direct') direct, count(*) filter (category = 'indirect') indirect, count(*) filter (category = 'feature') features, count(*) filter (category = 'route') routes, count(*) filter (category = 'test') tests from roots left join imp using (root) group by 1)"""
+HOT = IMPACT + """, i as (select target_urn urn, count(*) n_in from edges group by 1), o as (select source_urn urn, count(*) n_out from edges group by 1),
+f as (select x.urn, count(distinct feature) features from (select source_urn urn, target_urn feature from edges union select target_urn, source_urn from edges) x join nodes n on n.urn = feature where n.kind = 'feature' group by 1),
+hot as (select root urn, coalesce(n_in, 0) n_in, coalesce(n_out, 0) n_out, coalesce(f.features, 0) features, direct consumers, routes apis, tests, 2 * coalesce(n_in, 0) + coalesce(n_out, 0) + 3 * coalesce(f.features, 0) + 2 * direct + 2 * routes score
+  from c left join i on i.urn = root left join o on o.urn = root left join f on f.urn = root)"""
 RATING = "case when score >= 20 then 'HIGH' when score >= 8 then 'MEDIUM' else 'LOW' end"
 
 
-@query(dg.sql(HOT + f"""
+@query(dg.code_sql(HOT + f"""
 select *, {RATING} rating from hot order by score desc, urn limit 20"""))
 def hotspots_top20(spark, d):
-    hot = graph.hotspots(dg.graph(spark, d)).select("urn", "n_in", "n_out", "features", "consumers", "score")
-    return hot.withColumn("rating", exprs.coupling(F.col("score"))).orderBy(F.desc("score"), "urn").limit(20)
+    hot = impact.hotspots(dg.code_graph(spark, d))
+    return hot.select("urn", "n_in", "n_out", "features", "consumers", "apis", "tests", "score", "rating").orderBy(F.desc("score"), "urn").limit(20)
 
 
-@query(dg.sql(HOT + f"""
+@query(dg.code_sql(HOT + f"""
 select {RATING} rating, count(*) n, sum(score)::bigint total from hot group by 1"""))
 def hotspot_rating_counts(spark, d):
-    return graph.hotspots(dg.graph(spark, d)).groupBy(exprs.coupling(F.col("score")).alias("rating")).agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    return impact.hotspots(dg.code_graph(spark, d)).groupBy("rating").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
-@query(dg.sql(HOT + """
-select urn, score from hot where score > 60"""))
+@query(dg.code_sql(HOT + """
+select 'coupled' as rule, urn, score from hot where score > 60"""))
 def max_coupling(spark, d):
-    return graph.hotspots(dg.graph(spark, d)).where("score > 60").select("urn", "score")
+    return rules.too_coupled(impact.hotspots(dg.code_graph(spark, d)), "coupled", 60)
 
 
-@query(dg.sql("""
-select urn, name, path from nodes n where kind = 'symbol' and not exists (select 1 from edges where target_urn = n.urn)""", MONTH))
-def dead_symbols_month(spark, d):
-    g = dg.graph(spark, d, MONTH)
-    return graph.unreferenced(g.active().where("kind = 'symbol'"), g.edges).select("urn", "name", "path")
+@query(dg.code_sql("""
+select urn, name, path from act n where kind = 'symbol' and not exists (select 1 from edges where target_urn = n.urn)"""))
+def dead_symbols(spark, d):
+    return graph.dead_symbols(dg.code_graph(spark, d)).select("urn", "name", "path")
 
 
-@query(dg.sql(""", p as (select urn, path from nodes where path <> ''), used as (select b.path from edges join p a on a.urn = source_urn join p b on b.urn = target_urn where a.path <> b.path)
-select distinct path from p where path not in (select path from used)""", MONTH))
-def unconsumed_paths(spark, d):
-    return graph.unconsumed_paths(dg.graph(spark, d, MONTH))
+@query(dg.code_sql(""", p as (select urn, path from act where path <> ''), used as (select b.path from edges join p a on a.urn = source_urn join p b on b.urn = target_urn where a.path <> b.path)
+select distinct path from p where path not in (select path from used) and regexp_matches(path, '\\.tsx?$')"""))
+def dead_files(spark, d):
+    return graph.dead_files(dg.code_graph(spark, d))
 
 
 DANGLING = ", known as (select urn, case when urn like 'order:%' and path = '5-LOW' then 'retired' else 'active' end status from nodes where urn not like 'part:%7')"
@@ -124,34 +139,15 @@ def retire_edges(spark, d):
     return graph.retire(g, g.nodes.where("status = 'retired'")).edges.select("source_urn", "target_urn", "relationship")
 
 
-@query(dg.sql("""
-select urn from nodes where kind = 'feature' and urn not in (select target_urn from edges e where relationship = 'implements' and source_urn in (select target_urn from edges where relationship = 'calls'))""", MONTH))
-def orphan_features(spark, d):
-    g = dg.graph(spark, d, MONTH)
-    called = g.edges.where("relationship = 'calls'").select(F.col("target_urn").alias("source_urn"))
-    live = g.edges.where("relationship = 'implements'").join(called, "source_urn", "left_semi")
-    return graph.orphan_features(Graph(g.nodes, live)).select("urn")
-
-
-# The same over all line items
-
-
-@query(dg.sql("""
-select urn, name, path from nodes n where kind = 'symbol' and not exists (select 1 from edges where target_urn = n.urn)"""))
-def dead_symbols(spark, d):
-    g = dg.graph(spark, d)
-    return graph.unreferenced(g.active().where("kind = 'symbol'"), g.edges).select("urn", "name", "path")
-
-
 @query(dg.sql(""", p as (select urn, path from nodes where path <> ''), used as (select b.path from edges join p a on a.urn = source_urn join p b on b.urn = target_urn where a.path <> b.path)
 select distinct path from p where path not in (select path from used)"""))
-def unconsumed_paths_whole(spark, d):
+def unconsumed_paths(spark, d):
     return graph.unconsumed_paths(dg.graph(spark, d))
 
 
 @query(dg.sql("""
 select urn from nodes where kind = 'feature' and urn not in (select target_urn from edges e where relationship = 'implements' and source_urn in (select target_urn from edges where relationship = 'calls'))"""))
-def orphan_features_whole(spark, d):
+def orphan_features(spark, d):
     g = dg.graph(spark, d)
     called = g.edges.where("relationship = 'calls'").select(F.col("target_urn").alias("source_urn"))
     live = g.edges.where("relationship = 'implements'").join(called, "source_urn", "left_semi")
@@ -161,57 +157,76 @@ def orphan_features_whole(spark, d):
 # Features
 
 
-@query(dg.sql("""
-, s as (select target_urn feature, source_urn urn, 1 - (hash_ % 5) / 10.0 score, hash_ from (select *, (substr(source_urn, 6)::bigint) hash_ from edges where relationship = 'implements'))
-select feature, max(score)::double score, arg_max(urn, score * 1000000000 - hash_) best, count(*) n from s group by 1"""))
-def explain_features(spark, d):
-    s = dg.edges(spark, d).where("relationship = 'implements'").withColumn("k", F.substring("source_urn", 6, 20).cast("bigint")).withColumn("score", 1 - (F.col("k") % 5) / 10.0)
-    return s.groupBy(F.col("target_urn").alias("feature")).agg(F.max("score").cast("double").alias("score"), F.max_by("source_urn", F.struct("score", -F.col("k"))).alias("best"), F.count("*").alias("n"))
+EXPLAIN = """, linked as (select source_urn node, target_urn feature, confidence, confidence_score, relationship from edges union all select target_urn, source_urn, confidence, confidence_score, relationship from edges where source_urn <> target_urn),
+l as (select linked.* from linked join nodes on urn = feature where kind = 'feature'), asked as (select 'old:' || p_partkey target, 'part:' || p_partkey node from pt where p_partkey % 10 = 5 union all select 'part:' || p_partkey, 'part:' || p_partkey from pt where p_partkey % 10 <> 5),
+direct as (select target, feature, arg_max(confidence, confidence_score * 10 + case confidence when 'EXPLICIT' then 3 when 'DETECTED' then 2 else 1 end) confidence, max(confidence_score) score, string_agg(relationship, ',' order by relationship) edges from asked join l using (node) group by 1, 2),
+inferred as (select distinct target, l.feature, n.path from asked join nodes n on n.urn = node join l on l.node = 'file:' || n.path)
+select target, feature, confidence, score, edges from direct union all select target, feature, 'INFERRED', 0.5, 'file ' || path from inferred where (target, feature) not in (select (target, feature) from direct)"""
 
 
-VIEW = """, m as (select target_urn feature, source_urn urn from edges where relationship = 'implements'),
-v as (select feature, 'member' category, urn from m
-  union all select distinct feature, case when e.source_urn like 'supplier:%' then 'api' else 'consumer' end, e.source_urn from m join edges e on e.target_urn = m.urn where relationship in ('calls', 'exposes')
-  union all select distinct feature, 'consumer2', c.source_urn from m join edges e on e.target_urn = m.urn join edges c on c.target_urn = e.source_urn)"""
+@query(dg.code_sql(EXPLAIN))
+def explain_features(spark, d):
+    """Every part is asked for; those with an old name under that one."""
+    k = F.col("p_partkey")
+    asked = dg.table(spark, d, "part").select(F.concat(F.when(k % 10 == 5, "old:").otherwise("part:"), k.cast("string")).alias("urn"))
+    return views.explain(dg.code_graph(spark, d), asked).withColumn("edges", F.array_join("edges", ","))
 
 
-def _view(g: Graph) -> DataFrame:
-    m = g.edges.where("relationship = 'implements'").select(F.col("target_urn").alias("feature"), F.col("source_urn").alias("urn"))
-    e = g.edges.where("relationship in ('calls', 'exposes')").select(F.col("target_urn").alias("urn"), F.col("source_urn").alias("by"))
-    first = m.join(e, "urn").select("feature", F.col("by").alias("urn")).distinct()
-    second = first.join(e, "urn").select("feature", F.col("by").alias("urn")).distinct()
-    category = F.when(F.col("urn").startswith("supplier:"), "api").otherwise("consumer")
-    return m.select("feature", F.lit("member").alias("category"), "urn").union(first.select("feature", category, "urn")).union(second.select("feature", F.lit("consumer2"), "urn"))
+VIEW = """, near as (select distinct f.urn feature, n.urn, n.kind, n.path from edges e join act f on f.urn = e.target_urn join act n on n.urn = e.source_urn where f.kind = 'feature'),
+own as (select feature, case when kind = 'symbol' and ends_with(path, '.tsx') then 'ui' when kind = 'symbol' then 'services' when kind = 'route' then 'api' when kind = 'model' then 'database' when kind = 'test' then 'tests' end as role, urn from near),
+v as (select feature, role, urn from own where role is not null union select source_urn, 'consumers', target_urn from edges where relationship = 'consumes'
+  union select o.feature, 'consumers', m.feature from own o join edges e on e.target_urn = o.urn join member m on m.urn = e.source_urn where role in ('services', 'api') and relationship in ('calls', 'imports') and m.feature <> o.feature)"""
 
 
-@query(dg.sql(VIEW + """
-select feature, category, count(*) n from v group by all"""))
+@query(dg.code_sql(VIEW + """
+select feature, role, count(*) n from v group by all"""))
 def feature_view_counts(spark, d):
-    return _view(dg.graph(spark, d)).groupBy("feature", "category").agg(F.count("*").alias("n"))
+    return views.feature_view(dg.code_graph(spark, d)).groupBy("feature", "role").agg(F.count("*").alias("n"))
 
 
-@query(dg.sql(VIEW + """, c as (select feature, count(*) filter (category = 'member') members, count(*) filter (category = 'api') apis, count(*) filter (category = 'consumer') tests from v group by 1),
-l as (select feature, unnest([case when members > 300 then 100 when members > 0 then 50 else 0 end, case when apis > 0 then 100 else 0 end, case when tests >= 2 then 100 when tests = 1 then 50 else 0 end]) points from c)
-select feature, round(avg(points))::int percent from l group by 1"""))
+COVER = """, docs as (select distinct url as path from pages union all select 'docs/' || p_type || '.md' from part where p_size = 4), n as (select f.urn feature, count(*) filter (role in ('ui', 'services')) implementation, count(*) filter (role = 'api') api, count(*) filter (role = 'database') as database, count(*) filter (role = 'tests') tests,
+  max(case when f.name in (select f2.name from act f2, docs where f2.kind = 'feature' and contains(lower(docs.path), f2.name)) then 1 else 0 end)::bigint documentation, count(*) filter (role = 'consumers') consumers from act f left join v on v.feature = f.urn where f.kind = 'feature' group by 1),
+long as (unpivot n on implementation, api, database, tests, documentation, consumers into name dimension value n),
+scored as (select *, case when dimension = 'tests' and n = 1 then 50 when n > 0 then 100 else 0 end points from long)"""
+
+
+@query(dg.code_sql(VIEW + COVER + """
+select feature, dimension, n, case points when 100 then 'COMPLETE' when 50 then 'PARTIAL' else 'MISSING' end status, points from scored"""))
 def feature_coverage(spark, d):
-    n = lambda c: F.count_if(F.col("category") == c)
-    c = _view(dg.graph(spark, d)).groupBy("feature").agg(n("member").alias("members"), n("api").alias("apis"), n("consumer").alias("tests"))
-    points = F.array(F.when(F.col("members") > 300, 100).when(F.col("members") > 0, 50).otherwise(0), F.when(F.col("apis") > 0, 100).otherwise(0), F.when(F.col("tests") >= 2, 100).when(F.col("tests") == 1, 50).otherwise(0))
-    return c.select("feature", F.explode(points).alias("points")).groupBy("feature").agg(F.round(F.avg("points")).cast("int").alias("percent"))
+    return views.coverage(dg.code_graph(spark, d), _docs(spark, d))
 
 
-@query(dg.sql(""", m as (select target_urn feature, source_urn urn from edges where relationship = 'implements'), c as (select * from edges where relationship = 'calls'),
-k as (select target_urn urn, count(*) callers, count(distinct path) caller_paths from c join nodes on urn = source_urn group by 1)
-select urn, feature, coalesce(callers, 0) callers, coalesce(caller_paths, 0) > 1 shared, true entry, 0::bigint inner_calls from m left join k using (urn)"""))
+def _docs(spark, d) -> DataFrame:
+    """Pages, and a document for each type of parts of one size."""
+    named = dg.table(spark, d, "part").where("p_size = 4").select(F.concat(F.lit("docs/"), "p_type", F.lit(".md")))
+    return dg.table(spark, d, "pages").select(F.col("url").alias("path")).union(named)
+
+
+@query(dg.code_sql(VIEW + COVER + """
+select feature, floor(avg(points) + 0.5)::int percent from scored group by 1"""))
+def feature_completeness(spark, d):
+    return views.completeness(views.coverage(dg.code_graph(spark, d), _docs(spark, d)))
+
+
+FUNCTIONS = """, fn as (select feature, n.urn, n.name, n.path, n.start_line from member m join act n on n.urn = m.urn where kind = 'symbol' and symbol_kind in ('function', 'method', 'class')),
+uses as (select source_urn, target_urn from edges where relationship in ('calls', 'imports')),
+k as (select target_urn urn, count(*) callers, count(distinct nullif(path, '')) paths from uses join act a on a.urn = source_urn group by 1),
+inside as (select a.feature, source_urn, target_urn from uses join fn a on a.urn = source_urn join fn b on b.urn = target_urn and b.feature = a.feature),
+fm as (select feature, urn, name, path, start_line, coalesce(callers, 0) callers, coalesce(paths, 0) > 1 shared, (feature, urn) not in (select (feature, target_urn) from inside) entry, (select count(distinct target_urn) from inside i where i.feature = fn.feature and i.source_urn = fn.urn) inner_calls from fn left join k using (urn)),
+placed as (select *, row_number() over (partition by feature order by entry desc, callers desc, path, start_line, urn)::int place from fm)"""
+
+
+@query(dg.code_sql(FUNCTIONS + """
+select * from placed"""))
 def function_map(spark, d):
-    return graph.function_map(dg.graph(spark, d))
+    return views.function_map(dg.code_graph(spark, d))
 
 
-@query("""select p_type feature, p_brand as path, string_agg(p_name, ', ' order by p_partkey) members, count(*) n from part where p_size <= 5 group by all""")
+@query(dg.code_sql(VIEW + """, named as (select v.*, name, path from v join act using (urn))
+select urn feature, '' section, 0 place, '## ' || name line from act where kind = 'feature'
+union all select feature, role, row_number() over (partition by feature, role order by path, name, urn)::int, '- ' || name || case when path <> '' then ' (' || path || ')' else '' end from named"""))
 def markdown_index(spark, d):
-    rows = dg.table(spark, d, "part").where("p_size <= 5")
-    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), ", ")
-    return rows.groupBy(F.col("p_type").alias("feature"), F.col("p_brand").alias("path")).agg(names.alias("members"), F.count("*").alias("n"))
+    return views.index_lines(dg.code_graph(spark, d))
 
 
 @query("""with hits as (select p_type feature, p_partkey urn, p_name from part where contains(p_name, 'a')), total as (select count(distinct urn) all_ from hits)
@@ -233,51 +248,62 @@ def impact_single(spark, d):
     return traverse.consumers(dg.edges(spark, d), root).select("urn", "depth")
 
 
-IMPACT = """, roots as (select 'part:' || p_partkey root from part where p_partkey % 200 = 0), r(root, urn, depth) as (select root, root, 0 from roots union select root, source_urn, depth + 1 from r join edges on target_urn = urn where depth < 4),
-reach as (select root, urn, min(depth) depth from r group by 1, 2)"""
-
-
 def _roots(spark, d) -> DataFrame:
-    return dg.table(spark, d, "part").where("p_partkey % 200 = 0").select(F.concat(F.lit("part:"), "p_partkey").alias("urn"))
+    """All symbols, files and models."""
+    return dg.code_graph(spark, d).active().where("kind in ('symbol', 'file', 'model')").select("urn")
 
 
-@query(dg.sql(IMPACT + """
-select root, urn, depth from reach where depth > 0""", recursive=True))
+@query(dg.code_sql(IMPACT + """
+select root, urn, depth from reach where depth > 0"""))
 def impact_batch(spark, d):
-    return traverse.consumers(dg.edges(spark, d), _roots(spark, d))
+    return traverse.consumers(impact.live_edges(dg.code_graph(spark, d)), _roots(spark, d))
 
 
-IMPACTED = IMPACT + """, k as (select root, reach.urn, kind, path, depth from reach join nodes using (urn)),
-imp as (select root, case when kind in ('feature', 'route', 'test') then kind when depth = 1 then 'direct' else 'indirect' end category, urn from k where depth > 0
-  union select root, 'feature', target_urn from reach join edges on source_urn = urn where relationship = 'implements'
-  union select k.root, 'route', n.urn from k join nodes n on n.path = k.path where k.path <> '' and n.kind = 'route')"""
+@query(dg.code_sql(IMPACT + """
+select root, category, count(*) n from imp group by all"""))
+def impact_categories(spark, d):
+    return impact.impact(dg.code_graph(spark, d), _roots(spark, d)).groupBy("root", "category").agg(F.count("*").alias("n"))
 
 
-@query(dg.sql(IMPACTED + """
-select root, category, count(*) n from imp group by all""", recursive=True))
-def impact_categories(spark, d):
-    return traverse.impact(dg.graph(spark, d), _roots(spark, d)).groupBy("root", "category").agg(F.count("*").alias("n"))
+@query(dg.code_sql(IMPACT.replace("kind in ('symbol', 'file', 'model')", "urn like 'part:%5'") + """
+select 'old' || substr(root, 5) root, category, urn from imp"""))
+def impact_of_old_names(spark, d):
+    """Parts are asked for under the names that they once had."""
+    g = dg.code_graph(spark, d)
+    alive = g.active().select("urn")
+    return impact.impact(g, g.aliases.join(alive, "urn", "left_semi").select(F.col("old_urn").alias("urn")))
 
 
-@query(dg.sql(IMPACTED + """, c as (select root, count(*) filter (category = 'feature') f, count(*) filter (category = 'route') a, count(*) filter (category in ('direct', 'indirect')) s from imp group by 1)
-select root, case when f >= 3 then 'HIGH' when f >= 1 or a > 0 or s >= 5 then 'MEDIUM' else 'LOW' end risk from c""", recursive=True))
+@query(dg.code_sql(IMPACT + """
+select *, case when features >= 3 or (routes > 0 and tests > 5) then 'HIGH' when features >= 1 or routes > 0 or direct + indirect >= 5 then 'MEDIUM' else 'LOW' end risk from c"""))
 def risk_rating(spark, d):
-    n = lambda *k: F.count_if(F.col("category").isin(*k))
-    c = traverse.impact(dg.graph(spark, d), _roots(spark, d)).groupBy("root").agg(n("feature").alias("f"), n("route").alias("a"), n("test").alias("t"), n("direct", "indirect").alias("s"))
-    return c.select("root", exprs.risk(F.col("f"), F.lit(0), F.col("a"), F.col("t"), F.col("s")).alias("risk"))
+    return impact.counts(dg.code_graph(spark, d), _roots(spark, d))
 
 
-@query(dg.sql(IMPACTED + """
-select root from (select root from roots) where root not in (select root from imp where category = 'route' and urn like '%1')""", recursive=True))
+@query(dg.code_sql(IMPACT + """
+select 'tested' as rule, urn, path from act where kind = 'symbol' and regexp_matches(path, '^jobs/.*$') and urn not in (select root from imp where category = 'test')"""))
 def requires_tests(spark, d):
-    covered = traverse.impact(dg.graph(spark, d), _roots(spark, d)).where("category = 'route' and urn like '%1'").select("root")
-    return _roots(spark, d).select(F.col("urn").alias("root")).join(covered, "root", "left_anti")
+    return rules.untested(dg.code_graph(spark, d), "tested", "jobs/**")
+
+
+REVIEW = """, files as (select 'src/Brand/' || b || '/' || z || '.ts' as path from (values (1, 3), (13, 14), (25, 35)) x(b, z) union all select 'schema/NATION_6' union all select 'jobs/' || s || '.ts' from (values (1), (2), (3)) y(s)),
+changed as (select urn, kind from act join files using (path) where kind in ('symbol', 'route', 'model', 'test'))"""
 
 
-@query(dg.NATION_SQL + """, reach(a, b) as (select s, t from step union select a, t from reach join step on b = s)
-select x.a urn, min(least(x.a, x.b)) component from reach x join reach y on x.a = y.b and x.b = y.a group by 1""")
+@query(dg.code_sql(REVIEW + IMPACT.replace("roots as (select urn root from act where kind in ('symbol', 'file', 'model'))", "roots as (select urn root from changed where kind <> 'test')") + EXPLAIN.replace("asked as (select 'old:'", "asked as (select urn target, urn node from changed where kind = 'symbol'), unused as (select 'old:'").split("\nselect")[0] + """,
+f as (select urn from imp where category = 'feature' union select feature from direct union select feature from inferred), t as (select distinct urn from imp where category = 'test'),
+k as (select count(*) filter (kind = 'symbol') symbols, count(*) filter (kind = 'route') apis, count(*) filter (kind = 'model') models from changed)
+select (select count(*) from files) files, symbols, apis, models, (select count(*) from f) features, (select count(*) from t) tests, (select count(*) from imp join changed on changed.urn = root where category = 'direct' and kind = 'symbol') direct_consumers,
+  case when models > 0 or (select count(*) from f) >= 3 then 'HIGH' else 'MEDIUM' end risk, 'symbols changed, no test did;models changed: check stored data;routes changed, no test did' concerns from k"""))
+def change_review(spark, d):
+    paths = [f"src/Brand/{b}/{z}.ts" for b, z in ((1, 3), (13, 14), (25, 35))] + ["schema/NATION_6"] + [f"jobs/{s}.ts" for s in (1, 2, 3)]
+    return review.review(dg.code_graph(spark, d), spark.createDataFrame([(p,) for p in paths], "path string")).withColumn("concerns", F.array_join("concerns", ";"))
+
+
+@query(dg.RING_SQL + """
+select 'part:' || p_partkey urn, least_ component from groups where p_size % 2 = 0 and n > 1""")
 def cycle_nodes(spark, d):
-    return traverse.on_cycles(dg.nation_edges(spark, d))
+    return traverse.on_cycles(dg.ring_edges(spark, d))
 
 
 @query(dg.EVENT_SQL + """, trail(path) as (select [s, t] from step where s < t union all select list_append(path, t) from trail join step on s = path[-1] where t > path[1] and not list_contains(path, t) and len(path) < 4)
@@ -367,14 +393,84 @@ def urn_parts(spark, d):
 
 
 @query("""with f as (select page_id, regexp_replace(url, '^[a-z]+://([^/]*).*$', '\\1') host, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) lang from pages)
-select page_id, target, tier from (select a.page_id, b.page_id target, case when a.host = b.host then 1 when a.lang = b.lang then 2 end tier,
-  row_number() over (partition by a.page_id order by case when a.host = b.host then 1 when a.lang = b.lang then 2 end, b.page_id) k from f a join f b on b.page_id % 50 = (a.page_id + 1) % 50 and a.page_id <> b.page_id where a.host = b.host or a.lang = b.lang) where k = 1""")
+select page_id, target, tier from (select a.page_id, b.page_id target, case when a.host = b.host then 1 else 2 end tier,
+  row_number() over (partition by a.page_id order by case when a.host = b.host then 1 else 2 end, b.page_id) k from f a join f b on a.page_id <> b.page_id where a.host = b.host or a.lang = b.lang) where k = 1""")
 def import_first_match(spark, d):
     f = dg.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1).alias("lang"))
-    a = f.withColumn("slot", (F.col("page_id") + 1) % 50)
-    b = f.select(F.col("page_id").alias("target"), F.col("host").alias("host_b"), F.col("lang").alias("lang_b"), (F.col("page_id") % 50).alias("slot"))
-    conditions = [(F.col("host") == F.col("host_b")) & (F.col("page_id") != F.col("target")), (F.col("lang") == F.col("lang_b")) & (F.col("page_id") != F.col("target"))]
-    return resolve.first_of(a, b, conditions, ["page_id"], "slot", "target").select("page_id", "target", "tier")
+    return resolve.first_others(f, ["host", "lang"], "page_id").withColumnRenamed("other", "target")
+
+
+@query(dg.code_sql(""", i as (select distinct path source_file, './' || (o_orderkey % 2000) module_specifier from od union select distinct path, '../src/Brand/' || (o_orderkey % 30) || '/./' || (o_custkey % 60) from od),
+t as (select *, case when module_specifier like './%' then 'jobs/' || substr(module_specifier, 3) else replace(substr(module_specifier, 4), '/./', '/') end base from i)
+select source_file, module_specifier, p.path target_path from t join (select distinct path, regexp_replace(path, '\\.tsx?$', '') stem from (select path from od union select path from pt)) p on p.stem = base"""))
+def import_targets(spark, d):
+    path = F.concat(F.lit("jobs/"), F.col("o_custkey").cast("string"), F.lit(".ts"))
+    key = lambda c, n: (F.col(c) % n).cast("string")
+    o = dg.table(spark, d, "orders")
+    near = o.select(path.alias("source_file"), F.concat(F.lit("./"), key("o_orderkey", 2000)).alias("module_specifier"))
+    far = o.select(path, F.concat(F.lit("../src/Brand/"), key("o_orderkey", 30), F.lit("/./"), key("o_custkey", 60)))
+    files = dg.code_nodes(spark, d).where("kind = 'file'").select("path")
+    return resolve.import_targets(near.union(far).distinct(), files).select("source_file", "module_specifier", "target_path")
+
+
+@query("""with f as (select distinct 'pkg/' || replace(p_brand, '#', '') || '/s' || p_size dir, 'pkg/' || replace(p_brand, '#', '') || '/s' || p_size || '/p' || p_partkey || '.go' as path from part),
+i as (select distinct 'ex.org/' || replace(p_brand, '#', '') || '/s' || (p_size + 20) spec, replace(p_brand, '#', '') || '/s' || (p_size + 20) long, 's' || (p_size + 20) short from part),
+hit as (select *, exists (select 1 from f where ends_with(dir, '/' || long)) whole from i)
+select 'main.go' source_file, spec module_specifier, path target_path from hit join f on ends_with(dir, '/' || case when whole then long else short end)""")
+def package_files(spark, d):
+    brand = F.translate("p_brand", "#", "")
+    part = dg.table(spark, d, "part")
+    files = part.select(F.concat(F.lit("pkg/"), brand, F.lit("/s"), F.col("p_size").cast("string"), F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"))
+    asked = part.select(F.lit("main.go").alias("source_file"), F.concat(F.lit("ex.org/"), brand, F.lit("/s"), (F.col("p_size") + 20).cast("string")).alias("module_specifier"))
+    return resolve.package_files(asked, files)
+
+
+@query(dg.code_sql(""", i as (select distinct od.path source_file, pt.path target_path, p_name as name from od join lineitem on l_orderkey = o_orderkey join pt on l_partkey = p_partkey)
+select source_file, target_path, i.name, max(n.urn) urn from i join nodes n on n.path = target_path and n.name = i.name where kind = 'symbol' group by all"""))
+def imported_names(spark, d):
+    path = lambda df: df.select("l_orderkey", "l_partkey").distinct()
+    nodes = dg.code_nodes(spark, d).where("kind = 'symbol'")
+    order = nodes.where("urn like 'order:%'").select(F.substring("urn", 7, 20).cast("bigint").alias("l_orderkey"), F.col("path").alias("source_file"))
+    part = nodes.where("urn like 'part:%'").select(F.substring("urn", 6, 20).cast("bigint").alias("l_partkey"), F.col("path").alias("target_path"), F.array("name").alias("imported_symbols"))
+    said = path(dg.table(spark, d, "lineitem")).join(order, "l_orderkey").join(part, "l_partkey").select("source_file", "target_path", "imported_symbols").distinct()
+    return resolve.imported_symbols(said, nodes).select("source_file", "target_path", "name", "urn")
+
+
+@query(dg.code_sql("""
+select source_urn, target_urn, relationship from (select *, row_number() over (partition by source_urn, target_urn order by confidence_score desc, relationship) k from edges) where k = 1"""))
+def edges_once(spark, d):
+    return graph.distinct_edges(dg.code_edges(spark, d), F.struct((-F.col("confidence_score")).alias("s"), "relationship")).select("source_urn", "target_urn", "relationship")
+
+
+@query(dg.code_sql(""", added as (select 'part:' || p_partkey s, 'part:' || (p_partkey + 1) t from pt)
+select s source_urn, t target_urn from added where s not in (select urn from nodes where status = 'retired') and t not in (select urn from nodes where status = 'retired')"""))
+def edges_added(spark, d):
+    """Edges from each part to the one of the next number, known or not; those of retired parts are left out."""
+    g = dg.code_graph(spark, d)
+    part = lambda k: F.concat(F.lit("part:"), k.cast("string"))
+    new = dg.table(spark, d, "part").select(part(F.col("p_partkey")).alias("source_urn"), part(F.col("p_partkey") + 1).alias("target_urn"), F.lit("follows").alias("relationship"))
+    return graph.add_edges(g, new).edges.where("relationship = 'follows'").select("source_urn", "target_urn")
+
+
+@query(dg.code_sql(""", moved as (select distinct path, replace(path, 'src/', 'lib/') new_ from pt where p_size % 5 = 0)
+select replace(urn, path, new_) urn, new_ as path, urn old_urn from nodes join moved using (path)"""))
+def nodes_renamed(spark, d):
+    nodes = dg.code_nodes(spark, d)
+    moved = nodes.where("kind = 'file' and path rlike '[05]\\\\.tsx?$' and path like 'src/%'").select(F.col("path").alias("from_key"), F.regexp_replace("path", "^src/", "lib/").alias("to_key"))
+    renamed, aliases = incremental.renamed_nodes(nodes, moved)
+    return renamed.where("path like 'lib/%'").join(aliases, "urn").select("urn", "path", "old_urn")
+
+
+@query(dg.code_sql(""", files as (select distinct path, p_size * 10 + 1 n from pt union select distinct path, 800 from od where o_custkey % 9 <> 0)
+select 'error' severity, 'missing file' problem, urn, path from act where path <> '' and path not in (select path from files)
+union all select 'warning', 'lines beyond the file', urn, path from act join files using (path) where kind = 'symbol' and start_line > 0 and (start_line > n or end_line > n)"""))
+def graph_problems(spark, d):
+    """Every file has a text of as many lines as its size says, or none."""
+    nodes = dg.code_nodes(spark, d).where("kind = 'file'").select("path")
+    src = nodes.where("path like 'src/%'").select("path", (F.regexp_extract("path", r"(\d+)\.tsx?$", 1).try_cast("int") * 10 + 1).alias("n"))
+    jobs = nodes.where("path like 'jobs/%'").where(F.regexp_extract("path", r"(\d+)\.ts$", 1).try_cast("bigint") % 9 != 0).select("path", F.lit(800))
+    texts = src.union(jobs).select("path", F.repeat(F.lit("x\n"), F.col("n") - 1).alias("text"))
+    return review.problems(dg.code_graph(spark, d), texts)
 
 
 CALL_SQL = """with s as (select 'part:' || p_partkey urn, p_name as name, p_brand as path, p_type, count(*) over (partition by p_name) = 1 alone from part where p_partkey % 2 = 0),
@@ -392,21 +488,67 @@ def call_resolution(spark, d):
     return resolve.resolve_calls(calls, symbols, imported)
 
 
-@query("""with l as (select p_brand, p_partkey a from part where p_size = 1), r as (select p_brand, p_partkey b from part where p_size = 2) select p_brand, a, b from l join r using (p_brand)""")
+@query(dg.code_sql("""
+select r.path, r.urn route, t.urn test from act r join act t on t.path = r.path and t.kind = 'test' where r.kind = 'route'"""))
 def file_group_cross(spark, d):
-    part = dg.table(spark, d, "part")
-    side = lambda size, name: part.where(F.col("p_size") == size).select("p_brand", F.col("p_partkey").alias(name))
-    return resolve.within_group(side(1, "a"), side(2, "b"), "p_brand")
+    """Routes and tests of one file."""
+    nodes = dg.code_graph(spark, d).active()
+    side = lambda kind: nodes.where(F.col("kind") == kind).select("path", F.col("urn").alias(kind))
+    return resolve.within_group(side("route"), side("test"), "path")
 
 
-@query("""with declared as (select p_type feature, list(distinct p_name) names from part where p_size = 3 group by 1)
-select distinct d.feature, p_partkey urn from (select feature, unnest(names) as name from declared) d join part on p_name = d.name""")
+@query("""with declared as (select p_type feature, unnest([min(p_name), max(p_name)]) as name from part group by 1)
+select distinct d.feature, p_partkey urn from declared d join part on p_name = d.name""")
 def explicit_mapping(spark, d):
     part = dg.table(spark, d, "part")
-    declared = part.where("p_size = 3").groupBy(F.col("p_type").alias("feature")).agg(F.collect_set("p_name").alias("components")).withColumn("services", F.array().cast("array<string>"))
+    declared = part.groupBy(F.col("p_type").alias("feature")).agg(F.array(F.min("p_name")).alias("components"), F.array(F.max("p_name")).alias("services"))
     return classify.explicit(part.select(F.col("p_partkey").alias("urn"), F.col("p_name").alias("name")), declared)
 
 
+DETECT = [*VOCAB, ("nation", "Nations", []), ("jobs", "Jobs", [])]
+LOOSE = f"""with recursive vocab(ord, keyword, feature_name) as (values {', '.join(f"({k}, '{v[0]}', '{v[1]}')" for k, v in enumerate(DETECT))}),
+s as (select 'part:' || p_partkey urn, p_name as name, 'src/' || case when p_size % 9 = 0 then 'modules/' || lower(replace(p_brand, '#', '-')) || '/x' else p_type end as path from part),
+l as (select urn, {WORDS.format(x='name')} nw, {WORDS.format(x='path')} pw from s where path not like 'src/modules/%'),
+k as (select urn, ord, feature_name, {_score_sql('')} score from l, vocab),
+best as (select * from (select *, row_number() over (partition by urn order by score desc, ord) n from k where score > 0) where n = 1),
+found as (select 'supplier:' || s_suppkey urn, n_name as name, 'DETECTED' confidence, 0.85 score, 'route_match' evidence from supplier join nation on s_nationkey = n_nationkey
+  union all select 'model:' || n_nationkey, 'Nations', 'DETECTED', 0.85, 'model_ref' from nation where contains(lower(n_name), 'nation')
+  union all select urn, string_split(path, '/')[3], 'DETECTED', 0.9, 'directory_cluster' from s where path like 'src/modules/%'
+  union all select urn, feature_name, 'DETECTED', 0.85, 'directory_cluster' from best where (score >= 80 and score < 100) or score < 40
+  union all select urn, feature_name, 'INFERRED', 0.6, 'semantic_similarity' from best where not ((score >= 80 and score < 100) or score < 40)
+  union all select 'test:' || c_custkey, 'Jobs', 'DETECTED', 0.8, 'ast_call' from customer)
+"""
+
+
+@query(LOOSE + """select urn, regexp_replace(lower(replace(name, '_', ' ')), '[^a-z0-9]+', '-', 'g') slug, confidence, score::double score, evidence from found""")
+def detected_candidates(spark, d):
+    return _candidates(spark, d).select("urn", "slug", "confidence", "score", "evidence")
+
+
+def _candidates(spark, d) -> DataFrame:
+    """From suppliers as routes below their nation, nations as models, parts as symbols, of which some lie in modules, and a test for each customer."""
+    t = lambda name: dg.table(spark, d, name)
+    urn = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("urn")
+    routes = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(urn("supplier", "s_suppkey"), F.concat(F.lit("/api/v1/"), "n_name", F.lit("/"), F.col("s_suppkey").cast("string")).alias("route_path"))
+    models = t("nation").select(urn("model", "n_nationkey"), F.col("n_name").alias("name"))
+    module = F.concat(F.lit("modules/"), F.lower(F.translate("p_brand", "#", "-")), F.lit("/x"))
+    symbols = t("part").select(urn("part", "p_partkey"), F.col("p_name").alias("name"), F.concat(F.lit("src/"), F.when(F.col("p_size") % 9 == 0, module).otherwise(F.col("p_type"))).alias("path"))
+    tests = t("customer").select(urn("test", "c_custkey"), F.lit("runs").alias("name"), F.lit("jobs/a.ts").alias("path"))
+    return classify.candidates(routes, models, symbols, tests, classify.vocabulary(spark, DETECT))
+
+
+@query(LOOSE + """, f as (select distinct 'urn:loom:feature:' || trim(regexp_replace(lower(replace(name, '_', ' ')), '[^a-z0-9]+', '-', 'g'), '-') feature, urn, confidence, score from found),
+declared as (select 'urn:loom:feature:sizes' feature), linked as (select 'part:' || p_partkey urn, 'urn:loom:feature:sizes' feature from part where p_size = 1 or p_name like 'small%')
+select urn, feature, 'EXPLICIT' confidence, 1.0::double score from linked
+union all select urn, feature, confidence, score::double from (select *, row_number() over (partition by urn, feature order by score desc) k from f) where k = 1 and (urn, feature) not in (select (urn, feature) from linked)""")
+def merged_features(spark, d):
+    """One feature is declared, with parts of its own; what is detected joins it or makes others."""
+    part = dg.table(spark, d, "part").where("p_size = 1 or p_name like 'small%'")
+    linked = part.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("urn"), F.lit("urn:loom:feature:sizes").alias("feature"))
+    declared = spark.createDataFrame([("urn:loom:feature:sizes", "Sizes", [])], "urn string, name string, tags array<string>")
+    return classify.merged(declared, linked, _candidates(spark, d))[1].select("urn", "feature", "confidence", F.col("confidence_score").alias("score"))
+
+
 # Rules
 
 RULES = [{"name": "urgent", "from": "1-*", "cannot_import": "Brand#1*"}, {"name": "nations", "from": "*A*", "cannot_import": "2-**"}]
@@ -486,7 +628,9 @@ def budget_pack(spark, d):
     return budget.pack(c, "conv_id", priority, F.col("turn"), exprs.ledger_estimate(F.col("text")), F.col("turn"), 400)
 
 
-@query()
+@query(f"""with d as (select doc_id, text, left(text, 661) head from documents), mark as (select chr(10) || '... [truncated]' m),
+c as (select doc_id, text, ceil(length(text) / 3.3::double + 0.25 * {PUNCT_SQL.format(x='text')}) <= 200 fits, list_max(list_filter(range(0, length(head) + 1), lambda n: ceil((n + length(m)) / 3.3::double + 0.25 * ({PUNCT_SQL.format(x='left(head, n)')} + {PUNCT_SQL.format(x='m')})) <= 200)) best, m from d, mark)
+select doc_id, case when fits then text else left(text, best) || m end as text from c""")
 def truncate_to_budget(spark, d):
     return dg.table(spark, d, "documents").select("doc_id", budget.truncate(F.col("text"), 200).alias("text"))
 
@@ -516,18 +660,19 @@ def usage_summary(spark, d):
     return e.groupingSets([[], ["day"], ["command"]], "day", "command").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("tokens"), F.count_distinct("user_id").alias("sessions"))
 
 
-@query("""with f as (select distinct lower(p_name) as name from part where p_size = 1) select name, exists (select 1 from documents where contains(lower(text), name)) documented from f""")
+@query("""with f as (select distinct p_name as name from part union select distinct upper(regexp_extract(url, '://([^./]*)', 1)) from pages)
+select name, exists (select 1 from pages where contains(lower(url), lower(name))) documented from f where name <> ''""")
 def doc_term_hits(spark, d):
-    names = dg.table(spark, d, "part").where("p_size = 1").select(F.lower("p_name").alias("name")).distinct()
-    docs = dg.table(spark, d, "documents").select(F.lower("text").alias("t"))
-    hit = names.join(docs, F.col("t").contains(F.col("name")), "left_semi").withColumn("documented", F.lit(True))
+    pages = dg.table(spark, d, "pages").select(F.col("url").alias("path"))
+    names = dg.table(spark, d, "part").select(F.col("p_name").alias("name")).union(pages.select(F.upper(F.regexp_extract("path", "://([^./]*)", 1)))).where("name != ''").distinct()
+    hit = views.named_in(names, pages).withColumn("documented", F.lit(True))
     return names.join(hit, "name", "left").select("name", F.coalesce("documented", F.lit(False)).alias("documented"))
 
 
-@query("""with r as (select p_brand as path, case when p_type like '%' || 'STEEL' or lower(p_type) like 'e%' then 1 when p_size > 25 then 2 else 3 end role, p_partkey from part where p_size % 10 = 0)
+@query("""with r as (select p_brand as path, case when p_type like '%' || 'STEEL' or lower(p_type) like 'e%' then 1 when p_size > 25 then 2 else 3 end role, p_partkey from part)
 select path, case role when 1 then 'API' when 2 then 'Service' else 'Model' end role, p_partkey urn from (select *, row_number() over (partition by path order by role, p_partkey) k from r) where k = 1""")
 def task_files_by_role(spark, d):
-    part = dg.table(spark, d, "part").where("p_size % 10 = 0")
+    part = dg.table(spark, d, "part")
     role = F.when(F.col("p_type").endswith("STEEL") | F.lower("p_type").startswith("e"), 1).when(F.col("p_size") > 25, 2).otherwise(3)
     first = graph.first_match(part.select(F.col("p_brand").alias("path"), role.alias("rank"), F.col("p_partkey").alias("urn")), ["path"], [F.col("rank"), F.col("urn")])
     return first.select("path", F.get(F.array(*map(F.lit, ("API", "Service", "Model"))), F.col("rank") - 1).alias("role"), "urn")
@@ -601,8 +746,8 @@ def extract_calls(spark, d):
     return extract.calls(source_tree.files(spark, d))
 
 
-CONTEXT = """with s as (select p_type f, p_partkey % 3 c, '## ' || case p_partkey % 3 when 0 then 'API Endpoints' when 1 then 'Core Services & Functions' else 'Related Tests' end || chr(10) || string_agg('- ' || p_name, chr(10) order by p_partkey, p_name) || chr(10) x from part where p_size = 1 group by p_type, p_partkey % 3),
-k as (select *, ceil(length(x) / 3.3::double + 0.25 * {punct_x})::bigint n from s), h as (select distinct p_type f, '# Feature Context: ' || p_type || chr(10) x from part),
+CONTEXT = """with pp as (select *, p_type || ' ' || p_size ty from part), s as (select ty f, p_partkey % 3 c, '## ' || case p_partkey % 3 when 0 then 'API Endpoints' when 1 then 'Core Services & Functions' else 'Related Tests' end || chr(10) || string_agg('- ' || p_name, chr(10) order by p_partkey, p_name) || chr(10) x from pp group by ty, p_partkey % 3),
+k as (select *, ceil(length(x) / 3.3::double + 0.25 * {punct_x})::bigint n from s), h as (select distinct ty f, '# Feature Context: ' || ty || chr(10) x from pp),
 p as (select f, h.x h, ceil(length(h.x) / 3.3::double + 0.25 * {punct_h})::bigint hn, a.x a, coalesce(a.n, 1000) an, v.x v, coalesce(v.n, 1000) vn, t.x t, coalesce(t.n, 1000) tn
   from h left join (from k where c = 0) a using (f) left join (from k where c = 1) v using (f) left join (from k where c = 2) t using (f)),
 p1 as (select *, hn + an <= 60 ta, hn + case when hn + an <= 60 then an else 0 end s1 from p), p2 as (select *, s1 + vn <= 60 tv, s1 + case when s1 + vn <= 60 then vn else 0 end s2 from p1)
@@ -611,7 +756,7 @@ select f feature, concat_ws(chr(10), h, case when ta then a end, case when tv th
 
 @query(CONTEXT.format(punct_x=PUNCT_SQL.format(x="x"), punct_h=PUNCT_SQL.format(x="h.x")))
 def feature_contexts(spark, d):
-    part = dg.table(spark, d, "part")
+    part = dg.table(spark, d, "part").withColumn("ty", F.concat("p_type", F.lit(" "), F.col("p_size").cast("string")))
     category = F.get(F.array(*map(F.lit, ("api", "services", "tests"))), (F.col("p_partkey") % 3).cast("int"))
-    members = part.where("p_size = 1").select(F.col("p_type").alias("feature"), category.alias("category"), F.col("p_name").alias("line"), F.col("p_partkey").alias("sort"))
-    return context.contexts(part.select(F.col("p_type").alias("feature"), F.col("p_type").alias("title")).distinct(), members, 60).select("feature", "context", "sections")
+    members = part.select(F.col("ty").alias("feature"), category.alias("category"), F.col("p_name").alias("line"), F.col("p_partkey").alias("sort"))
+    return context.contexts(part.select(F.col("ty").alias("feature"), F.col("ty").alias("title")).distinct(), members, 60).select("feature", "context", "sections")

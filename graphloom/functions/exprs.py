@@ -156,3 +156,13 @@ def is_ui(symbol_kind: Column, path: Column) -> Column:
 
 def is_test_path(path: Column) -> Column:
     return path.rlike(r"(?i)(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.|_test\.|(^|/)test_|\.config\.|\.d\.ts$")
+
+
+def is_entry_path(path: Column) -> Column:
+    """Where programs begin, or what no program needs to import: indexes, mains, servers, commands, tests and their data."""
+    return path.rlike(r"(index\.[jt]s|main\.[jt]s|server\.js|app\.ts|\.test\.[jt]s)$|^bin/|tests/|fixtures/")
+
+
+def is_builtin(name: Column, names: Column) -> Column:
+    """Whether the last part of a dotted name is among an array of builtin names."""
+    return F.array_contains(names, F.element_at(F.split(name, r"\."), -1))

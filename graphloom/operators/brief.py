@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from .graph import Graph, feature_named, first_match, function_map
+from .graph import Graph, feature_named, first_match
 from .search import search
+from .views import function_map, members
 
 #: Sections of a brief, in order.
 FEATURE, ENTRY, CORE, API, TESTS, BLAST = "FEATURE", "ENTRY", "CORE", "API", "TESTS", "BLAST RADIUS"
@@ -17,10 +18,6 @@ PHASES = ("Data models", "Services", "Endpoints", "User interface", "Verificatio
 SHARE = 0.2
 
 
-def _members(graph: Graph) -> DataFrame:
-    return graph.edges.where("relationship in ('implements', 'belongs_to')").select(F.col("target_urn").alias("feature"), F.col("source_urn").alias("urn")).distinct()
-
-
 def brief_lines(graph: Graph, features: DataFrame, hubs: int = 8) -> DataFrame:
     """(feature, section, sort, line) for features (feature, title).
 
@@ -29,15 +26,15 @@ def brief_lines(graph: Graph, features: DataFrame, hubs: int = 8) -> DataFrame:
     """
     ours = features.select("feature")
     places = graph.active().select("urn", "kind", "name", "path", "start_line", "end_line")
-    functions = function_map(graph).join(ours, "feature", "left_semi").join(places.where("kind = 'symbol'"), "urn")
+    functions = function_map(graph).join(ours, "feature", "left_semi").join(places.select("urn", "end_line"), "urn")
     at = F.format_string("%s:%d", "path", "start_line")
     inside = F.when(F.col("inner_calls") > 0, F.format_string(" -> %d inside", "inner_calls")).otherwise("")
     shared = F.when(F.col("shared"), F.format_string(" !shared(%d)", "callers")).otherwise("")
     line = F.concat(at, F.lit("-"), F.col("end_line").cast("string"), F.lit(" "), "name", inside, shared)
     out = functions.select("feature", F.when(F.col("entry"), ENTRY).otherwise(CORE).alias("section"), F.col("urn").alias("sort"), line.alias("line"))
-    members = _members(graph).join(ours, "feature", "left_semi")
+    own = members(graph).join(ours, "feature", "left_semi")
     near = graph.edges.where("relationship in ('exposes', 'tests')").select(F.col("target_urn").alias("urn"), F.col("source_urn").alias("by"))
-    touched = members.union(members.join(near, "urn").select("feature", F.col("by").alias("urn"))).distinct().join(places.where("kind in ('route', 'test')"), "urn")
+    touched = own.union(own.join(near, "urn").select("feature", F.col("by").alias("urn"))).distinct().join(places.where("kind in ('route', 'test')"), "urn")
     out = out.union(touched.select("feature", F.when(F.col("kind") == "route", API).otherwise(TESTS), "urn", F.concat("name", F.lit(" @ "), at)))
     w = Window.partitionBy("feature").orderBy(F.desc("callers"), "urn")
     most = functions.where("shared").withColumn("k", F.row_number().over(w)).where(F.col("k") <= hubs)
@@ -68,7 +65,7 @@ def primary_feature(graph: Graph, task: str) -> DataFrame:
     named = feature_named(graph, task).select(F.col("urn").alias("feature"), F.lit(0).alias("rank"))
     hits = search(graph.active(), task, 40).select("urn", "kind", "score")
     symbols = hits.where("kind != 'feature'")
-    owned = symbols.join(_members(graph), "urn").select("feature", "score", "urn")
+    owned = symbols.join(members(graph), "urn").select("feature", "score", "urn")
     credit = owned.union(hits.where("kind = 'feature'").select("urn", F.col("score") * 2, F.lit(None).cast("string")))
     best = credit.groupBy("feature").agg(F.sum("score").alias("credit"), F.count_distinct("urn").alias("n")).orderBy(F.desc("credit"), "feature").limit(1)
     sure = best.crossJoin(symbols.agg(F.count("*").alias("total"))).where((F.col("total") > 0) & (F.col("n") >= SHARE * F.col("total")))  # one row by one row
@@ -78,7 +75,7 @@ def primary_feature(graph: Graph, task: str) -> DataFrame:
 def likely_files(graph: Graph, task: str) -> DataFrame:
     """(path, role, reason): files of the task's feature, each once by UI, API, Service and Model, and those of the first five hits."""
     nodes = graph.active().select("urn", "kind", "path").where("path != ''")
-    ours = _members(graph).join(primary_feature(graph, task), "feature", "left_semi").join(nodes, "urn").select("path", "kind", F.lit("member").alias("reason"), F.lit(0).alias("tier"))
+    ours = members(graph).join(primary_feature(graph, task), "feature", "left_semi").join(nodes, "urn").select("path", "kind", F.lit("member").alias("reason"), F.lit(0).alias("tier"))
     hits = search(graph.active(), task, 5).where("path != '' and kind != 'feature'").select("path", "kind", F.lit("hit"), F.lit(1))
     ui = exprs.is_ui(F.lit(None).cast("string"), F.col("path"))
     rank = F.when(F.col("kind") == "route", 1).when(F.col("kind") == "model", 3).when(F.col("kind") == "test", 4).when(ui, 0).otherwise(2)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import PUNCTUATION, token_estimate
+
 MARK = "\n... [truncated]"
 
 
@@ -25,32 +24,27 @@ def pack(items: DataFrame, group: str, priority: Column, order: Column, cost: Co
     return rows.select(group, F.aggregate("items", zero, take).alias("r"), F.size("items").alias("all")).select(group, F.substring("r.ids", 2, 1 << 30).alias("packed"), F.col("r.sum").alias("total"), (F.col("all") - F.col("r.n")).cast("bigint").alias("dropped"))
 
 
-def estimate(text: str) -> int:
-    """The expression token_estimate, for a single text."""
-    import math
-    import re
-
-    from ..functions.exprs import PUNCTUATION
-
-    return math.ceil(len(text) / 3.3 + 0.25 * len(re.findall(PUNCTUATION, text)))
-
-
-def truncated(text: str | None, budget: int, tokens: Callable[[str], int] = estimate) -> str | None:
-    """The text, or its longest prefix that fits with a mark behind it; a budget below the mark gives nothing."""
-    if text is None or tokens(text) <= budget:
-        return text
-    if tokens(MARK) > budget:
-        return ""
-    low, high = 0, len(text)
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if tokens(text[:mid] + MARK) <= budget else (low, mid - 1)
-    return text[:low] + MARK
-
-
 def truncate(text: Column, budget: int) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: truncated(t, budget), na_action="ignore")
+    """The text, or its longest prefix that fits with a mark behind it; a budget below the mark gives nothing.
 
-    return run(text)
+    A prefix costs by its length and its punctuation. Between two of these marks only the length counts, so that each stretch has
+    one longest prefix that fits: where the next mark comes, or where the length alone is used up.
+    """
+    marks = F.regexp_count(F.lit(MARK), F.lit(PUNCTUATION))
+    cost = lambda length, punctuation: F.ceil((length + len(MARK)) / F.lit(3.3) + F.lit(0.25) * (punctuation + marks))
+    head = F.substring(text, 1, int(3.3 * budget) + 1)  # no longer prefix can fit
+    chars = F.split(head, "")
+    places = F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(PUNCTUATION), i + 1)), lambda i: i.isNotNull())
+    size = F.length(head)
+    begins = F.concat(F.array(F.lit(0)), places)
+    ends = F.concat(F.transform(places, lambda i: i - 1), F.array(size))
+
+    def longest(begin: Column, j: Column) -> Column:
+        end = F.get(ends, j)
+        room = F.floor((budget - 0.25 * (j + marks)) * 3.3).cast("int") - len(MARK)
+        near = F.transform(F.array(room + 1, room, room - 1), lambda n: F.least(n, end))  # rounding decides among these
+        return F.array_max(F.filter(near, lambda n: (n >= begin) & (cost(n, j) <= budget)))
+
+    best = F.array_max(F.transform(begins, longest))
+    cut = F.when(F.lit(budget) < cost(F.lit(0), F.lit(0)), F.lit("")).otherwise(F.concat(F.substring(head, F.lit(1), F.coalesce(best, F.lit(0))), F.lit(MARK)))
+    return F.when(token_estimate(text) <= budget, text).otherwise(F.when(text.isNotNull(), cut))

@@ -30,10 +30,15 @@ def vocabulary(spark, rows: list[tuple[str, str, list[str]]] = VOCABULARY) -> Da
 def best_keyword(items: DataFrame, words: DataFrame, key: str = "urn") -> DataFrame:
     """Items (key, symbol_words, path_words) with their best-scoring keyword, the earliest on ties; those that score nothing are left out.
 
-    The vocabulary is checked by Spark's own broadcast threshold; a larger one is joined by nested loops over partitions.
+    Items and keywords meet by what they can share: a whole word with or without its final s, or the first letters of one.
     """
+    stem = lambda w: F.regexp_replace(w, "s$", "")
+    each = F.concat("symbol_words", "path_words")
+    starts = F.flatten(F.transform(each, lambda w: F.transform(F.sequence(F.lit(4), F.greatest(F.length(w), F.lit(4))), lambda n: F.substring(w, F.lit(1), n))))
+    probes = items.withColumn("_probe", F.explode(F.array_distinct(F.concat(each, F.transform(each, stem), starts))))
+    known = words.withColumn("_probe", F.explode(F.array_distinct(F.array("keyword", stem(F.col("keyword"))))))
     score = exprs.keyword_score(F.col("keyword"), F.col("symbol_words"), F.col("path_words"))
-    scored = items.join(words, on=None, how="cross").withColumn("score", score).where("score > 0")  # noqa: a vocabulary against all rows
+    scored = probes.join(known, "_probe").withColumn("score", score).where("score > 0")
     best = F.max_by(F.struct("keyword", "feature_name", "tags", "score"), F.struct("score", -F.col("ord")))
     return scored.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 
@@ -80,3 +85,19 @@ def explicit(symbols: DataFrame, declared: DataFrame) -> DataFrame:
     """(feature, urn): symbols that a declared feature (feature, components, services) names."""
     names = declared.select("feature", F.explode(F.array_union("components", "services")).alias("name"))
     return symbols.select("urn", "name").join(names, "name").select("feature", "urn").distinct()
+
+
+def merged(declared: DataFrame, linked: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features and edges of what is declared and what is found.
+
+    ``declared``: urn, name, tags of declared features; ``linked``: urn, feature, of their members, as sure as can be; ``found``:
+    candidates. A candidate whose feature is declared joins it; others make a feature each. Of two edges from a node to a
+    feature the declared one counts. Features: urn, name, tags, confidence, confidence_score; edges: urn, feature, confidence,
+    confidence_score, evidence.
+    """
+    own = exprs.feature_urn(F.col("slug"))
+    new = features(found).select(own.alias("urn"), "name", "tags", F.lit("DETECTED").alias("confidence"), F.lit(0.85).alias("confidence_score")).join(declared.select("urn"), "urn", "left_anti")
+    all_features = declared.select("urn", "name", "tags", F.lit("EXPLICIT").alias("confidence"), F.lit(1.0).alias("confidence_score")).unionByName(new)
+    sure = linked.select("urn", "feature", F.lit("EXPLICIT").alias("confidence"), F.lit(1.0).alias("confidence_score"), F.lit("explicit_declaration").alias("evidence")).distinct()
+    detected = membership(found).select("urn", own.alias("feature"), "confidence", F.col("score").alias("confidence_score"), "evidence").join(sure.select("urn", "feature"), ["urn", "feature"], "left_anti")
+    return all_features, sure.union(detected)

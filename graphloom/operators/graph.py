@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import is_entry_path, is_test_path
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -36,6 +38,21 @@ class Graph:
         return self.nodes.where(F.col("urn") == urn)
 
 
+def resolve_aliases(rows: DataFrame, aliases: DataFrame | None, name: str, now: str) -> DataFrame:
+    """The rows with ``now``: what ``name`` is called after one alias, else itself."""
+    if aliases is None:
+        return rows.withColumn(now, F.col(name))
+    a = aliases.select(F.col("old_urn").alias(name), F.col("urn").alias("_now"))
+    return rows.join(a, name, "left").withColumn(now, F.coalesce("_now", name)).drop("_now")
+
+
+def with_alias(graph: Graph, old: DataFrame) -> Graph:
+    """The graph with further aliases (old_urn, urn); of one that is given again, the new one counts."""
+    old = old.select("old_urn", "urn").dropDuplicates(["old_urn"])
+    kept = graph.aliases.join(old.select("old_urn"), "old_urn", "left_anti").select("old_urn", "urn") if graph.aliases is not None else None
+    return Graph(graph.nodes, graph.edges, old if kept is None else kept.union(old))
+
+
 def latest(nodes: DataFrame, order: str = "seq") -> DataFrame:
     """One row for each urn: the last one written."""
     w = Window.partitionBy("urn").orderBy(F.col(order).desc())
@@ -83,8 +100,18 @@ def dangling(graph: Graph) -> DataFrame:
     return out
 
 
-def unreferenced(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    return symbols.join(edges.select(F.col("target_urn").alias("urn")), "urn", "left_anti")
+def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.join(edges.select(F.col("target_urn").alias("urn")), "urn", "left_anti")
+
+
+def dead_symbols(graph: Graph) -> DataFrame:
+    """Active symbols that no edge reaches, but for those of tests and settings."""
+    return unreferenced(graph.active().where((F.col("kind") == "symbol") & ~is_test_path(F.col("path"))), graph.resolved_edges())
+
+
+def dead_files(graph: Graph) -> DataFrame:
+    """Paths of JavaScript and TypeScript that no edge from another path reaches, but for those where programs begin."""
+    return unconsumed_paths(graph).where(F.col("path").rlike(r"\.[cm]?[jt]sx?$") & ~is_entry_path(F.col("path")))
 
 
 def unconsumed_paths(graph: Graph) -> DataFrame:
@@ -123,33 +150,3 @@ def add_edges(graph: Graph, new: DataFrame) -> Graph:
 def distinct_edges(edges: DataFrame, rank: Column) -> DataFrame:
     """One edge between two nodes: the first by rank."""
     return first_match(edges, ["source_urn", "target_urn"], [rank])
-
-
-def hotspots(graph: Graph) -> DataFrame:
-    """urn, n_in, n_out, features, consumers and score of every active symbol; features are those that it or its callers belong to."""
-    symbols = graph.active().where("kind = 'symbol'").select("urn", "name", "path")
-    member = graph.edges.where("relationship = 'implements'").select(F.col("source_urn").alias("urn"), F.col("target_urn").alias("feature"))
-    use = graph.edges.where("relationship != 'implements'")
-    features = member.groupBy("urn").agg(F.count_distinct("feature").alias("features"))
-    consumers = use.groupBy(F.col("target_urn").alias("urn")).agg(F.count_distinct("source_urn").alias("consumers"))
-    out = symbols.join(degrees(use), "urn", "left").join(features, "urn", "left").join(consumers, "urn", "left")
-    n = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("n_in", "n_out", "features", "consumers")}
-    score = 2 * n["n_in"] + n["n_out"] + 3 * n["features"] + 2 * n["consumers"]
-    return out.select("urn", "name", "path", *[c.alias(k) for k, c in n.items()], score.alias("score"))
-
-
-def function_map(graph: Graph, feature_urn: Column | None = None) -> DataFrame:
-    """For every feature's members: callers counted as edges and as paths, whether others share it, whether it is an entry, and calls within the feature."""
-    member = graph.edges.where("relationship = 'implements'").select(F.col("source_urn").alias("urn"), F.col("target_urn").alias("feature"))
-    if feature_urn is not None:
-        member = member.where(F.col("feature") == feature_urn)
-    calls = graph.edges.where("relationship = 'calls'")
-    path = graph.active().select(F.col("urn").alias("source_urn"), F.col("path").alias("from_path"))
-    by = calls.join(path, "source_urn").groupBy(F.col("target_urn").alias("urn")).agg(F.count("*").alias("callers"), F.count_distinct("from_path").alias("caller_paths"))
-    m = lambda c, f: member.select(F.col("urn").alias(c), F.col("feature").alias(f))
-    inside = calls.join(m("source_urn", "feature"), "source_urn").join(m("target_urn", "feature"), ["target_urn", "feature"])
-    has_inner = inside.groupBy(F.col("target_urn").alias("urn"), "feature").agg(F.lit(False).alias("entry"))
-    callees = inside.groupBy(F.col("source_urn").alias("urn"), "feature").agg(F.count_distinct("target_urn").alias("inner_calls"))
-    out = member.join(by, "urn", "left").join(has_inner, ["urn", "feature"], "left").join(callees, ["urn", "feature"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return out.select("urn", "feature", zero("callers"), (F.coalesce("caller_paths", F.lit(0)) > 1).alias("shared"), F.coalesce("entry", F.lit(True)).alias("entry"), zero("inner_calls"))

@@ -47,3 +47,18 @@ def renamed_nodes(nodes: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFr
     j = j.withColumn("_new", new)
     aliases = j.where("_to is not null").select(F.col("urn").alias("old_urn"), F.col("_new").alias("urn"))
     return j.withColumn("urn", F.col("_new")).withColumn("path", F.coalesce("_to", "path")).select(*nodes.columns), aliases
+
+
+def renamed_edges(edges: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Edges under the new names (old_urn, urn) of their ends."""
+    columns = edges.columns
+    for end in ("source_urn", "target_urn"):
+        edges = edges.join(aliases.select(F.col("old_urn").alias(end), F.col("urn").alias("_now")), end, "left").withColumn(end, F.coalesce("_now", end)).drop("_now")
+    return edges.select(*columns)
+
+
+def followed(before: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Aliases (old_urn, urn) of before, led on by later ones, and these; of an old name given twice the later counts."""
+    on = aliases.select(F.col("old_urn").alias("urn"), F.col("urn").alias("_now"))
+    led = before.join(on, "urn", "left").select("old_urn", F.coalesce("_now", "urn").alias("urn"))
+    return led.join(aliases.select("old_urn"), "old_urn", "left_anti").where("old_urn != urn").union(aliases.select("old_urn", "urn"))

@@ -12,12 +12,11 @@ SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/ind
 
 
 def joined_path(folder: Column, specifier: Column) -> Column:
-    """Folder and relative specifier as one path, with . and .. taken away by repeated rewriting (as deep as eight levels)."""
-    x = F.concat_ws("/", F.nullif(folder, F.lit("")), specifier)
-    x = F.regexp_replace(F.regexp_replace(x, r"/(?:\./)+", "/"), r"^(?:\./)+", "")
-    for _ in range(8):
-        x = F.regexp_replace(x, r"(?:^|(?<=/))(?!\.\.?/)[^/]+/\.\./", "")
-    return x
+    """Folder and relative specifier as one path without . and .., as far as these lead; what leads above the root stays."""
+    parts = F.split(F.concat_ws("/", F.nullif(folder, F.lit("")), specifier), "/")
+    up = lambda a: (F.size(a) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), a), -1) != "..")
+    step = lambda a, p: F.when((p == ".") | (p == ""), a).when((p == "..") & up(a), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, p))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
 def candidates(imports: DataFrame) -> DataFrame:
@@ -49,19 +48,60 @@ def first_of(rows: DataFrame, targets: DataFrame, conditions: list[Column], keys
     return first_match(rows.join(targets, on).withColumn("tier", tier).where("tier is not null"), keys, [F.col("tier"), F.col(tie)])
 
 
+def first_others(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """(ident, other, tier) of the rows with another one of the same first key, else second key, and so on: the least.
+
+    Of each key's rows only the two least ids are looked at, so that no row meets all others of a common key.
+    """
+    out = rows.select(ident, *keys)
+    for k, key in enumerate(keys, 1):
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(ident))
+        least = rows.where(F.col(key).isNotNull()).select(key, ident).withColumn("_n", nth).where("_n <= 2")
+        two = least.groupBy(key).agg(F.min(ident).alias(f"_first{k}"), F.max(ident).alias(f"_second{k}"))
+        out = out.join(two, key, "left")
+    other = [F.when(F.col(f"_first{k}") != F.col(ident), F.col(f"_first{k}")).otherwise(F.nullif(f"_second{k}", ident)) for k in range(1, len(keys) + 1)]
+    tier = F.coalesce(*[F.when(o.isNotNull(), k) for k, o in enumerate(other, 1)])
+    return out.select(ident, F.coalesce(*other).alias("other"), tier.alias("tier")).where("tier is not null")
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imported: DataFrame, builtins: DataFrame | None = None) -> DataFrame:
     """(call_id, urn, tier) of calls (call_id, file, name): a symbol of the same file, else of an imported one, else the only one of its name.
 
-    ``symbols``: urn, name, path; ``imported``: file, path. Builtin names resolve to nothing.
+    ``symbols``: urn, name, path; ``imported``: file, path. Builtin names resolve to nothing. Each tier is a table with one row
+    a key, so that no call meets all symbols of a common name; of several symbols the first by urn counts.
     """
     if builtins is not None:
         calls = calls.join(builtins.select("name"), "name", "left_anti")
-    alone = F.count("*").over(Window.partitionBy("name")) == 1
-    s = symbols.select("urn", "name", "path").withColumn("alone", alone)
-    seen = imported.select("file", "path").distinct().withColumn("is_imported", F.lit(True))
-    pairs = calls.join(s, "name").join(seen, ["file", "path"], "left")
-    tier = F.when(F.col("file") == F.col("path"), 1).when(F.col("is_imported"), 2).when(F.col("alone"), 3)
-    return first_match(pairs.withColumn("tier", tier).where("tier is not null"), ["call_id"], [F.col("tier"), F.col("urn")]).select("call_id", "urn", "tier")
+    here = symbols.groupBy("path", "name").agg(F.min("urn").alias("urn"))
+    near = imported.select("file", "path").distinct().join(here, "path").groupBy("file", "name").agg(F.min("urn").alias("_near"))
+    only = symbols.groupBy("name").agg(F.count("*").alias("_n"), F.min("urn").alias("_only")).where("_n = 1").drop("_n")
+    out = calls.select("call_id", "file", "name").join(here.select(F.col("path").alias("file"), "name", F.col("urn").alias("_here")), ["file", "name"], "left").join(near, ["file", "name"], "left").join(only, "name", "left")
+    tier = F.when(F.col("_here").isNotNull(), 1).when(F.col("_near").isNotNull(), 2).when(F.col("_only").isNotNull(), 3)
+    return out.select("call_id", F.coalesce("_here", "_near", "_only").alias("urn"), tier.alias("tier")).where("tier is not null")
+
+
+def imported_symbols(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Imports (target_path, imported_symbols and more), a row for each name that the target file declares, with that symbol's urn; of several the last."""
+    last = symbols.groupBy(F.col("path").alias("target_path"), "name").agg(F.max("urn").alias("urn"))
+    return imports.withColumn("name", F.explode("imported_symbols")).join(last, ["target_path", "name"])
+
+
+def package_files(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(source_file, module_specifier, target_path): the Go files of the folder that a specifier with a slash ends in.
+
+    Of the specifier's ends, from the longest on, the first that any folder is or ends in counts. Both meet by equality of ends.
+    """
+    def ends(text: Column) -> Column:
+        parts = F.split(text, "/")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+    dirs = files.where(F.col("path").endswith(".go") & F.col("path").contains("/")).select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
+    known = dirs.select(F.explode(F.array_distinct(ends(F.col("dir")))).alias("end"), F.col("path").alias("target_path"))
+    keys = imports.where(F.col("module_specifier").contains("/") & ~F.col("module_specifier").startswith(".")).select("source_file", "module_specifier").distinct()
+    tried = keys.select("*", F.posexplode(ends(F.col("module_specifier"))).alias("order", "end")).where("end != ''")
+    matched = tried.join(known.select("end").distinct(), "end", "left_semi")
+    first = matched.groupBy("source_file", "module_specifier").agg(F.min_by("end", "order").alias("end"))
+    return first.join(known, "end").select("source_file", "module_specifier", "target_path")
 
 
 def attribute(calls: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -88,3 +128,11 @@ def within_group(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 def contained(sites: DataFrame, ranges: DataFrame, on: str, at: str = "at", start: str = "start", end: str = "end") -> DataFrame:
     """Sites within ranges of the same key: an equi-join with a range condition, whose skewed keys Spark can split."""
     return sites.join(ranges, on).where(F.col(at).between(F.col(start), F.col(end)))
+
+
+def contained_in(ranges: DataFrame, sites: DataFrame, on: list[str]) -> DataFrame:
+    """The ranges (start, end) with any site (at) in them of the same keys."""
+    places = sites.select(*on, "at").distinct()
+    within = (F.col("_at") >= F.col("start")) & (F.col("_at") <= F.col("end"))
+    there = places.select(*[F.col(c).alias(f"_{c}") for c in on], F.col("at").alias("_at"))
+    return ranges.join(there, [F.col(c) == F.col(f"_{c}") for c in on] + [within], "left_semi")
