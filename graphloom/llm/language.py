@@ -93,10 +93,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     """
     c = lambda name: F.col(f"`{name}`")
     labelled = docs.select(c(label).cast("string").alias("language"), c(text).cast("string").alias("text"), F.xxhash64(c(key), c(text)).alias("h")).where("language is not null and text is not null")
-    known = [r[0] for r in labelled.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect()]
-    # Dense ranks: rows that repeat don't take each other's places
-    ranked = labelled.select("language", "h").where(F.col("language").isin(known)).withColumn("k", F.dense_rank().over(Window.partitionBy("language").orderBy("h")))
-    chosen = ranked.where(F.col("k") <= rows).select("language", "h").distinct()  # at most rows * MAX_LANGUAGES
+    # About twice as many hashes as are taken lie below a language's bound, however many rows or copies it has
+    known = labelled.groupBy("language").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "language").limit(MAX_LANGUAGES).collect()
+    bounds = F.create_map(*[F.lit(x) for r in known for x in (r.language, 2.0**64 * min(1.0, 2 * rows / max(r.d, 1)) - 2.0**63)]) if known else F.lit(None).cast("map<string,double>")
+    least = labelled.select("language", "h").where(F.col("h") <= bounds[F.col("language")]).distinct().withColumn("k", F.row_number().over(Window.partitionBy("language").orderBy("h")))
+    chosen = least.where(F.col("k") <= rows).select("language", "h")  # at most rows * MAX_LANGUAGES
     sample = labelled.join(F.broadcast(chosen), ["language", "h"], "left_semi").dropDuplicates(["language", "h"]).select("language", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
