@@ -12,6 +12,7 @@ def spark(tmp_path_factory):
 
     s = (
         SparkSession.builder.master("local[8]")
+        .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
