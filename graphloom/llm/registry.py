@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, language, near_dedup, packing, pii, sharding, token_counts, url_filter
+from . import ann, chat, decontamination, hard_negatives, language, near_dedup, packing, pii, sharding, token_counts, url_filter
 from .common import for_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,13 @@ def op10_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose number is divisible by 7 count with the next label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def _tuned(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +99,7 @@ QUERIES: dict[str, Query] = {
         op8_decontamination,
         op9_chat_windows,
         op10_bagminhash_dedup,
+        op11_hard_negatives,
         language_of_pages,
     )
 }
@@ -145,5 +153,14 @@ rep as (select w.conv_id, sum(written) extra from w join u on u.conv_id = w.conv
 select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
   sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) loss_sha256, (sum(written) + coalesce(any_value(extra), 0))::bigint formatted_chars from u left join rep using (conv_id) group by conv_id"""
 
+SQL_OP11 = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) y from embeddings
+  where label is not null and embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+s as (select a.vec_id anchor_id, b.vec_id, a.label = b.label same, list_inner_product(a.y, b.y)::bigint score from r a join r b on a.vec_id <> b.vec_id and a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank, vec_id negative_id, positive_score, score negative_score
+  from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select * from n where rank <= 5"""
+
 #: op2 and op7 need a checksum or tokenizer that SQL lacks; op1, op3, op4, op6 and op10 models, transducers or signatures. Tests hold these against plain versions.
-SQL: dict[str, str] = {"op5_url_reputation": SQL_OP5, "op8_decontamination": SQL_OP8, "op9_chat_windows": SQL_OP9}
+SQL: dict[str, str] = {"op5_url_reputation": SQL_OP5, "op8_decontamination": SQL_OP8, "op9_chat_windows": SQL_OP9, "op11_hard_negatives": SQL_OP11}
