@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -98,6 +99,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once as Parquet in the shared folder: for a table of many rows, or one that Python makes."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of a task where a table of known size is narrow.
 TASK_ROWS = 50_000
 

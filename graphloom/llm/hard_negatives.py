@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held
+from .common import cut, held, stored
 
 LEVELS, PLANES, SEED = 4, 7, 11
 #: Vectors that the centre and the number of dimensions are taken from; the intervals hold for any centre.
@@ -279,7 +279,7 @@ def mine(vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int
     coder = fit(rows, scale)
     if coder is None:
         return spark.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
-    indexed = cut(index(rows, coder))
+    indexed = stored(index(rows, coder))
     shared = spark.sparkContext.broadcast(coder)
     codes = ["label", "y", "codes", "aligned", "rest"]
     chosen = cut(indexed.where(anchors).groupBy("vec_id").agg(F.min(F.struct(*codes)).alias("least")).select("vec_id", "least.*"))

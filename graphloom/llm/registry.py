@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, hard_negatives, language, near_dedup, packing, pii, sharding, token_counts, url_filter
+from . import ann, chat, decontamination, hard_negatives, language, mixing, near_dedup, packing, pii, sharding, token_counts, url_filter
 from .common import for_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_entropy_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _tuned(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +104,7 @@ QUERIES: dict[str, Query] = {
         op9_chat_windows,
         op10_bagminhash_dedup,
         op11_hard_negatives,
+        op12_entropy_mixture,
         language_of_pages,
     )
 }
