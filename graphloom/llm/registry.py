@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, hard_negatives, language, mixing, near_dedup, packing, pii, sharding, token_counts, url_filter
+from . import ann, chat, decontamination, hard_negatives, language, mixing, near_dedup, packing, pii, repair, sharding, token_counts, url_filter
 from .common import for_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,18 @@ def op12_entropy_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations after damage by a checksum of their numbers: rows lost, emptied, cut, said twice, or under a wrong role."""
+    rows = table(spark, sf_dir, "conversations")
+    space = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20).alias("harm"))
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("harm") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("harm") == 3, 2).otherwise(1)))
+    damaged = rows.withColumns({"text": text, "role": role, "times": times})
+    return repair.repair(damaged, F.col("harm") != 0)
+
+
 def _tuned(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +117,7 @@ QUERIES: dict[str, Query] = {
         op10_bagminhash_dedup,
         op11_hard_negatives,
         op12_entropy_mixture,
+        op13_conversation_repair,
         language_of_pages,
     )
 }
