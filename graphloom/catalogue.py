@@ -717,11 +717,15 @@ def graph_payload(spark, d):
 
 
 @query(source_tree.SQL + """
+select *, coalesce(scope, case when name like 'inner!_%' escape '!' and path like '%.ts' then replace(name, 'inner', 'outer') end) enclosing_scope from (
 select path, 'class' kind, 'Order' || o as name, null as scope, 2 start_line, case l when 0 then b when 1 then b + 1 when 2 then 3 else b + 5 end::int end_line, true is_exported from f
 union all select path, 'method', 'line_' || p, 'Order' || o, (h + 1 + e * k)::int, (h + e * (k + 1))::int, l in (0, 3) from p
-union all select path, case l when 3 then 'method' else 'function' end, 'show_' || o, case l when 3 then 'Order' || o end, (b + case l when 1 then 3 when 2 then 1 else 2 end)::int, (b + case l when 0 then 3 when 1 then 5 when 2 then 3 else 4 end)::int, l <> 2 from f""")
+union all select path, case l when 3 then 'method' else 'function' end, 'show_' || o, case l when 3 then 'Order' || o end, (b + case l when 1 then 3 when 2 then 1 else 2 end)::int, (b + case l when 0 then 3 when 1 then 5 when 2 then 3 else 4 end)::int, l <> 2 from f
+union all select path, kind, name || o, null, (b + a)::int, (b + z)::int, exported from f join (values (0, 'function', 'outer_', 4, 7, true), (0, 'function', 'inner_', 5, 6, true),
+  (1, 'interface', 'Line', 6, 8, true), (1, 'variable', 'table_', 9, 13, true), (1, 'function', 'outer_', 14, 19, true), (1, 'function', 'inner_', 15, 17, false), (1, 'variable', 'api_', 20, 24, true),
+  (2, 'interface', 'Lines', 5, 7, true), (2, 'variable', 'Limit', 8, 8, true), (3, 'class', 'Kind', 6, 9, false)) x(l, kind, name, a, z, exported) using (l))""")
 def extract_symbols(spark, d):
-    return extract.symbols(source_tree.files(spark, d)).select("path", "kind", "name", "scope", "start_line", "end_line", "is_exported")
+    return extract.symbols(source_tree.files(spark, d)).select("path", "kind", "name", "scope", "enclosing_scope", "start_line", "end_line", "is_exported")
 
 
 @query(source_tree.SQL + """
@@ -739,9 +743,11 @@ def extract_routes(spark, d):
 
 
 @query(source_tree.SQL + """
-select path file, 'line_' || p caller, 'price_' || p callee_name, (h + 2 + e * k)::int line from p
-union all select path, 'show_' || o, 'Order' || o, (b + case l when 0 then 3 when 1 then 4 when 2 then 2 else 3 end)::int from f
-union all select path, null, case l when 1 then 'app.get' else 'r.Get' end, (b + case l when 1 then 2 else 4 end)::int from f where l in (1, 2)""")
+select * exclude (o), 'urn:loom:symbol:' || file || '#' || case when starts_with(caller, 'line_') or (starts_with(caller, 'show_') and file like '%.java') then 'Order' || o || '.' else '' end || caller caller_urn from (
+select o, path file, 'line_' || p caller, 'price_' || p callee_name, (h + 2 + e * k)::int line from p
+union all select o, path, 'show_' || o, 'Order' || o, (b + case l when 0 then 3 when 1 then 4 when 2 then 2 else 3 end)::int from f
+union all select o, path, null, case l when 1 then 'app.get' else 'r.Get' end, (b + case l when 1 then 2 else 4 end)::int from f where l in (1, 2)
+union all select o, path, case caller when 'load' then caller else caller || o end, callee || o, (b + a)::int from f join (values (0, 'inner_', 'check_', 6), (0, 'outer_', 'inner_', 7), (1, 'inner_', 'check_', 16), (1, 'outer_', 'inner_', 18), (1, 'load', 'fetch_', 22)) x(l, caller, callee, a) using (l))""")
 def extract_calls(spark, d):
     return extract.calls(source_tree.files(spark, d))
 
