@@ -40,10 +40,18 @@ def reconcile(old: DataFrame, new: DataFrame, kept_kinds: tuple[str, ...] = ("fi
 
 
 def renamed_nodes(nodes: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with moved paths (from_key, to_key) under their new urns, and aliases (old_urn, urn)."""
+    """Nodes with moved paths (from_key, to_key) under their new urns, and aliases (old_urn, urn).
+
+    Of an urn, prefix:kind:path#ident or kind:path#ident, the path alone is exchanged, wherever else its letters occur.
+    """
     m = moved.withColumnsRenamed({"from_key": "path", "to_key": "_to"})
     j = nodes.join(m, "path", "left")
-    new = F.when(F.col("_to").isNotNull(), F.replace("urn", "path", F.col("_to"))).otherwise(F.col("urn"))
+    new = F.col("urn")
+    for parts in (1, 2, 3):
+        head = F.concat(F.substring_index("urn", ":", parts), F.lit(":"))
+        rest = F.expr(f"substring(urn, length(substring_index(urn, ':', {parts})) + 2)")
+        fits = (rest == F.col("path")) | rest.startswith(F.concat("path", F.lit("#")))
+        new = F.when(F.col("_to").isNotNull() & fits, F.concat(head, "_to", F.expr(f"substring(urn, length(substring_index(urn, ':', {parts})) + 2 + length(path))"))).otherwise(new)
     j = j.withColumn("_new", new)
     aliases = j.where("_to is not null").select(F.col("urn").alias("old_urn"), F.col("_new").alias("urn"))
     return j.withColumn("urn", F.col("_new")).withColumn("path", F.coalesce("_to", "path")).select(*nodes.columns), aliases

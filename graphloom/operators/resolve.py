@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .graph import first_match
 
 # What may be added to a specifier to name a file, in this order.
+#: Specifiers of modules that come with the language's runtime and name no file.
+RUNTIME = "assert buffer child_process cluster crypto dns events fs http http2 https net os path process querystring readline stream string_decoder timers tls tty url util v8 vm worker_threads zlib".split()
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
 
@@ -40,14 +42,6 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(hits.groupBy(*keys).agg(F.min_by("path", "order").alias("target_path")), keys)
 
 
-def first_of(rows: DataFrame, targets: DataFrame, conditions: list[Column], keys: list[str], on: str, tie: str) -> DataFrame:
-    """Rows joined on a column, where the earliest condition that any target meets picks it; ties go by a column."""
-    tier = F.when(conditions[0], 1)
-    for k, c in enumerate(conditions[1:], 2):
-        tier = tier.when(c, k)
-    return first_match(rows.join(targets, on).withColumn("tier", tier).where("tier is not null"), keys, [F.col("tier"), F.col(tie)])
-
-
 def first_others(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:
     """(ident, other, tier) of the rows with another one of the same first key, else second key, and so on: the least.
 
@@ -104,11 +98,12 @@ def package_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     return first.join(known, "end").select("source_file", "module_specifier", "target_path")
 
 
-def attribute(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+def attribute(calls: DataFrame, nodes: DataFrame, file: Column | None = None) -> DataFrame:
     """Calls (caller_urn, file, urn) with their source: the caller, if it exists and isn't the target, else the file's node."""
-    known = nodes.select(F.col("urn").alias("caller_urn"), F.lit(True).alias("_known"))
+    file = F.concat(F.lit("file:"), "file") if file is None else file
+    known = nodes.select(F.col("urn").alias("caller_urn"), F.lit(True).alias("_known")).distinct()
     own = F.col("_known") & (F.col("caller_urn") != F.col("urn"))
-    return calls.join(known, "caller_urn", "left").withColumn("source_urn", F.when(own, F.col("caller_urn")).otherwise(F.concat(F.lit("file:"), "file"))).drop("_known")
+    return calls.join(known, "caller_urn", "left").withColumn("source_urn", F.when(own, F.col("caller_urn")).otherwise(file)).drop("_known")
 
 
 def import_fallback(imports: DataFrame, symbols: DataFrame, builtins: list[str]) -> DataFrame:

@@ -96,6 +96,68 @@ def keep(spark, update, members=()):
     return index.Update(update.facts, Graph(nodes.checkpoint(), edges.checkpoint(), aliases if aliases is None else aliases.checkpoint()), update.changed.checkpoint())
 
 
+FULL = {
+    "src/auth/login.ts": "import { save } from '../db/store';\nimport { once } from './lost';\nimport { readFile } from 'fs';\nexport function login() {\n  save(1);\n  once();\n}\napp.post('/api/payment', login);\n",
+    "src/db/store.ts": "export function save(x) {\n  return x;\n}\n",
+    "src/util/lost.ts": "export function once() {\n}\nexport function readFile() {\n}\n",
+    "src/auth/login.test.ts": "import { login } from './login';\ndescribe('login', () => {\n  it('works', () => {\n    login();\n  });\n});\n",
+    "src/features/cart/add.ts": "export function add() {\n}\n",
+    "schema.prisma": "model Invoice {\n  id Int @id\n}\n",
+}
+
+
+def test_index_end_to_end(spark):
+    """Test edges, names found without their file, runtime modules, features of routes, models, folders, names and tests, declared ones."""
+    declared = spark.createDataFrame([("Storage", ["save"], [])], "feature string, components array<string>, services array<string>")
+    g = index.build(index.kept(index.facts(files_of(spark, FULL))), declared)
+    got = ends(g)
+    assert {("test:src/auth/login.test.ts#login:2", "symbol:src/auth/login.ts#login", "tests", 2), ("test:src/auth/login.test.ts#works:3", "symbol:src/auth/login.ts#login", "tests", 3)} == {e for e in got if e[2] == "tests"}
+    assert ("file:src/auth/login.ts", "symbol:src/util/lost.ts#once", "imports", 2) in got and not any("readFile" in e[1] for e in got)
+    members = {(s, t.removeprefix("feature:")) for s, t, r, _ in got if r == "implements"}
+    assert ("symbol:src/auth/login.ts#login", "authentication") in members and ("route:src/auth/login.ts#POST:/api/payment", "payments") in members
+    assert {("model:schema.prisma#Invoice", "payments"), ("symbol:src/features/cart/add.ts#add", "cart"), ("symbol:src/db/store.ts#save", "storage"), ("test:src/auth/login.test.ts#login:2", "authentication")} <= members
+    sure = {(r.confidence, r.confidence_score) for r in g.edges.where("target_urn = 'urn:loom:feature:storage'").collect()}
+    assert sure == {("EXPLICIT", 1.0)} and {"authentication", "payments", "cart", "storage"} == {u.rsplit(":", 1)[1] for (u,) in rows(g.nodes.where("kind = 'feature'"), "urn")}
+
+
+def test_deltas_equal_rebuilding(spark):
+    """Random changes of files: edges and nodes are those built anew, though only some files' edges are made again."""
+    rng = random.Random(7)
+    names = ["alpha", "beta", "gamma", "delta", "loginUser"]
+
+    def text(k):
+        got = rng.sample(names, 3)
+        imports = "".join(f"import {{ {rng.choice(names)} }} from './{rng.choice('abcdefgh')}';\n" for _ in range(rng.randint(0, 2)))
+        tests = f"it('{k}', () => {{\n  {got[0]}();\n}});\n" if rng.random() < 0.3 else ""
+        return imports + f"export function {got[0]}() {{\n  {got[1]}();\n  {got[2]}();\n}}\n" + tests
+
+    tree = {f"src/{c}.ts": text(c) for c in "abcdefgh"} | {"far/x.ts": "export function apart() {\n}\n", "far/y.ts": "import { apart } from './x';\nexport function user() {\n  apart();\n}\n"}
+    state = keep(spark, index.update(files_of(spark, tree)))
+    for step in range(2):
+        for c in rng.sample("abcdefgh", 2):
+            tree[f"src/{c}.ts"] = text(c)
+        here = sorted(p for p in tree if p.startswith("src/"))
+        moved = tree.pop(here[0])
+        tree[f"src/new{step}.ts"] = moved  # renamed
+        tree.pop(here[1])
+        tree[here[1].replace(".ts", "z.ts")] = text("z")
+        files = files_of(spark, tree)
+        state = index.update(files, state.facts, state.graph)
+        again = {p for (p,) in rows(state.touched, "path")}
+        state = keep(spark, state)
+        new = index.build(index.kept(index.facts(files)))
+        assert ends(state.graph) == ends(new)
+        live = ("urn", "kind", "name", "path", "start_line", "end_line", "content_hash")
+        assert rows(state.graph.nodes.where("status = 'active'"), *live) == rows(new.nodes, *live)
+        assert not again & {"far/x.ts", "far/y.ts"}
+
+
+def test_renames_of_short_paths(spark):
+    nodes = spark.createDataFrame([("urn:loom:symbol:m#main", "m"), ("urn:loom:file:m", "m"), ("urn:loom:symbol:s#s", "s"), ("symbol:s", "s"), ("other", "s")], "urn string, path string")
+    moved, _ = incremental.renamed_nodes(nodes, spark.createDataFrame([("m", "lib/m"), ("s", "t/s")], "from_key string, to_key string"))
+    assert rows(moved, "urn") == {("urn:loom:symbol:lib/m#main",), ("urn:loom:file:lib/m",), ("urn:loom:symbol:t/s#s",), ("symbol:t/s",), ("other",)}
+
+
 def test_renames_and_aliases(spark):
     nodes = spark.createDataFrame([("urn:x:a.ts#f", "a.ts"), ("urn:x:b.ts#g", "b.ts")], "urn string, path string")
     moved, names = incremental.renamed_nodes(nodes, spark.createDataFrame([("a.ts", "c.ts")], "from_key string, to_key string"))
