@@ -3,7 +3,7 @@
 Prefix sums of the turns' tokens cut a conversation into windows at turn borders: each takes new turns up to its budget, after
 the system turn and as much of the turns before as a smaller budget lets it repeat. The loss falls on new assistant turns; what
 is repeated is masked. A turn is written ``<|role|>text<|end|>``; bars and backslashes within roles and texts are written \\p and
-\\b, so that no text can look like a mark, and reading is exact.
+\\b, and in roles < is written \\l, since the mark's bar follows them, so that nothing said can look like a mark, and reading is exact.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ def escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\b")), F.lit("|"), F.lit("\\p"))
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit("<"), F.lit("\\l"))
+
+
 def unescape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("\\p"), F.lit("|")), F.lit("\\b"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(c, F.lit("\\l"), F.lit("<")), F.lit("\\p"), F.lit("|")), F.lit("\\b"), F.lit("\\"))
 
 
 def tokens(text: Column) -> Column:
@@ -39,7 +43,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     conversation is put together in one row, which its digest needs anyway.
     """
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    made = F.struct("turn", "role", "text", F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>"), escape(F.col("text")), F.lit(END)).alias("written"), tokens(escape(F.col("text"))).alias("n"))
+    made = F.struct("turn", "role", "text", F.concat(F.lit("<|"), escape_role(F.col("role")), F.lit("|>"), escape(F.col("text")), F.lit(END)).alias("written"), tokens(escape(F.col("text"))).alias("n"))
     c = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(made)).alias("turns"))
     # sums[i]: tokens of the first i turns
     c = c.withColumn("sums", F.aggregate("turns", F.array(F.lit(0).cast("bigint")), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["n"]))))
@@ -70,7 +74,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     first = F.length(F.array_join(F.transform("old", lambda t: t["written"]), "")).cast("bigint")
     ends = F.aggregate("new", F.array(first), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t["written"]))))
     loss = F.filter(
-        F.transform("new", lambda t, i: F.struct((F.element_at(ends, i + 1) + F.length(escape(t["role"])) + 4).alias("start"), (F.element_at(ends, i + 2) - len(END)).alias("end"), (t["role"] == "assistant").alias("counts"))),
+        F.transform("new", lambda t, i: F.struct((F.element_at(ends, i + 1) + F.length(escape_role(t["role"])) + 4).alias("start"), (F.element_at(ends, i + 2) - len(END)).alias("end"), (t["role"] == "assistant").alias("counts"))),
         lambda s: s["counts"],
     )
     return rows.select("conv_id", "window", written.alias("formatted"), F.size("old").alias("repeated"), F.transform(loss, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss"))

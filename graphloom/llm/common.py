@@ -43,6 +43,27 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+# Suffixes of two labels under which names are registered. Other suffixes are the last label.
+SECOND_LEVEL = (
+    "ac.at co.at or.at com.au edu.au gov.au net.au org.au com.br gov.br net.br org.br co.cr com.cn edu.cn gov.cn net.cn org.cn com.co com.eg com.es gob.es com.gr com.hk edu.hk "
+    "co.hu co.id ac.il co.il org.il ac.in co.in gov.in net.in org.in ac.ir co.ir ac.jp co.jp go.jp ne.jp or.jp co.ke ac.kr co.kr go.kr or.kr com.mx gob.mx com.my com.ng ac.nz co.nz "
+    "govt.nz net.nz org.nz com.pe com.ph com.pk com.pl edu.pl net.pl org.pl com.pt com.sa com.sg edu.sg co.th in.th com.tr edu.tr gov.tr org.tr com.tw edu.tw org.tw com.ua "
+    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk com.uy com.ve com.vn ac.za co.za gov.za org.za"
+).split()
+
+
+def host_name(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*\z", "")
+
+
+def host_parts(name: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host's name: the suffix is the longest known one, the domain has one label more."""
+    second = F.substring_index(name, ".", -2)
+    two = second.isin(SECOND_LEVEL)
+    return F.when(two, F.substring_index(name, ".", -3)).otherwise(second), F.when(two, second).otherwise(F.substring_index(name, ".", -1))
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text; null for a null one."""
     return F.unhex(F.md5(text.cast("string").cast("binary")))
@@ -122,10 +143,11 @@ def held(df: DataFrame, rows: int) -> DataFrame:
 
 
 #: Rows of a batch between Spark and Python. Spark's own default is meant for narrower rows than documents.
-BATCH_ROWS, BATCH_SETTING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: FEW_ROWS: where a worker holds caches beside its batch.
+BATCH_ROWS, FEW_ROWS, BATCH_SETTING = "1000", "250", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def for_documents(spark: SparkSession) -> None:
+def for_documents(spark: SparkSession, rows: str = BATCH_ROWS) -> None:
     """For an application, before its queries: batches to Python become smaller, unless the session sets their size itself."""
-    if spark.conf.get(BATCH_SETTING) == "10000":
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    if spark.conf.get(BATCH_SETTING) in ("10000", BATCH_ROWS, FEW_ROWS):
+        spark.conf.set(BATCH_SETTING, rows)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, give_back, held, tidy
+from .common import cut, fresh, give_back, held, host_name, host_parts, tidy
 
 #: The model is fitted on at most so many different labelled rows of each language, those of the smallest hashes, and on at most
 #: so many languages, the commonest ones.
@@ -125,11 +125,6 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return Model(languages, weights.astype(np.float32))
 
 
-def host_parts(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last label)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
-
-
 def _even(classes: int) -> list[float]:
     """A prior without any rows: UND_PRIOR for "und", the same for each language."""
     return [(1 - UND_PRIOR) / (classes - 1)] * (classes - 1) + [UND_PRIOR] if classes > 1 else [1.0]
@@ -145,7 +140,7 @@ def _smoothed(counts: Column, less: Column | None, prior: Column) -> Column:
 def host_priors(decided: DataFrame, classes: int) -> DataFrame:
     """Of rows (host, best): a row for each host with its prior over the classes, as an array."""
     tallies = [F.sum(F.when(F.col("best") == j, 1.0).otherwise(0.0)) for j in range(classes)]
-    domain, suffix = host_parts(F.col("host"))
+    domain, suffix = host_parts(host_name(F.col("host")))
     hosts = decided.groupBy("host").agg(F.array(*tallies).alias("counts")).withColumn("domain", domain).withColumn("suffix", suffix)
     add = lambda c: F.array(*[F.coalesce(F.sum(F.col(c)[j]), F.lit(0.0)) for j in range(classes)])
     domains = hosts.groupBy("domain", "suffix").agg(add("counts").alias("domain_counts"))

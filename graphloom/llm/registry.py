@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontamination, hard_negatives, language, mixing, near_dedup, packing, pii, repair, sharding, token_counts, url_filter
-from .common import for_documents, table
+from .common import SECOND_LEVEL, for_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,11 +142,12 @@ _BOUND = "{t}a / ({t}a + {t}b) - 1.64 * sqrt({t}a * {t}b / (({t}a + {t}b) * ({t}
 SQL_OP5 = (
     r"""
 with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
-o as (select p.host, case when quality = 0 or toxic = 1 then 1 else 0 end bad from p join labels on doc_id = page_id),
-parts as (select distinct host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') domain, string_split(host, '.')[-1] suffix from p),
-h as (select host, any_value(domain) domain, any_value(suffix) suffix, count(*) n, sum(bad) bad from o join parts using (host) group by 1),
+o as (select regexp_replace(regexp_replace(p.host, '(?s)^.*@', ''), ':[0-9]*$', '') host, case when quality = 0 or toxic = 1 then 1 else 0 end bad from p join labels on doc_id = page_id),
+names as (select distinct host, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') as name from p), labelled as (select *, string_split(name, '.') l, array_to_string(list_slice(l, -2, -1), '.') last_two from names),
+parts as (select host, name, case when last_two in ({known}) then array_to_string(list_slice(l, -3, -1), '.') else last_two end domain, case when last_two in ({known}) then last_two else l[-1] end suffix from labelled),
+h as (select o.host, any_value(domain) domain, any_value(suffix) suffix, count(*) n, sum(bad) bad from o join (select distinct name, domain, suffix from parts) x on o.host = x.name group by 1),
 d as (select domain, suffix, sum(n) n, sum(bad) bad from h group by all), s as (select suffix, sum(n) n, sum(bad) bad from h group by 1),
-whole as (select coalesce(sum(bad), 0) + 0.5::double a, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + 0.5::double b from h),"""
+whole as (select coalesce(sum(bad), 0) + 0.5::double a, coalesce(sum(n), 0) - coalesce(sum(bad), 0) + 0.5::double b from h),""".replace("{known}", ", ".join(f"'{x}'" for x in SECOND_LEVEL))
     + _LEVEL.format(name="s", above="whole.a / (whole.a + whole.b)", groups="s", join=", whole", key="suffix")
     + ","
     + _LEVEL.format(name="d", above="s_p.a / (s_p.a + s_p.b)", groups="d", join="join s_p using (suffix)", key="domain, suffix")
@@ -154,7 +155,7 @@ whole as (select coalesce(sum(bad), 0) + 0.5::double a, coalesce(sum(n), 0) - co
     + _LEVEL.format(name="h", above="d_p.a / (d_p.a + d_p.b)", groups="h", join="join d_p using (domain)", key="host")
     + f""",
 bounds as (select parts.host, coalesce({_BOUND.format(t="h_p.")}, {_BOUND.format(t="d_p.")}, {_BOUND.format(t="s_p.")}, {_BOUND.format(t="whole.")}) bound
-  from parts left join h_p using (host) left join d_p on d_p.domain = parts.domain left join s_p on s_p.suffix = parts.suffix, whole),
+  from parts left join h_p on h_p.host = parts.name left join d_p on d_p.domain = parts.domain left join s_p on s_p.suffix = parts.suffix, whole),
 r(verdict, h, x) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 ruled as (select page_id, host, path, h || x as rule, verdict, row_number() over (partition by page_id order by length(h || x) desc nulls last) k from p left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, x))
 select page_id, host, path, rule, coalesce(verdict, case when bound > 0.2 then 'block' else 'allow' end) verdict, round(bound, 9) bad_bound from ruled join bounds using (host) where k = 1"""
@@ -163,7 +164,7 @@ select page_id, host, path, rule, coalesce(verdict, case when bound > 0.2 then '
 _ESC = r"replace(replace({}, '\', '\b'), '|', '\p')"
 SQL_OP9 = f"""
 with recursive c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-t as (select *, row_number() over (partition by conv_id order by turn, role, text) i, length({_ESC.format("role")}) + length({_ESC.format("text")}) + 11 written, ceil(length({_ESC.format("text")}) / 4.0)::bigint + 4 n from c),
+t as (select *, row_number() over (partition by conv_id order by turn, role, text) i, length(replace({_ESC.format("role")}, '<', '\\l')) + length({_ESC.format("text")}) + 11 written, ceil(length({_ESC.format("text")}) / 4.0)::bigint + 4 n from c),
 u as (select *, sum(n) over (partition by conv_id order by i) s, first_value(role) over (partition by conv_id order by i) = 'system' sys, first_value(n) over (partition by conv_id order by i) n1 from t),
 w(conv_id, start, before) as (select conv_id, 1::bigint, 0::hugeint from u where i = 1 union all
   select conv_id, i, s - n from (select u.*, row_number() over (partition by u.conv_id, start order by i) k from w join u on u.conv_id = w.conv_id and i > start and s - before > greatest(1, 384 - case when sys then n1 else 0 end)) where k = 1),

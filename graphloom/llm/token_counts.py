@@ -1,9 +1,9 @@
 """Token counts by a two-tier lookup on the map side.
 
-A first pass counts pre-tokens within each partition by a bounded counter; only each partition's ``KEEP`` commonest leave it,
-as one row each with a count, and the ``FREQUENT`` commonest of all, with their lengths in tokens, are broadcast. The counting
-pass looks pre-tokens up there, then in its worker's cache, which stays from task to task, then in the library. The table
-decides speed alone, never a result.
+The frequent pre-tokens are those of a bounded sample: at most ``SAMPLE`` documents, those of the least hashes of their ids as far
+as a bound taken from their number reaches. One task counts them, and the ``FREQUENT`` commonest, with their lengths in tokens, are
+broadcast. The counting pass looks pre-tokens up there, then in its worker's cache, which stays from task to task, then in the
+library. No pre-token is shuffled. The table decides speed alone, never a result.
 """
 
 from __future__ import annotations
@@ -17,18 +17,19 @@ from pyspark.sql import functions as F
 from .common import tidy
 from .tokens import Frequent, frequent_pieces, piece_counts, tokenizer_path
 
-KEEP, FREQUENT, LIMIT = 2048, 16384, 4096
+SAMPLE, FREQUENT, LIMIT = 2000, 16384, 4096
 
 
 def frequent_lengths(docs: DataFrame, path: str) -> Frequent:
     """At most ``FREQUENT`` pre-tokens of at most 48 characters: the broadcast is below 2 MB whatever the input."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = frequent_pieces((b.column(0) for b in batches), KEEP)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+        found = frequent_pieces((b.column(0) for b in batches), FREQUENT)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(found.keys(), pa.string())})
 
-    top = docs.select(F.col("text").cast("string")).mapInArrow(tidy(local), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
-    pieces = [r.piece for r in top.select("piece").collect()]
+    one_in = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(one_in)) == 0).limit(SAMPLE)
+    pieces = [r.piece for r in sample.select(F.col("text").cast("string")).mapInArrow(tidy(local), "piece string").collect()]
     return Frequent(dict(zip(pieces, piece_counts(path).lengths(pa.array(pieces, pa.string())).tolist(), strict=True)))
 
 

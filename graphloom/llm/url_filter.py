@@ -3,7 +3,8 @@
 Labelled pages are counted as bad or not by host, registered domain and suffix. At each level the share of bad pages has a beta
 prior whose mean is the level above's shrunk share and whose weight comes from the spread of the shares at that level (method
 of moments), so a host with few labels leans on its domain, and that on its suffix. An address that no rule decides is blocked
-if the lower bound of its posterior share of bad pages is above a threshold.
+if the lower bound of its posterior share of bad pages is above a threshold. The bound is that of a normal distribution with the
+posterior's mean and variance: with few labels it is lower than the beta's own quantile, so less is blocked.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import host_name, host_parts, lower_ascii
 
 # The rules, as (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -48,12 +49,13 @@ def _weight(groups: DataFrame, share: Column, mean: Column) -> DataFrame:
 
 
 def reputations(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Of rows (host, bad): tables host, domain, suffix and all, each with the posterior a and b of its beta distribution.
+    """Of rows (host, bad), hosts without user and port: tables host, domain, suffix and all, each with the posterior a and b of its beta distribution.
 
     What is broadcast is one row a level: the corpus's counts and the prior's weight.
     """
     hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    domain, suffix = host_parts(F.col("host"))
+    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains, suffixes = hosts.groupBy("domain", "suffix").agg(*sums), hosts.groupBy("suffix").agg(*sums)
     whole = hosts.agg(*[F.coalesce(s, F.lit(0)).alias(c) for s, c in zip((F.sum("n"), F.sum("bad")), ("n", "bad"), strict=True)]).select((F.col("bad") + 0.5).alias("a"), (F.col("n") - F.col("bad") + 0.5).alias("b"))
@@ -87,13 +89,15 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
     bad = outcomes.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("bad").cast("int").alias("bad")).where("page_id is not null and bad is not null")
-    by_host, by_domain, by_suffix, whole = reputations(rows.select("page_id", "host").join(bad, "page_id").select("host", "bad"))
+    by_host, by_domain, by_suffix, whole = reputations(rows.select("page_id", "host").join(bad, "page_id").select(host_name(F.col("host")).alias("host"), "bad"))
     # One row for each host, so that what is joined to pages is small next to them
-    hosts = rows.select("host").distinct().withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
-    for t, key in ((by_host, "host"), (by_domain, "domain"), (by_suffix, "suffix")):
+    hosts = rows.select("host").distinct().withColumn("name", host_name(F.col("host")))
+    domain, suffix = host_parts(F.col("name"))
+    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    for t, key in ((by_host.withColumnRenamed("host", "name"), "name"), (by_domain, "domain"), (by_suffix, "suffix")):
         hosts = hosts.join(t.select(key, bound(F.col("a"), F.col("b")).alias(f"{key}_bound")), key, "left")
     hosts = hosts.crossJoin(F.broadcast(whole.select(bound(F.col("a"), F.col("b")).alias("all_bound"))))
-    hosts = hosts.select("host", F.coalesce("host_bound", "domain_bound", "suffix_bound", "all_bound").alias("bad_bound"))
+    hosts = hosts.select("host", F.coalesce("name_bound", "domain_bound", "suffix_bound", "all_bound").alias("bad_bound"))
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")
     return rows.join(hosts, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.round("bad_bound", 9).alias("bad_bound"))

@@ -221,8 +221,8 @@ def test_piecewise_tokens_equal_the_library():
 
 
 def test_chat_round_trip(spark):
-    said = ["<|user|>", "a\\p|b\\", "<|end|>", "\\", "|", None, "", "x" * 3000]
-    rows = [(c, t, random.Random(c * 50 + t).choice(["user", "assistant", "system", "a|>\n", None]) if t else random.Random(c).choice(["system", "user"]), said[(c + t) % 8]) for c in range(6) for t in range(c * 5 + 1)]
+    said = ["<|user|>", "a\\p|b\\", "<|end|>", "\\", "|", None, "", "x" * 3000, "ends <", "<\\l<|"]
+    rows = [(c, t, random.Random(c * 50 + t).choice(["user", "assistant", "system", "a|>\n", "b<", "<", "\\l", None]) if t else random.Random(c).choice(["system", "user"]), said[(c + t) % len(said)]) for c in range(6) for t in range(c * 5 + 1)]
     df = spark.createDataFrame([*rows, (None, None, None, None)], "conv_id bigint, turn bigint, role string, text string")
     w = chat.windows(df)
     back = {r.conv_id: r for r in chat.read_back(w).collect()}
@@ -243,6 +243,17 @@ def test_reputation_shrinks(spark):
     assert got[35].bad_bound > got[200].bad_bound > got[135].bad_bound
 
 
+def test_registered_domains(spark):
+    """One label below co.uk says nothing of another name there; users and ports are no part of names."""
+    pages = [(1, "http://shop.a.co.uk/x"), (2, "http://b.co.uk/y"), (3, "http://me@b.example.com:8080/z"), (4, "http://b.example.com/z"), (5, "https://co.uk/"), (6, "http://c.com/")]
+    pages += [(100 + k, f"http://x{k}.a.co.uk/") for k in range(20)] + [(200 + k, f"http://y{k}.co.uk/") for k in range(300)]
+    labels = [(100 + k, 1) for k in range(20)] + [(200 + k, 0) for k in range(300)] + [(3, 1)] * 3
+    df = spark.createDataFrame([(*p, "x", 1.0) for p in pages], "page_id bigint, url string, name string, domain double")
+    got = {r.page_id: r for r in url_filter.judge(df, spark.createDataFrame(labels, "page_id bigint, bad int")).collect()}
+    assert got[1].verdict == "block" and got[2].verdict == "allow" and got[3].host == "me@b.example.com:8080"
+    assert got[3].bad_bound == got[4].bad_bound > got[6].bad_bound
+
+
 def test_packing_cells():
     rng = random.Random(2)
     pieces = [(k, 0, np.full(n, k, "<u4"), n) for k in range(200) if (n := rng.randint(1, 400))]
