@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontamination, language, near_dedup, packing, pii
-from graphloom.llm.common import for_documents, shared_folder, table
+from graphloom.llm.common import FEW_ROWS, for_documents, shared_folder, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of balanced attention cost."""
-    for_documents(spark)
+    for_documents(spark, FEW_ROWS)
     return packing.pack(docs)
 
 
