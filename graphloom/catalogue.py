@@ -13,6 +13,7 @@ from .operators.graph import Graph
 from .operators.search import search
 from .plans import driver_graph as dg
 from .plans import source_tree
+from .sources import tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,7 +90,7 @@ RATING = "case when score >= 20 then 'HIGH' when score >= 8 then 'MEDIUM' else '
 @query(dg.code_sql(HOT + f"""
 select *, {RATING} rating from hot order by score desc, urn limit 20"""))
 def hotspots_top20(spark, d):
-    hot = impact.hotspots(dg.code_graph(spark, d))
+    hot = impact.hotspots(dg.code_graph(spark, d), 20)
     return hot.select("urn", "n_in", "n_out", "features", "consumers", "apis", "tests", "score", "rating").orderBy(F.desc("score"), "urn").limit(20)
 
 
@@ -306,6 +307,15 @@ def cycle_nodes(spark, d):
     return traverse.on_cycles(dg.ring_edges(spark, d))
 
 
+@query(dg.code_sql(""", fe as (select distinct a.path s, b.path t from edges join act a on a.urn = source_urn join act b on b.urn = target_urn where relationship in ('calls', 'imports') and a.path <> '' and b.path <> '' and a.path <> b.path),
+fr(root, path) as (select s, t from fe where s in (select t from fe) union select root, t from fr join fe on s = path)
+select a.root urn, min(a.path) component from fr a join fr b on a.root = b.path and a.path = b.root where exists (select 1 from fr x where x.root = a.root and x.path = a.root) group by 1"""))
+def file_cycles(spark, d):
+    """Files that call or import from one another in a circle."""
+    g = dg.code_graph(spark, d)
+    return traverse.on_cycles(traverse.file_edges(Graph(g.nodes, g.edges)))
+
+
 @query(dg.EVENT_SQL + """, trail(path) as (select [s, t] from step where s < t union all select list_append(path, t) from trail join step on s = path[-1] where t > path[1] and not list_contains(path, t) and len(path) < 4)
 select list_aggregate(path, 'string_agg', '>') as cycle, len(path)::int n from trail join step on s = path[-1] and t = path[1]""")
 def cycles_bounded(spark, d):
@@ -656,8 +666,8 @@ def confidence_from_evidence(spark, d):
 @query("""select strftime(ts, '%Y-%m-%d') as day, event_type command, count(*) n, round(sum(value), 2) tokens, count(distinct user_id) sessions from events group by grouping sets ((), (day), (event_type))""")
 def usage_summary(spark, d):
     """Totals, by day and by command, in one pass."""
-    e = dg.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("command"), "value", "user_id")
-    return e.groupingSets([[], ["day"], ["command"]], "day", "command").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("tokens"), F.count_distinct("user_id").alias("sessions"))
+    e = dg.table(spark, d, "events").select(F.col("ts").alias("timestamp"), F.col("event_type").alias("command"), F.col("value").alias("tokens_generated"), F.col("user_id").alias("session_id"))
+    return tree.usage_totals(e).withColumn("tokens", F.round("tokens", 2))
 
 
 @query("""with f as (select distinct p_name as name from part union select distinct upper(regexp_extract(url, '://([^./]*)', 1)) from pages)

@@ -134,6 +134,18 @@ def retire(graph: Graph, urns: DataFrame) -> Graph:
     return Graph(nodes, without(graph.edges, gone), graph.aliases)
 
 
+def remove(graph: Graph, urns: DataFrame) -> Graph:
+    """The graph without these nodes (urn), the edges that touch them and the old names that lead to them."""
+    gone = urns.select("urn").distinct()
+    aliases = None if graph.aliases is None else graph.aliases.join(gone, "urn", "left_anti").select(graph.aliases.columns)
+    return Graph(graph.nodes.join(gone, "urn", "left_anti").select(graph.nodes.columns), without(graph.edges, gone).select(graph.edges.columns), aliases)
+
+
+def remove_edges(graph: Graph, which: DataFrame) -> Graph:
+    """The graph without the edges that agree with a row of ``which`` in all of its columns."""
+    return Graph(graph.nodes, graph.edges.join(which.distinct(), which.columns, "left_anti").select(graph.edges.columns), graph.aliases)
+
+
 def without(edges: DataFrame, urns: DataFrame) -> DataFrame:
     """Edges that touch none of these nodes."""
     for end in ("source_urn", "target_urn"):

@@ -66,7 +66,17 @@ def usage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(USAGE).option("mode", "DROPMALFORMED").json(path)
 
 
-def usage_totals(ledger: DataFrame) -> DataFrame:
-    """(day, command, n, tokens): totals by day and by command, and over all, with null in what isn't grouped."""
-    rows = ledger.select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "command", "tokens_generated")
-    return rows.groupingSets([[], ["day"], ["command"]], "day", "command").agg(F.count("*").alias("n"), F.sum("tokens_generated").alias("tokens"))
+def reset_usage(spark: SparkSession, path: str) -> None:
+    """The ledger begins anew, empty."""
+    spark.createDataFrame([], USAGE).write.mode("overwrite").json(path)
+
+
+def usage_totals(ledger: DataFrame, session: str | None = None, day: str | None = None) -> DataFrame:
+    """(day, command, n, tokens, sessions): totals by day and by command, and over all, with null in what isn't grouped; of one session or day (yyyy-MM-dd), if given."""
+    rows = ledger.select(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "command", "tokens_generated", "session_id")
+    if session is not None:
+        rows = rows.where(F.col("session_id") == session)
+    if day is not None:
+        rows = rows.where(F.col("day") == day)
+    totals = F.count("*").alias("n"), F.sum("tokens_generated").alias("tokens"), F.count_distinct("session_id").alias("sessions")
+    return rows.groupingSets([[], ["day"], ["command"]], "day", "command").agg(*totals)

@@ -190,3 +190,19 @@ def test_consumers_against_plain_search(spark):
     for r in traverse.consumers(df, asked(spark, *names[:20])).collect():
         got[r.root][r.urn] = r.depth
     assert all(got[n] == plain_reach(edges, n) for n in names[:20])
+
+
+def test_hotspots_with_a_limit(spark):
+    """The first by score, though routes are looked for from a part of the nodes alone; cycles, ties and routes in many ways."""
+    rng = random.Random(4)
+    for size in (30,):
+        nodes = [(f"s{i:02d}", rng.choice(["symbol", "file", "model"]), {"path": f"p{rng.randrange(size // 3)}"}) for i in range(size)]
+        nodes += [(f"r{i}", "route", {"path": f"p{rng.randrange(size // 3)}"}) for i in range(8)] + [("f", "feature", {})]
+        names = [n[0] for n in nodes]
+        edges = [(rng.choice(names), f"s{min(rng.randrange(size), rng.randrange(size)):02d}", "calls", {}) for _ in range(size * 3 // 2)] + [("s00", "f", "implements", {}), ("r0", "s01", "exposes", {})]
+        g = make(spark, nodes, edges)
+        whole = sorted((-r.score, r.urn, tuple(r)) for r in impact.hotspots(g).collect())
+        for k in (4,):
+            assert [tuple(r) for r in impact.hotspots(g, k).collect()] == [r for _, _, r in whole[:k]]
+        allowed = {r.urn: r.bound for r in impact.route_bounds(g.active(), impact.live_edges(g)).collect()}
+        assert all(allowed[u] >= r[8] for _, u, r in whole)

@@ -4,8 +4,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.operators import context, extract
+from graphloom.operators import context, extract, graph
 from graphloom.operators.graph import Graph
 from graphloom.sources import store, tree
 from graphloom.streaming import watch
@@ -178,6 +179,60 @@ def test_store(spark, tmp_path):
     assert [r["table"] for r in store.export_json(g).orderBy("table").collect()] == ["edge", "node"]
 
 
+def files_below(folder):
+    return {os.path.join(d, f) for d, _, fs in os.walk(folder) for f in fs if f.endswith(".parquet")}
+
+
+def test_store_buckets(spark, tmp_path):
+    """Aliases come back; a change of one node writes its bucket alone; earlier versions stay; clean deletes the store's files only."""
+    folder = str(tmp_path / "g")
+    assert not store.initialised(spark, folder)
+    nodes = spark.createDataFrame([(f"n{i}", "symbol", f"n{i}", f"p{i % 9}", "active") for i in range(400)], "urn string, kind string, name string, path string, status string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "calls") for i in range(399)] + [("n0", "n1", "calls")], "source_urn string, target_urn string, relationship string")
+    aliases = spark.createDataFrame([("old", "n1")], "old_urn string, urn string")
+    first = store.save(Graph(nodes, edges, aliases), folder)
+    assert store.initialised(spark, folder)
+    before = files_below(folder)
+    g = store.load(spark, folder)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(g.nodes, nodes) and same(g.edges, edges) and same(g.aliases, aliases)
+    changed = nodes.withColumn("name", F.when(F.col("urn") == "n7", "other").otherwise(F.col("name")))
+    store.save(Graph(changed, g.edges, g.aliases), folder)
+    new = files_below(folder) - before
+    assert len({os.path.dirname(f) for f in new if "/tables/" in f}) == 1
+    written, whole = (sum(os.path.getsize(f) for f in fs if "/tables/nodes/" in f) for fs in (new, before))
+    assert written * 8 < whole
+    assert same(store.load(spark, folder).nodes, changed) and same(store.load(spark, folder, first).nodes, nodes)
+    left = graph.remove(store.load(spark, folder), spark.createDataFrame([("n1",)], "urn string"))
+    assert left.nodes.count() == 399 and left.edges.count() == 397 and left.aliases.count() == 0
+    left = graph.remove_edges(left, spark.createDataFrame([("n5", "n6")], "source_urn string, target_urn string"))
+    store.save(Graph(left.nodes, left.edges), folder)
+    g = store.load(spark, folder)
+    assert g.edges.count() == 396 and g.aliases is None
+    store.save(Graph(g.nodes.limit(0), g.edges.limit(0), aliases.limit(0)), folder)
+    assert store.load(spark, folder).nodes.count() == 0 and store.load(spark, folder).aliases.count() == 0
+    (tmp_path / "g" / "mine.txt").write_text("x")
+    store.clean(spark, folder)
+    assert not store.initialised(spark, folder) and os.listdir(folder) == ["mine.txt"]
+    store.clean(spark, folder)
+    with pytest.raises(store.StoreError):
+        store.load(spark, folder)
+
+
+def test_usage_filters(spark, tmp_path):
+    rows = [("a", "2024-01-01 10:00:00", "x", 5), ("a", "2024-01-02 10:00:00", "y", 7), ("b", "2024-01-02 11:00:00", "x", 1)]
+    ledger = spark.createDataFrame(rows, "session_id string, timestamp string, command string, tokens_generated int").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    whole = lambda df: [tuple(r)[2:] for r in df.where("day is null and command is null").collect()]
+    assert whole(tree.usage_totals(ledger)) == [(3, 13, 2)]
+    assert whole(tree.usage_totals(ledger, session="a")) == [(2, 12, 1)] and whole(tree.usage_totals(ledger, day="2024-01-02")) == [(2, 8, 2)]
+    path = str(tmp_path / "ledger")
+    tree.append_usage(ledger, path)
+    tree.reset_usage(spark, path)
+    assert tree.usage(spark, path).count() == 0
+    tree.append_usage(ledger.limit(1), path)
+    assert tree.usage(spark, path).count() == 1
+
+
 def test_watch(spark, tmp_path):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "nodes")
     spark.sql("select '' urn, '' kind, '' path, '' status, current_timestamp() created_at").limit(0).write.parquet(f"{out}/start")
