@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import extract, incremental
+from ..operators.graph import Graph
+from ..operators.views import members
 from ..schema import USAGE
+from ..sources.tree import ignored
 
 CHANGE = "path string, text string, change string, seq bigint"
+#: The same, with the time of the event.
+EVENT = f"{CHANGE}, at timestamp"
 
 
 def changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +24,30 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(CHANGE).json(folder)
 
 
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """Change events with their times (path, text, change, seq, at), one JSON line each."""
+    return spark.readStream.schema(EVENT).json(folder)
+
+
+def settled(stream: DataFrame, quiet: str = "500 milliseconds", late: str = "1 second") -> DataFrame:
+    """(path, text, change, seq, events): the last event of each burst, once its path has been quiet for so long.
+
+    Bursts are session windows by path, so each event puts its burst's end off again and events that come twice change nothing.
+    Ignored paths are dropped before any state is kept; events later than ``late`` behind the newest are lost. A burst is given
+    when the watermark has passed its end.
+    """
+    rows = stream.where(F.col("path").isNotNull() & ~ignored(F.col("path"))).withWatermark("at", late)
+    last = F.max_by(F.struct("text", "change", "seq"), "seq")
+    bursts = rows.groupBy(F.session_window("at", quiet), "path").agg(last.alias("last"), F.count("*").alias("events"))
+    return bursts.select("path", "last.text", "last.change", "last.seq", "events")
+
+
+def affected(graph: Graph, batch: DataFrame) -> DataFrame:
+    """(path, feature): the features that anything in a changed file (path) belongs to."""
+    here = graph.active().join(batch.select("path").distinct(), "path").select("urn", "path")
+    return here.join(members(graph), "urn").select("path", "feature").distinct()
+
+
 def latest(batch: DataFrame) -> DataFrame:
     """The last event of each path."""
     nth = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))

@@ -260,3 +260,40 @@ def test_context(spark):
     rows = {r["feature"]: r for r in context.contexts(features, spark.createDataFrame(lines, "feature string, category string, line string, sort int"), 100).collect()}
     assert rows["f"]["context"] == "# Feature Context: Login\n\n## API Endpoints\n- GET /a\n- GET /b\n\n## Related Tests\n- t1\n"
     assert (rows["f"]["sections"], rows["f"]["dropped"], rows["g"]["sections"]) == (3, 1, 1)
+
+
+def test_settled_changes(spark, tmp_path):
+    """Bursts end after a quiet time; repeated and ignored events, and those that come too late, change nothing."""
+    inbox = str(tmp_path / "in")
+    at = lambda ms: f"2024-01-01 00:00:{ms // 1000:02d}.{ms % 1000:03d}"
+
+    def send(*rows):
+        spark.createDataFrame([(*r[:4], at(r[4])) for r in rows], f"{watch.CHANGE}, at string").coalesce(1).write.mode("append").json(inbox)
+
+    out = []
+
+    def take(batch, _):
+        out.extend((r.path, r.text, r.change, r.events) for r in batch.collect())
+
+    def run():
+        q = watch.settled(watch.events(spark, inbox)).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    send(("a.ts", "1", "added", 1, 0), ("a.ts", "2", "modified", 2, 300), ("a.ts", "2", "modified", 2, 300), ("node_modules/x.js", "z", "added", 3, 310))
+    run()
+    assert out == []
+    send(("a.ts", "3", "modified", 4, 700), ("b.ts", "b", "added", 5, 800))
+    run()
+    send(("c.ts", "c", "added", 6, 9000))
+    run()
+    assert sorted(out) == [("a.ts", "3", "modified", 4), ("b.ts", "b", "added", 1)]
+    send(("a.ts", "late", "modified", 7, 900), ("d.ts", "d", "added", 8, 20000))
+    run()
+    assert sorted(out)[2:] == [("c.ts", "c", "added", 1)]
+
+
+def test_affected_features(spark):
+    nodes = spark.createDataFrame([("s", "symbol", "s", "a.ts", "active"), ("t", "symbol", "t", "b.ts", "active"), ("f", "feature", "f", "", "active")], "urn string, kind string, name string, path string, status string")
+    edges = spark.createDataFrame([("s", "f", "implements")], "source_urn string, target_urn string, relationship string")
+    batch = spark.createDataFrame([("a.ts",), ("a.ts",), ("b.ts",), ("no",)], "path string")
+    assert [tuple(r) for r in watch.affected(Graph(nodes, edges), batch).collect()] == [("a.ts", "f")]
