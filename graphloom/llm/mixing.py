@@ -28,7 +28,7 @@ TOGETHER = 4
 #: Copies are corrected until each source is this close to its target, or nothing fits any more.
 NEAR = 1e-4
 #: Documents of one source and size that are ranked by one task, about.
-RANKED = 1_000
+RANKED = 250
 #: Sources up to which their solutions are broadcast.
 SOURCES = 100_000
 #: Pairs of source and size, or slices of these, up to which what is found for them is broadcast.
