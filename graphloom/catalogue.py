@@ -307,15 +307,6 @@ def cycle_nodes(spark, d):
     return traverse.on_cycles(dg.ring_edges(spark, d))
 
 
-@query(dg.code_sql(""", fe as (select distinct a.path s, b.path t from edges join act a on a.urn = source_urn join act b on b.urn = target_urn where relationship in ('calls', 'imports') and a.path <> '' and b.path <> '' and a.path <> b.path),
-fr(root, path) as (select s, t from fe where s in (select t from fe) union select root, t from fr join fe on s = path)
-select a.root urn, min(a.path) component from fr a join fr b on a.root = b.path and a.path = b.root where exists (select 1 from fr x where x.root = a.root and x.path = a.root) group by 1"""))
-def file_cycles(spark, d):
-    """Files that call or import from one another in a circle."""
-    g = dg.code_graph(spark, d)
-    return traverse.on_cycles(traverse.file_edges(Graph(g.nodes, g.edges)))
-
-
 @query(dg.EVENT_SQL + """, trail(path) as (select [s, t] from step where s < t union all select list_append(path, t) from trail join step on s = path[-1] where t > path[1] and not list_contains(path, t) and len(path) < 4)
 select list_aggregate(path, 'string_agg', '>') as cycle, len(path)::int n from trail join step on s = path[-1] and t = path[1]""")
 def cycles_bounded(spark, d):
