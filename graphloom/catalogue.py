@@ -569,6 +569,28 @@ def rule_report(spark, d):
     return rules.report(v, len(RULES))
 
 
+CHECKED = [
+    {"name": "jobs-apart", "from": "jobs/**", "cannot_import": "src/Brand/1*/*.ts"},
+    {"name": "tested", "target": "jobs/**", "requires_tests": True},
+    {"name": "loose", "max_coupling": 60},
+]
+CHECK = dg.code_sql(HOT + """,
+v as (select 'jobs-apart' as rule, 'ERROR' severity, source_urn urn, target_urn, a.path as path, line, null::bigint score, a.path || ' must not use ' || b.path message from edges join nodes a on a.urn = source_urn join nodes b on b.urn = target_urn
+    where relationship in ('calls', 'imports') and regexp_matches(a.path, '^jobs/.*$') and regexp_matches(b.path, '^src/Brand/1[^/]*/[^/]*\\.ts$')
+  union all select 'tested', 'WARNING', urn, null, path, start_line, null, name || ' has no test' from act where kind = 'symbol' and regexp_matches(path, '^jobs/.*$') and urn not in (select root from imp where category = 'test')
+  union all select 'loose', 'WARNING', urn, null, path, null, score, name || ' scores more than 60' from (select hot.*, act.name, act.path from hot join act using (urn) order by score desc, urn limit 100) where score > 60)""")
+
+
+@query(CHECK + "\nselect * from v")
+def rule_check(spark, d):
+    return rules.check(dg.code_graph(spark, d), CHECKED)
+
+
+@query(CHECK + "\nselect 3::bigint rules, greatest(0, 3 - count(*) filter (severity = 'ERROR')) passed, count(*) filter (severity = 'ERROR') failed, count(*) violations, count(*) filter (severity = 'ERROR') = 0 compliant from v")
+def rule_check_outcome(spark, d):
+    return rules.outcome(rules.check(dg.code_graph(spark, d), CHECKED), CHECKED)
+
+
 # Snapshots
 
 SNAP = """with old as (select doc_id as path, sha256(text) hash from documents where doc_id % 7 <> 0), new as (select doc_id as path, sha256(case when doc_id % 11 = 0 then text || '!' else text end) hash from documents where doc_id % 13 <> 0),
@@ -693,6 +715,26 @@ def brief_lines(spark, d):
     return brief.brief_lines(g, g.active().where("kind = 'feature'").select(F.col("urn").alias("feature"), F.col("name").alias("title")))
 
 
+@query(dg.code_sql(f""",
+s as (select *, case when lower(name) in ('small gear', 'small', 'gear') then 10 else
+  (case when {_hit('name', 'small')} then 5 else 0 end) + (case when {_hit('path', 'small')} then 3 else 0 end) + (case when {_hit('name', 'gear')} then 5 else 0 end) + (case when {_hit('path', 'gear')} then 3 else 0 end) end score from act),
+top as (select * from s where score > 0 order by score desc, urn limit 25),
+sym as (select *, row_number() over (order by score desc, urn) k from top where kind = 'symbol'),
+tiers as (select *, case when name = 'small gear' then 1 when lower(name) = 'small gear' then 2 else 5 end tier from act where kind = 'symbol' and contains(lower(name), 'small gear')),
+same as (select * from tiers order by tier, urn limit 1),
+picked as (select k, urn, name, path, start_line, end_line, symbol_kind from sym where k <= 8
+  union all select 0, urn, name, path, start_line, end_line, symbol_kind from same where urn not in (select urn from sym where k <= 8)),
+u as (select * from edges where relationship in ('calls', 'imports')),
+fro as (select k, a.name other from picked join u on target_urn = picked.urn join act a on a.urn = source_urn), tos as (select k, a.name other from picked join u on source_urn = picked.urn join act a on a.urn = target_urn),
+n as (select k, count(*) callers from fro group by 1),
+fro1 as (select k, other, row_number() over (partition by k order by other) i from (select distinct * from fro)), tos1 as (select k, other, row_number() over (partition by k order by other) i from (select distinct * from tos))
+select 'SYMBOLS' section, printf('%04d.0', k) sort, path || ':' || start_line || '-' || end_line || ' ' || name || ' (' || symbol_kind || ')' || case when callers > 1 then ' !shared(' || callers || ')' else '' end line from picked left join n using (k)
+union all select 'SYMBOLS', printf('%04d.1', k), 'called by: ' || string_agg(other, ', ' order by i) from fro1 where i <= 8 group by k
+union all select 'SYMBOLS', printf('%04d.2', k), 'calls: ' || string_agg(other, ', ' order by i) from tos1 where i <= 8 group by k"""))
+def symbol_brief(spark, d):
+    return brief.symbol_lines(dg.code_graph(spark, d), "small gear")
+
+
 @query(dg.sql(""", m as (select e.target_urn subject, n.urn, n.kind, n.name, n.path from edges e join nodes n on n.urn = e.source_urn where e.relationship = 'implements'
   union select i.target_urn, n.urn, n.kind, n.name, n.path from edges i join edges x on x.target_urn = i.source_urn and x.relationship = 'exposes' join nodes n on n.urn = x.source_urn where i.relationship = 'implements'),
 s as (select *, row_number() over (partition by subject order by path, name, urn) k from m where kind = 'symbol'), r as (select * from m where kind = 'route'), any_route as (select distinct subject from r)

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from .graph import Graph, feature_named, first_match
+from .graph import Graph, feature_named, first_match, symbol_named
 from .search import search
-from .views import function_map, members
+from .traverse import cut
+from .views import USE, function_map, members
 
 #: Sections of a brief, in order.
 FEATURE, ENTRY, CORE, API, TESTS, BLAST = "FEATURE", "ENTRY", "CORE", "API", "TESTS", "BLAST RADIUS"
+#: Sections of a brief that is about no feature.
+SYMBOLS, NOTE = "SYMBOLS", "NOTE"
 #: Phases of a plan, in order; the last one is always there.
 PHASES = ("Data models", "Services", "Endpoints", "User interface", "Verification")
 #: Least share of a task's hits that a feature must hold to be the one that the task is about.
@@ -60,16 +63,78 @@ def phases(members: DataFrame, most: int = 5) -> DataFrame:
     return numbered.join(targets, ["subject", "part"], "left").select("subject", (F.col("place") + 1).alias("phase"), title.alias("title"), "urn", "name", "path")
 
 
-def primary_feature(graph: Graph, task: str) -> DataFrame:
-    """(feature) that a task is about, or no row: the one of that name, else the one with most credit among the task's first 40 hits, if it holds a share of them."""
-    named = feature_named(graph, task).select(F.col("urn").alias("feature"), F.lit(0).alias("rank"))
+def best_feature(graph: Graph, task: str) -> DataFrame:
+    """(feature, sure): the feature with most credit among the task's first 40 hits, or no row; sure if it holds a share of them."""
     hits = search(graph.active(), task, 40).select("urn", "kind", "score")
     symbols = hits.where("kind != 'feature'")
     owned = symbols.join(members(graph), "urn").select("feature", "score", "urn")
     credit = owned.union(hits.where("kind = 'feature'").select("urn", F.col("score") * 2, F.lit(None).cast("string")))
     best = credit.groupBy("feature").agg(F.sum("score").alias("credit"), F.count_distinct("urn").alias("n")).orderBy(F.desc("credit"), "feature").limit(1)
-    sure = best.crossJoin(symbols.agg(F.count("*").alias("total"))).where((F.col("total") > 0) & (F.col("n") >= SHARE * F.col("total")))  # one row by one row
-    return named.union(sure.select("feature", F.lit(1))).orderBy("rank").limit(1).select("feature")
+    total = symbols.agg(F.count("*").alias("total"))
+    return best.crossJoin(total).select("feature", ((F.col("total") > 0) & (F.col("n") >= SHARE * F.col("total"))).alias("sure"))  # one row by one row
+
+
+def primary_feature(graph: Graph, task: str) -> DataFrame:
+    """(feature) that a task is about, or no row: the one of that name, else ``best_feature`` if it is sure."""
+    named = feature_named(graph, task).select(F.col("urn").alias("feature"), F.lit(0).alias("rank"))
+    return named.union(best_feature(graph, task).where("sure").select("feature", F.lit(1))).orderBy("rank").limit(1).select("feature")
+
+
+def symbol_lines(graph: Graph, task: str, most: int = 8, near: int = 8) -> DataFrame:
+    """(section, sort, line) for a task that is about no feature: the symbols that it names, with who calls them and whom they call.
+
+    The first ``most`` symbols among a search's first 25 hits, without variables if three others are there; before them the symbol
+    of that very name, if it isn't among them. Callers count by edges; of names next to a symbol, each once, the first ``near`` are
+    given. Sorts number symbols from 1, or 0 for the one of that name, then their lines. No row if no symbol is found.
+    """
+    nodes = graph.active()
+    sort_of = F.col("symbol_kind") if "symbol_kind" in nodes.columns else F.lit(None).cast("string")
+    shown = ("urn", "name", "path", "start_line", "end_line")
+    hits = search(nodes, task, 25).where("kind = 'symbol'").select(*shown, sort_of.alias("symbol_kind"), "score")
+    hits = hits.withColumn("_other", ~F.coalesce(F.col("symbol_kind") == "variable", F.lit(False)))
+    others = hits.agg((F.count_if("_other") < 3).alias("_few"))
+    kept = hits.crossJoin(others).where("_other or _few")  # at most 25 rows by one row
+    picked = kept.withColumn("k", F.row_number().over(Window.orderBy(F.desc("score"), "urn"))).where(F.col("k") <= most).select(*shown, "symbol_kind", "k")
+    named = symbol_named(graph, task).where("kind = 'symbol'").select(*shown, sort_of.alias("symbol_kind"), F.lit(0).alias("k"))
+    picked = F.broadcast(cut(picked.union(named.join(picked.select("urn"), "urn", "left_anti"))))  # at most one row more than ``most``
+    edges = graph.resolved_edges().where(F.col("relationship").isin(*USE)).select("source_urn", "target_urn")
+    names = nodes.select("urn", F.col("name").alias("other"))
+
+    def around(own: str, far: str) -> DataFrame:
+        return edges.join(picked.select(F.col("urn").alias(own), "k"), own).select("k", F.col(far).alias("urn")).join(names, "urn").select("k", "other")
+
+    def listed(pairs: DataFrame, place: int, title: str) -> DataFrame:
+        first = pairs.distinct().withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("other"))).where(F.col("i") <= near)
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "other"))), lambda x: x["other"]), ", ")
+        return first.groupBy("k").agg(F.concat(F.lit(title), joined).alias("line")).select("k", F.lit(place).alias("place"), "line")
+
+    callers = around("target_urn", "source_urn")
+    n = callers.groupBy("k").agg(F.count("*").alias("callers"))
+    at = F.format_string("%s:%d-%d", "path", "start_line", "end_line")
+    shared = F.when(F.col("callers") > 1, F.format_string(" !shared(%d)", "callers")).otherwise("")
+    heads = picked.join(n, "k", "left").select("k", F.lit(0).alias("place"), F.concat(at, F.lit(" "), "name", F.coalesce(F.concat(F.lit(" ("), "symbol_kind", F.lit(")")), F.lit("")), shared).alias("line"))
+    rows = heads.union(listed(callers, 1, "called by: ")).union(listed(around("source_urn", "target_urn"), 2, "calls: "))
+    return rows.select(F.lit(SYMBOLS).alias("section"), F.format_string("%04d.%d", "k", "place").alias("sort"), "line")
+
+
+def task_brief(graph: Graph, task: str) -> DataFrame:
+    """(section, sort, line): the brief of the feature that a task is about, else of the symbols that it names.
+
+    A NOTE says when the task has no sure feature, and which would be the closest. With no symbol either, the closest feature's
+    brief is given; with nothing at all, the note alone. Which of these it is takes a row or two on the driver.
+    """
+    spark = graph.nodes.sparkSession
+    note = lambda text: spark.createDataFrame([(NOTE, "", text)], "section string, sort string, line string")
+    titles = graph.active().where("kind = 'feature'").select(F.col("urn").alias("feature"), F.concat(F.coalesce("display_name", "name"), F.format_string(" [%s %d%%]", "confidence", exprs.percent(F.col("confidence_score"), F.lit(1)).cast("int"))).alias("title"), "name")
+    of = lambda urn: brief_lines(graph, titles.where(F.col("feature") == urn).select("feature", "title")).select("section", "sort", "line")
+    sure = primary_feature(graph, task).first()
+    if sure:
+        return of(sure.feature)
+    closest = best_feature(graph, task).join(titles, "feature").first()
+    symbols = cut(symbol_lines(graph, task))
+    if not symbols.isEmpty():
+        return symbols.union(note(f"no feature is sure (closest: {closest.name})")) if closest else symbols
+    return of(closest.feature) if closest else note(f"nothing matches {task!r}")
 
 
 def likely_files(graph: Graph, task: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Source trees, declared features and rules, and the usage ledger as DataFrames."""
+"""Source trees and the usage ledger as DataFrames."""
 
 from __future__ import annotations
 
@@ -38,22 +38,6 @@ def scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     return rows.select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash"), F.col("length").alias("bytes"))
 
 
-FEATURE = "feature string, name string, display_name string, description string, tags array<string>, components array<string>, services array<string>, routes array<string>, models array<string>, tests array<string>"
-RULE = "name string, description string, from_glob string, cannot_import string, target string, requires_tests boolean, max_coupling int"
-
-
-def features(spark: SparkSession, folder: str) -> DataFrame:
-    """Declared features of a folder's JSON files, as nodes with full confidence; entries without a feature key are left out."""
-    rows = spark.read.schema(FEATURE).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json").json(folder).where("feature is not null")
-    shown = F.coalesce("display_name", "name", "feature")
-    return rows.select(exprs.feature_urn(F.col("feature")).alias("urn"), F.lit("feature").alias("kind"), F.col("feature").alias("name"), F.lit("").alias("path"), F.lit("active").alias("status"), shown.alias("display_name"), "description", F.lit("EXPLICIT").alias("confidence"), F.lit(1.0).alias("confidence_score"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
-
-
-def rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of a JSON file that holds a list of them."""
-    return spark.read.schema(RULE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-
-
 def append_usage(records: DataFrame, path: str) -> None:
     """Adds records of the ledger; columns that they lack are null."""
     schema = records.sparkSession.createDataFrame([], USAGE).schema

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import brief
 from graphloom.operators.graph import Graph
@@ -82,3 +83,32 @@ def test_settings(spark, tmp_path):
     assert got["token_budget"] == 10 and got["confidence"] == {"explicit": 1.0, "detected": 0.85, "inferred": 0.4, "unknown": 0.1} and got["max_bytes"] == 2 << 20
     (tmp_path / "loom.config.json").write_text("[not json")
     assert settings.load(spark, root) == got
+
+
+def test_symbol_lines(spark):
+    rows = [(f"s:{i}", "symbol", n, "src/a.ts", 10 * i, 10 * i + 5, "active", k) for i, (n, k) in enumerate([("parseDate", "function"), ("parseTime", "function"), ("parse", "method"), ("parseCache", "variable"), ("caller", "function"), ("other", "function"), ("gone", "function")])]
+    nodes = spark.createDataFrame(rows, "urn string, kind string, name string, path string, start_line int, end_line int, status string, symbol_kind string").selectExpr("*", "cast(null as string) display_name", "'DETECTED' confidence", "0.85D confidence_score", "array('x') tags")
+    nodes = nodes.withColumn("status", F.when(F.col("urn") == "s:6", "retired").otherwise("active"))
+    edges = spark.createDataFrame([("s:4", "s:0", "calls"), ("s:4", "s:0", "calls"), ("s:5", "s:0", "imports"), ("s:6", "s:0", "calls"), ("s:0", "s:1", "calls"), ("s:5", "s:1", "tests")], "source_urn string, target_urn string, relationship string")
+    g = Graph(nodes, edges)
+    lines = lambda df: [r.line for r in df.orderBy("section", "sort").collect()]
+    assert lines(brief.symbol_lines(g, "parse")) == [  # three others are there, so the variable goes
+        "src/a.ts:20-25 parse (method)",
+        "src/a.ts:0-5 parseDate (function) !shared(3)",
+        "called by: caller, other",
+        "calls: parseTime",
+        "src/a.ts:10-15 parseTime (function)",
+        "called by: parseDate",
+    ]
+    assert lines(brief.symbol_lines(g, "cache")) == ["src/a.ts:30-35 parseCache (variable)"]
+    assert lines(brief.symbol_lines(g, "parse", most=1, near=1)) == ["src/a.ts:20-25 parse (method)"]
+    assert lines(brief.symbol_lines(g, "nowhere")) == []
+    assert lines(brief.symbol_lines(Graph(nodes.limit(0), edges), "parse")) == []
+    assert lines(brief.symbol_lines(g, "rseDa")) == ["src/a.ts:0-5 parseDate (function) !shared(3)", "called by: caller, other", "calls: parseTime"]  # a part of a name, found by no search
+
+
+def test_task_brief(shop):
+    first = lambda task: [(r.section, r.line) for r in brief.task_brief(shop, task).orderBy("section", "sort").collect()]
+    assert ("FEATURE", "FEATURE cart [DETECTED 85%]") in first("cart")
+    assert first("old thing") == [("NOTE", "nothing matches 'old thing'")]  # the one hit is retired
+    assert first("quarterly") == [("NOTE", "nothing matches 'quarterly'")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import context, extract, graph
 from graphloom.operators.graph import Graph
-from graphloom.sources import store, tree
+from graphloom.sources import declared, store, tree
 from graphloom.streaming import watch
 
 RUST = """use std::collections::{HashMap, HashSet as Set};
@@ -152,7 +152,7 @@ def test_scan_and_declared(spark, tmp_path):
     os.makedirs(tmp_path / "f")
     (tmp_path / "f" / "a.json").write_text(json.dumps({"feature": "Sign In", "tags": ["auth"]}))
     (tmp_path / "f" / "b.json").write_text(json.dumps({"name": "none"}))
-    (row,) = tree.features(spark, str(tmp_path / "f")).collect()
+    (row,) = declared.features(spark, str(tmp_path / "f")).collect()
     assert (row["urn"], row["confidence_score"], row["tags"]) == ("urn:loom:feature:sign-in", 1.0, ["auth"])
 
 
