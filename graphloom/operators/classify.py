@@ -31,6 +31,7 @@ def best_keyword(items: DataFrame, words: DataFrame, key: str = "urn") -> DataFr
     """Items (key, symbol_words, path_words) with their best-scoring keyword, the earliest on ties; those that score nothing are left out.
 
     Items and keywords meet by what they can share: a whole word with or without its final s, or the first letters of one.
+    Keywords are a list that the driver made, so they are what is broadcast, never the items.
     """
     stem = lambda w: F.regexp_replace(w, "s$", "")
     each = F.concat("symbol_words", "path_words")
@@ -38,7 +39,7 @@ def best_keyword(items: DataFrame, words: DataFrame, key: str = "urn") -> DataFr
     probes = items.withColumn("_probe", F.explode(F.array_distinct(F.concat(each, F.transform(each, stem), starts))))
     known = words.withColumn("_probe", F.explode(F.array_distinct(F.array("keyword", stem(F.col("keyword"))))))
     score = exprs.keyword_score(F.col("keyword"), F.col("symbol_words"), F.col("path_words"))
-    scored = probes.join(known, "_probe").withColumn("score", score).where("score > 0")
+    scored = probes.join(F.broadcast(known), "_probe").withColumn("score", score).where("score > 0")
     best = F.max_by(F.struct("keyword", "feature_name", "tags", "score"), F.struct("score", -F.col("ord")))
     return scored.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 
