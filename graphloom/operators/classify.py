@@ -53,9 +53,9 @@ def candidates(routes: DataFrame, models: DataFrame, symbols: DataFrame, tests:
 
     by_route = routes.withColumn("domain", exprs.route_domain(F.col("route_path"))).where("domain is not null")
     known = words.select(F.col("keyword").alias("domain"), "feature_name", "tags")
-    by_route = by_route.join(known, "domain", "left")
+    by_route = by_route.join(F.broadcast(known), "domain", "left")
     out = rows(by_route, F.coalesce("feature_name", exprs.title(F.col("domain"))), F.col("tags"), "DETECTED", 0.85, "route_match")
-    hits = models.join(words, F.lower("name").contains(F.col("keyword")))
+    hits = models.join(F.broadcast(words), F.lower("name").contains(F.col("keyword")))
     hits = first_match(hits, ["urn"], [F.col("ord")])
     out = out.union(rows(hits, F.col("feature_name"), F.col("tags"), "DETECTED", 0.85, "model_ref"))
     foldered = symbols.withColumn("folder", exprs.structural_folder(F.col("path")))
@@ -100,5 +100,5 @@ def merged(declared: DataFrame, linked: DataFrame, found: DataFrame) -> tuple[Da
     new = features(found).select(own.alias("urn"), "name", "tags", F.lit("DETECTED").alias("confidence"), F.lit(0.85).alias("confidence_score")).join(declared.select("urn"), "urn", "left_anti")
     all_features = declared.select("urn", "name", "tags", F.lit("EXPLICIT").alias("confidence"), F.lit(1.0).alias("confidence_score")).unionByName(new)
     sure = linked.select("urn", "feature", F.lit("EXPLICIT").alias("confidence"), F.lit(1.0).alias("confidence_score"), F.lit("explicit_declaration").alias("evidence")).distinct()
-    detected = membership(found).select("urn", own.alias("feature"), "confidence", F.col("score").alias("confidence_score"), "evidence").join(sure.select("urn", "feature"), ["urn", "feature"], "left_anti")
+    detected = membership(found).select("urn", own.alias("feature"), "confidence", F.col("score").alias("confidence_score"), "evidence").join(sure.select("urn", "feature").hint("merge"), ["urn", "feature"], "left_anti")
     return all_features, sure.union(detected)
