@@ -35,11 +35,41 @@ def candidates(imports: DataFrame) -> DataFrame:
     return imports.select("*", F.posexplode(options).alias("order", "path"))
 
 
+#: What is added to a specifier with dots for slashes; its orders follow on that of the specifier as it stands.
+DOTTED = [".py", ".java", "/__init__.py"]
+
+
+def bases(imports: DataFrame) -> DataFrame:
+    """Import rows, one for each text that a path may begin with: how it may go on (suffix "any", "none" or "dotted"), and (times, plus) for its order."""
+    spec, folder = F.col("module_specifier"), F.regexp_replace("source_file", "/?[^/]*$", "")
+    one = lambda base, how, times=1, plus=0: F.struct(base.alias("base"), F.lit(how).alias("how"), F.lit(times).alias("times"), F.lit(plus).alias("plus"))
+    rest = F.substring(spec, 3, 1 << 30)
+    options = (
+        F.when(spec.startswith("."), F.array(one(joined_path(folder, spec), "any")))
+        .when(spec.startswith("@/"), F.array(one(rest, "any", 2), one(F.concat(F.lit("src/"), rest), "any", 2, 1)))
+        .otherwise(F.array(one(spec, "none"), one(F.translate(spec, ".", "/"), "dotted", 1, 1)))
+    )
+    return imports.select("*", F.explode(options).alias("_o")).select(*imports.columns, "_o.*")
+
+
+def answers(files: DataFrame) -> DataFrame:
+    """(base, how, nth, path): the first file for each text that paths begin with, by the place of what follows."""
+    each = [(how, k, end) for how, ends in (("any", SUFFIXES), ("none", [""]), ("dotted", DOTTED)) for k, end in enumerate(ends)]
+    path = F.col("path")
+    fits = [F.when(path.endswith(end), F.struct(F.expr(f"left(path, length(path) - {len(end)})").alias("base"), F.lit(how).alias("how"), F.lit(k).alias("nth"))) for how, k, end in each]
+    rows = files.select("path", F.explode(F.array_compact(F.array(*fits))).alias("_a")).select("_a.*", "path")
+    return rows.groupBy("base", "how").agg(F.min("nth").alias("nth"), F.min_by("path", "nth").alias("path"))
+
+
 def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """The imports whose specifier names a file, with that file's path as ``target_path``."""
+    """The imports whose specifier names a file, with that file's path as ``target_path``.
+
+    Suffixes are taken off the files, which are few beside the imports: an import is one row or two, not one for each suffix.
+    """
     keys = ["source_file", "module_specifier"]
-    hits = candidates(imports.select(*keys).distinct()).join(files.select("path").distinct(), "path")
-    return imports.join(hits.groupBy(*keys).agg(F.min_by("path", "order").alias("target_path")), keys)
+    hits = bases(imports.select(*keys).distinct()).join(answers(files), ["base", "how"])
+    order = F.col("nth") * F.col("times") + F.col("plus")
+    return imports.join(hits.groupBy(*keys).agg(F.min_by("path", order).alias("target_path")), keys)
 
 
 def first_others(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:

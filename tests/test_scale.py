@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.operators import classify
+from graphloom.operators import classify, resolve, rules
 
 ROWS = [("gear", "Metal", ["m"]), ("orders", "Orders", [])]
 
@@ -43,3 +43,20 @@ def test_declared_members_are_not_broadcast(spark, stored):
     edges = classify.merged(declared, linked, found)[1]
     assert "Broadcast" not in plan(edges)
     assert sorted((r.urn, r.confidence) for r in edges.collect()) == [("s", "EXPLICIT"), ("t", "DETECTED")]
+
+
+def test_an_import_is_no_row_for_each_suffix(spark):
+    imports = spark.createDataFrame([("a/b.ts", "./c"), ("a/b.ts", "@/d"), ("a/b.py", "x.y"), ("a/b.ts", "./none")], "source_file string, module_specifier string")
+    assert resolve.bases(imports).count() == 6
+    files = spark.createDataFrame([(p,) for p in ("a/c/index.ts", "a/c.tsx", "src/d.ts", "d.jsx", "x/y.java", "x/y/__init__.py", "x/y.js")], "path string")
+    got = {(r.source_file, r.module_specifier): r.target_path for r in resolve.import_targets(imports, files).collect()}
+    assert got == {("a/b.ts", "./c"): "a/c.tsx", ("a/b.ts", "@/d"): "src/d.ts", ("a/b.py", "x.y"): "x/y.java"}
+
+
+def test_rules_meet_nodes_before_edges_and_are_broadcast(spark):
+    nodes = spark.createDataFrame([("a", "ui/a"), ("b", "db/b"), ("c", "db/c"), ("d", None)], "urn string, path string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "a"), ("a", "d"), ("c", "b")], "source_urn string, target_urn string")
+    kept = rules.rule_rows(spark, [{"name": "x", "from": "ui/*", "cannot_import": "db/*"}] * 2 + [{"name": "y", "from": "db/c", "cannot_import": "**"}, {"name": "z", "from": "**"}])
+    found = rules.forbidden(nodes, edges, kept)
+    assert "CartesianProduct" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("x", "a", "b")] * 4 + [("y", "c", "b")]
