@@ -58,14 +58,18 @@ def problems(graph: Graph, files: DataFrame) -> DataFrame:
     whose lines have changed since their content_hash was taken, and features that no edge reaches.
     """
     nodes = graph.active().where("path != ''")
-    hashed = F.col("content_hash") if "content_hash" in nodes.columns else F.lit(None).cast("string")
-    lines = files.select("path", F.coalesce("text", F.lit("")).alias("_text"))
-    at = nodes.select("urn", "kind", "path", "start_line", "end_line", hashed.alias("_hash")).join(lines, "path", "left")
-    n = F.size(F.split("_text", "\n"))
-    now = exprs.slice_hash(F.col("_text"), F.greatest("start_line", F.lit(1)), F.col("end_line"))
+    hashed = "content_hash" in nodes.columns
+    # Lines are counted once a file; the text goes along only where there are hashes to compare
+    text = F.coalesce("text", F.lit(""))
+    lines = files.select("path", F.size(F.split(text, "\n")).alias("_n"), *([text.alias("_text")] if hashed else []))
+    at = nodes.select("urn", "kind", "path", "start_line", "end_line", *(["content_hash"] if hashed else [])).join(lines, "path", "left")
     symbol = (F.col("kind") == "symbol") & (F.col("start_line") > 0)
-    beyond = (F.col("start_line") > n) | (F.col("end_line") > n)
-    found = at.withColumn("problem", F.when(F.col("_text").isNull(), "missing file").when(symbol & beyond, "lines beyond the file").when(symbol & (F.col("_hash") != "") & (F.col("_hash") != now), "changed since it was read"))
+    beyond = (F.col("start_line") > F.col("_n")) | (F.col("end_line") > F.col("_n"))
+    problem = F.when(F.col("_n").isNull(), "missing file").when(symbol & beyond, "lines beyond the file")
+    if hashed:
+        now = exprs.slice_hash(F.col("_text"), F.greatest("start_line", F.lit(1)), F.col("end_line"))
+        problem = problem.when(symbol & (F.col("content_hash") != "") & (F.col("content_hash") != now), "changed since it was read")
+    found = at.withColumn("problem", problem)
     out = found.where("problem is not null").select(F.when(F.col("problem") == "missing file", "error").otherwise("warning").alias("severity"), "problem", "urn", "path")
     ends = dangling(graph).where("problem = 'missing'")
     out = out.union(ends.select(F.lit("error"), F.concat(F.lit("missing "), "side"), F.concat_ws(" > ", "source_urn", "target_urn"), F.lit("")))

@@ -2,7 +2,8 @@
 
 import pytest
 
-from graphloom.operators import classify, resolve, rules
+from graphloom.operators import classify, resolve, review, rules
+from graphloom.operators.graph import Graph
 
 ROWS = [("gear", "Metal", ["m"]), ("orders", "Orders", [])]
 
@@ -60,3 +61,13 @@ def test_rules_meet_nodes_before_edges_and_are_broadcast(spark):
     found = rules.forbidden(nodes, edges, kept)
     assert "CartesianProduct" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [("x", "a", "b")] * 4 + [("y", "c", "b")]
+
+
+def test_texts_are_not_joined_with_nodes_without_hashes(spark):
+    nodes = spark.createDataFrame([("a", "symbol", "x", "active", 1, 2), ("b", "symbol", "x", "active", 2, 4), ("c", "symbol", "y", "active", 1, 1), ("d", "symbol", "z", "active", 1, 1)], "urn string, kind string, path string, status string, start_line int, end_line int")
+    edges = spark.createDataFrame([], "source_urn string, target_urn string, relationship string")
+    files = spark.createDataFrame([("x", "1\n2"), ("y", None)], "path string, text string")
+    found = review.problems(Graph(nodes, edges), files)
+    joins = [line for line in plan(found).splitlines() if "Join" in line]
+    assert joins and not any("split" in line for line in plan(found).split("Join", 1)[0].splitlines())
+    assert sorted((r.problem, r.urn) for r in found.collect()) == [("lines beyond the file", "b"), ("missing file", "d")]
