@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.operators import classify, resolve, review, rules
+from graphloom.operators import classify, extract, resolve, review, rules
 from graphloom.operators.graph import Graph
 
 ROWS = [("gear", "Metal", ["m"]), ("orders", "Orders", [])]
@@ -71,3 +71,10 @@ def test_texts_are_not_joined_with_nodes_without_hashes(spark):
     joins = [line for line in plan(found).splitlines() if "Join" in line]
     assert joins and not any("split" in line for line in plan(found).split("Join", 1)[0].splitlines())
     assert sorted((r.problem, r.urn) for r in found.collect()) == [("lines beyond the file", "b"), ("missing file", "d")]
+
+
+def test_calls_read_each_line_once_after_files_are_dealt(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    g()\nh()"), ("b.ts", "class A {\n  m() {\n    k();\n  }\n}"), ("c.py", "x()")], "path string, text string")
+    found = extract.calls(files)
+    assert plan(found).count("Exchange") == 1  # before: lines were dealt and sorted again for blocks
+    assert sorted((r.file, r.caller or "", r.callee_name, r.line) for r in found.collect()) == [("a.py", "", "h", 3), ("a.py", "f", "g", 2), ("b.ts", "m", "k", 3), ("c.py", "", "x", 1)]
