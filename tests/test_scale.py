@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.operators import classify, extract, resolve, review, rules
+from graphloom.operators import classify, extract, resolve, review, rules, traverse
 from graphloom.operators.graph import Graph
 
 ROWS = [("gear", "Metal", ["m"]), ("orders", "Orders", [])]
@@ -78,3 +78,14 @@ def test_calls_read_each_line_once_after_files_are_dealt(spark):
     found = extract.calls(files)
     assert plan(found).count("Exchange") == 1  # before: lines were dealt and sorted again for blocks
     assert sorted((r.file, r.caller or "", r.callee_name, r.line) for r in found.collect()) == [("a.py", "", "h", 3), ("a.py", "f", "g", 2), ("b.ts", "m", "k", 3), ("c.py", "", "x", 1)]
+
+
+def test_rounds_hold_only_what_is_reached_itself_and_are_stored_compressed(spark, monkeypatch):
+    kept, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    edges = [(f"leaf{i}", "b") for i in range(50)] + [("b", "a"), ("c", "b"), ("a", "c"), ("c", "c"), ("leaf0", "a"), ("leaf0", "a")]
+    found = traverse.consumers(spark.createDataFrame(edges, "source_urn string, target_urn string"), spark.createDataFrame([("a",), ("leaf1",), ("none",)], "urn string"))
+    assert {(r.root, r.urn): r.depth for r in found.collect()} == {("a", "b"): 1, ("a", "c"): 2, ("a", "leaf0"): 1} | {("a", f"leaf{i}"): 2 for i in range(1, 50)}
+    assert all(df.inputFiles() for df in kept) and all(df.count() <= 2 for df in kept if "root" in df.columns)
+    near = traverse.consumers(spark.createDataFrame(edges, "source_urn string, target_urn string"), spark.createDataFrame([("a",)], "urn string"), 1)
+    assert sorted(map(tuple, near.collect())) == [("a", "b", 1), ("a", "leaf0", 1)]
