@@ -2,8 +2,11 @@
 
 import pytest
 
-from graphloom.operators import classify, extract, resolve, review, rules, traverse
+from pyspark.sql import functions as F
+
+from graphloom.operators import classify, extract, graph, resolve, review, rules, traverse
 from graphloom.operators.graph import Graph
+from graphloom.plans import driver_graph
 
 ROWS = [("gear", "Metal", ["m"]), ("orders", "Orders", [])]
 
@@ -89,3 +92,15 @@ def test_rounds_hold_only_what_is_reached_itself_and_are_stored_compressed(spark
     assert all(df.inputFiles() for df in kept) and all(df.count() <= 2 for df in kept if "root" in df.columns)
     near = traverse.consumers(spark.createDataFrame(edges, "source_urn string, target_urn string"), spark.createDataFrame([("a",)], "urn string"), 1)
     assert sorted(map(tuple, near.collect())) == [("a", "b", 1), ("a", "leaf0", 1)]
+
+
+def test_edges_are_dealt_by_their_number(spark, small, monkeypatch):
+    monkeypatch.setattr(driver_graph, "TASK_ROWS", 300)
+    n = driver_graph.tasks(spark, small)
+    assert n == spark.read.parquet(f"{small}/lineitem.parquet").count() // 300 > 8
+    once = graph.distinct_edges(driver_graph.code_edges(spark, small, n), F.col("relationship"), n)
+    assert once.rdd.getNumPartitions() == n
+    aliases = spark.createDataFrame([("part:2", "part:1")], "old_urn string, urn string")
+    g = Graph(driver_graph.nodes(spark, small), driver_graph.edges(spark, small, tasks=n), aliases)
+    assert "hashpartitioning(target_urn" in plan(g.resolved_edges(n)) and f", {n}), REPARTITION_BY_NUM" in plan(g.resolved_edges(n))
+    assert g.resolved_edges(n).exceptAll(Graph(g.nodes, driver_graph.edges(spark, small), aliases).resolved_edges()).isEmpty()
