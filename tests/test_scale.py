@@ -104,3 +104,12 @@ def test_edges_are_dealt_by_their_number(spark, small, monkeypatch):
     g = Graph(driver_graph.nodes(spark, small), driver_graph.edges(spark, small, tasks=n), aliases)
     assert "hashpartitioning(target_urn" in plan(g.resolved_edges(n)) and f", {n}), REPARTITION_BY_NUM" in plan(g.resolved_edges(n))
     assert g.resolved_edges(n).exceptAll(Graph(g.nodes, driver_graph.edges(spark, small), aliases).resolved_edges()).isEmpty()
+
+
+def test_rounds_deal_edges_by_their_number(spark, monkeypatch):
+    seen, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "TASK_ROWS", 3)
+    monkeypatch.setattr(traverse, "cut", lambda df: seen.append(plan(df)) or cut(df))
+    edges = spark.createDataFrame([(f"{i}", f"{i + 1}") for i in range(60)], "source_urn string, target_urn string")
+    assert traverse.consumers(edges, spark.createDataFrame([("3",)], "urn string")).count() == 3
+    assert sum(", 20), REPARTITION_BY_NUM" in p for p in seen) == 2
