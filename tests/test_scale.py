@@ -1,5 +1,9 @@
 """What grows with the tables stays out of the driver and of single tasks: plans and results on small inputs."""
 
+import random
+import re
+from collections import defaultdict
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -113,3 +117,23 @@ def test_rounds_deal_edges_by_their_number(spark, monkeypatch):
     edges = spark.createDataFrame([(f"{i}", f"{i + 1}") for i in range(60)], "source_urn string, target_urn string")
     assert traverse.consumers(edges, spark.createDataFrame([("3",)], "urn string")).count() == 3
     assert sum(", 20), REPARTITION_BY_NUM" in p for p in seen) == 2
+
+
+def test_nodes_are_read_once_for_paths_and_slices_change_no_result(spark, stored, monkeypatch):
+    rng = random.Random(18)
+    nodes = [(f"n{i}", None if i == 7 else f"p{rng.randrange(25)}" if i % 9 else "", "retired" if i % 11 == 5 else "active") for i in range(70)]
+    edges = [(f"n{rng.randrange(72)}", f"n{rng.randrange(30)}") for _ in range(40)]
+    g = Graph(stored("nodes", nodes, "urn string, path string, status string"), stored("edges", edges, "source_urn string, target_urn string"))
+    of = {u: p for u, p, s in nodes if p and s == "active"}
+    plain = set(of.values()) - {of[t] for s, t in edges if s in of and t in of and of[s] != of[t]}
+    assert 0 < len(plain) < len(set(of.values()))
+    for slices in (1, 2, 1 << 40):
+        monkeypatch.setattr(graph, "SLICES", slices)
+        found = graph.unconsumed_paths(g)
+        assert sorted(r.path for r in found.collect()) == sorted(plain)
+        assert not set(found.inputFiles()) & set(g.nodes.inputFiles())  # before: read three times
+
+
+def test_line_items_are_made_distinct_once(spark, small):
+    edges = plan(driver_graph.code_edges(spark, small))
+    assert len(re.findall(r"HashAggregate\(keys=\[l_suppkey#\d+L?, l_partkey#\d+L?\]", edges)) == 2  # partial and final; before: twice as many
