@@ -172,3 +172,23 @@ def test_features_are_explained_from_their_own_edges(spark, stored, monkeypatch)
     assert not set(found.inputFiles()) & set(g.edges.inputFiles())  # before: all edges were read again for each use
     linked = next(df for df in kept if "node" in df.columns)
     assert linked.count() == sum(map(len, direct.values())) < 100
+
+
+def test_calls_are_looked_up_in_members_once(spark, stored):
+    rng = random.Random(20)
+    nodes = [(f"f{i}", "feature", f"f{i}", "", 0, "active") for i in range(3)] + [(f"s{i}", "symbol", f"s{i}", f"p{i % 5}", i, "retired" if i == 9 else "active") for i in range(20)]
+    member = {(f"s{i}", f"f{rng.randrange(3)}") for i in range(14) for _ in range(2)}
+    calls = [(f"s{rng.randrange(20)}", f"s{rng.randrange(20)}") for _ in range(25)]
+    rows = [(s, f, "implements") for s, f in member] + [(s, t, "calls") for s, t in calls]
+    g = Graph(stored("nodes", nodes, "urn string, kind string, name string, path string, start_line int, status string"), stored("edges", rows, "source_urn string, target_urn string, relationship string"))
+    found = views.function_map(g)
+    assert plan(found).count("ShuffledHashJoin") == 1  # before: sorted or broadcast, once for callers and once for what is called
+    path = {u: p for u, k, _, p, _, status in nodes if k == "symbol" and status == "active"}
+    of = {(s, f) for s, f in member if s in path}
+    want = set()
+    for u, f in of:
+        by = [s for s, t in calls if t == u and s in path]
+        inner = {t for s, t in calls if s == u and (t, f) in of}
+        want.add((f, u, len(by), len({path[s] for s in by}) > 1, not any(t == u and (s, f) in of for s, t in calls), len(inner)))
+    assert {(r.feature, r.urn, r.callers, r.shared, r.entry, r.inner_calls) for r in found.collect()} == want
+    assert {w[4] for w in want} == {True, False} and max(w[5] for w in want) > 1
