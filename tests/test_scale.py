@@ -182,7 +182,7 @@ def test_calls_are_looked_up_in_members_once(spark, stored):
     rows = [(s, f, "implements") for s, f in member] + [(s, t, "calls") for s, t in calls]
     g = Graph(stored("nodes", nodes, "urn string, kind string, name string, path string, start_line int, status string"), stored("edges", rows, "source_urn string, target_urn string, relationship string"))
     found = views.function_map(g)
-    assert plan(found).count("ShuffledHashJoin") == 1  # before: sorted or broadcast, once for callers and once for what is called
+    assert plan(found).count("ShuffledHashJoin") == 2  # nodes and members; before: sorted, and members twice
     path = {u: p for u, k, _, p, _, status in nodes if k == "symbol" and status == "active"}
     of = {(s, f) for s, f in member if s in path}
     want = set()
