@@ -1,11 +1,12 @@
 """Impact, coupling, views, explanations, reviews and checks on small graphs, and against plain versions."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
 
-from graphloom.operators import graph, impact, review, rules, traverse, views
+from graphloom.operators import graph, impact, reach, review, rules, traverse, views
 from graphloom.operators.graph import Graph
 
 NODE = "urn string, kind string, name string, path string, status string, symbol_kind string, start_line int, end_line int, content_hash string"
@@ -206,3 +207,33 @@ def test_hotspots_with_a_limit(spark):
             assert [tuple(r) for r in impact.hotspots(g, k).collect()] == [r for _, _, r in whole[:k]]
         allowed = {r.urn: r.bound for r in impact.route_bounds(g.active(), impact.live_edges(g)).collect()}
         assert all(allowed[u] >= r[8] for _, u, r in whole)
+
+
+def test_counts_are_those_of_impact(spark, monkeypatch):
+    """Over more tests of a path than share a number, old names, evidence in other files, loops, and nodes that are retired, pathless or unknown."""
+    monkeypatch.setattr(reach, "BITS", 2)
+    for seed in (1,):
+        rng = random.Random(seed)
+        paths = ["p0", "p1", "p2", "p3", "", None]
+        kinds = ["symbol"] * 12 + ["file"] * 5 + ["model"] * 2 + ["route"] * 5 + ["test"] * 9 + ["feature"] * 4
+        nodes = []
+        for i, kind in enumerate(kinds):
+            begin = rng.choice([None, 0, rng.randrange(1, 20)])
+            nodes.append((f"n{i}", kind, {"path": rng.choice(paths), "status": "retired" if rng.random() < 0.1 else "active", "lines": (begin, rng.choice([None, (begin or 0) + rng.randrange(6)]))}))
+        names = [n[0] for n in nodes] + ["old", "none"]
+        edges = [(rng.choice(names), rng.choice(names), rng.choice(["calls", "implements", "belongs_to"]), {"line": rng.choice([None, 0, rng.randrange(1, 22)]), "file": rng.choice([None, "", None, "p0", "p1", "elsewhere"])}) for _ in range(45)]
+        g = make(spark, nodes, edges, [("old", "n3")])
+        want = defaultdict(dict)
+        for (root, category), urns in found(impact.impact(g, asked(spark, *names))).items():
+            want[root][category] = len(urns)
+        got = defaultdict(dict)
+        for r in impact.category_counts(g, asked(spark, *names)).collect():
+            got[r.root][r.category] = r.n
+        assert got == want and len({c for by in want.values() for c in by}) == 5
+        assert sorted(r.root for r in impact.counts(g, asked(spark, *names)).collect()) == sorted(names)
+
+
+def test_what_is_reached_is_dealt_once(spark, small_graph):
+    counted = impact.counts(small_graph, asked(spark, "core", "mid"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(root#\d+L?, \d+\), REPARTITION", counted)) == 1
+    assert not re.search(r"Exchange hashpartitioning\(root#\d+L?, (path|urn|category|depth)#", counted)  # before: for each list and each path
