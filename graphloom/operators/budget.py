@@ -27,24 +27,14 @@ def pack(items: DataFrame, group: str, priority: Column, order: Column, cost: Co
 def truncate(text: Column, budget: int) -> Column:
     """The text, or its longest prefix that fits with a mark behind it; a budget below the mark gives nothing.
 
-    A prefix costs by its length and its punctuation. Between two of these marks only the length counts, so that each stretch has
-    one longest prefix that fits: where the next mark comes, or where the length alone is used up.
+    A prefix costs by its length and its punctuation, so never less than a shorter one: the longest that fits is found by halving.
     """
     marks = F.regexp_count(F.lit(MARK), F.lit(PUNCTUATION))
     cost = lambda length, punctuation: F.ceil((length + len(MARK)) / F.lit(3.3) + F.lit(0.25) * (punctuation + marks))
-    head = F.substring(text, 1, int(3.3 * budget) + 1)  # no longer prefix can fit
-    chars = F.split(head, "")
-    places = F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(PUNCTUATION), i + 1)), lambda i: i.isNotNull())
-    size = F.length(head)
-    begins = F.concat(F.array(F.lit(0)), places)
-    ends = F.concat(F.transform(places, lambda i: i - 1), F.array(size))
-
-    def longest(begin: Column, j: Column) -> Column:
-        end = F.get(ends, j)
-        room = F.floor((budget - 0.25 * (j + marks)) * 3.3).cast("int") - len(MARK)
-        near = F.transform(F.array(room + 1, room, room - 1), lambda n: F.least(n, end))  # rounding decides among these
-        return F.array_max(F.filter(near, lambda n: (n >= begin) & (cost(n, j) <= budget)))
-
-    best = F.array_max(F.transform(begins, longest))
-    cut = F.when(F.lit(budget) < cost(F.lit(0), F.lit(0)), F.lit("")).otherwise(F.concat(F.substring(head, F.lit(1), F.coalesce(best, F.lit(0))), F.lit(MARK)))
-    return F.when(token_estimate(text) <= budget, text).otherwise(F.when(text.isNotNull(), cut))
+    most = max(int(3.3 * budget) + 1, 0)  # no longer prefix can fit, with or without the mark
+    head = F.substring(text, 1, most)
+    fits = lambda n: (n <= F.length(head)) & (cost(n, F.regexp_count(F.substring(head, F.lit(1), n), F.lit(PUNCTUATION))) <= budget)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))]) if most else F.array().cast("array<int>")
+    best = F.aggregate(steps, F.lit(0), lambda n, step: F.when(fits(n + step), n + step).otherwise(n))
+    cut = F.when(F.lit(budget) < cost(F.lit(0), F.lit(0)), F.lit("")).otherwise(F.concat(F.substring(head, F.lit(1), best), F.lit(MARK)))
+    return F.when((F.length(text) <= most) & (token_estimate(text) <= budget), text).otherwise(F.when(text.isNotNull(), cut))

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,3 +309,13 @@ def test_ring_without_end(spark):
     e = [(f"n{i:03d}", f"n{(i + 1) % n:03d}") for i in range(n)] + [("x", "n000")]
     df = spark.createDataFrame(e, "source_urn string, target_urn string").coalesce(1)
     assert rows(traverse.on_cycles(df), "urn", "component") == {(f"n{i:03d}", "n000") for i in range(n)}
+
+
+def test_truncate_of_punctuation_takes_no_squares(spark):
+    """Before, the places of all marks were found anew for each of them."""
+    df = spark.createDataFrame([(i, ",;" * (4000 + i)) for i in range(8)], "i int, t string").repartition(1)
+    began = time.time()
+    got = {r.i: r.x for r in df.select("i", budget.truncate(F.col("t"), 4000).alias("x")).collect()}
+    # 0.25 + 1 / 3.3 for each character
+    assert all(len(x) == len(got[0]) and x.endswith(budget.MARK) for x in got.values()) and 7180 < len(got[0]) < 7300
+    assert time.time() - began < 20
