@@ -87,6 +87,29 @@ def test_calls_read_each_line_once_after_files_are_dealt(spark):
     assert sorted((r.file, r.caller or "", r.callee_name, r.line) for r in found.collect()) == [("a.py", "", "h", 3), ("a.py", "f", "g", 2), ("b.ts", "m", "k", 3), ("c.py", "", "x", 1)]
 
 
+def test_routes_are_looked_for_in_few_lines(spark):
+    java = '@RequestMapping("/a")\nclass A {\n  @GetMapping("/x")\n  int x() {\n  }\n}\nclass B {\n  @PostMapping("y")\n  int y() {\n  }\n}'
+    files = spark.createDataFrame([("A.java", java), ("C.java", 'class C {\n  @GetMapping("/z")\n}'), ("b.py", 'x = 1\n@app.get("/b")\ndef f(): pass'), ("app/u/route.ts", "export async function GET() {\n}"), ("n.go", "")], "path string, text string")
+    found = extract.routes(files)
+    assert "Window" not in plan(found) and "Sort" not in plan(found)  # before: all lines were sorted, and headers of all languages read
+    assert sorted((r.path, r.http_method, r.route_path, r.line) for r in found.collect()) == [("A.java", "GET", "/a/x", 3), ("A.java", "POST", "/y", 8), ("C.java", "GET", "/z", 2), ("app/u/route.ts", "GET", "/u", 1), ("b.py", "GET", "/b", 2)]
+
+
+def test_symbols_without_hashes_meet_no_texts(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    pass"), ("b.ts", "class A {\n  m() {\n  }\n}")], "path string, text string")
+    found = extract.symbols(files, hashes=False)
+    assert plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+    whole = extract.symbols(files)
+    assert found.columns == whole.columns[:-1] and sorted(found.collect()) == sorted(whole.drop("content_hash").collect())
+
+
+def test_calls_carry_no_lists_of_blocks(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    g(h())")], "path string, text string")
+    found = extract.calls(files)
+    assert not re.search(r"Generate explode\(.*\[[^\]]*blocks#", plan(found))  # before: every call's row held those of its file
+    assert sorted((r.caller, r.callee_name) for r in found.collect()) == [("f", "g"), ("f", "h")]
+
+
 def test_rounds_hold_only_what_is_reached_itself_and_are_stored_compressed(spark, monkeypatch):
     kept, cut = [], traverse.cut
     monkeypatch.setattr(traverse, "cut", lambda df: kept.append(cut(df)) or kept[-1])
